@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and split tokens that a worker remembers. Beyond these it forgets the newer half: common ones come early.
-WORDS, TOKENS = 800_000, 200_000
+WORDS, TOKENS = 300_000, 100_000
 
 
 def byte_characters() -> list[str]:
