@@ -6,8 +6,8 @@ amounts, and only parts that lose or gain blocks are rewritten. The flow has one
 driver; blocks, documents and texts stay in Spark.
 
 A block holds the documents whose texts share a hash, so equal texts stay together; the blocks' number is ``BLOCKS``. A block with more
-bytes than ``HEAVY`` of a shard is cut by doc_id, which only takes very many copies of one text. Law `bytes`: the
-shards' sizes differ by a block or so. Null texts count as one group of size 1.
+bytes than ``HEAVY`` of a shard is cut by a second hash of the text, and what is still as heavy by doc_id, which only takes very
+many copies of one text. Law `bytes`: the shards' sizes differ by a block or so. Null texts have size 1 and are one group.
 
 Null doc_ids and rows that repeat a doc_id are rows like any other. Empty tables give empty results.
 """
@@ -16,17 +16,18 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forgeline.llm.common import saved, shared_dir
 
 BLOCKS = 4096
 #: Share of a shard's capacity from which a block is cut.
-HEAVY = 1 / 64
+HEAVY = 1 / 16
 CUTS = 64
 #: Parts of a shard, each a folder of its own.
 PARTS = 8
+STORED = "doc_id long, text string, size long, text_crc32 long, block int, cut int, shard int, part int"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -69,14 +70,21 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"size": (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), "text_crc32": F.crc32(data)})
 
 
+def heavy(rows: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """The keys with more than ``most`` bytes; at most total / most of them."""
+    return rows.groupBy(*keys).agg(F.sum("size").alias("_b")).filter(F.col("_b") > most).select(*keys, F.lit(True).alias("_heavy"))
+
+
 def blocked(rows: DataFrame, shards: int, blocks: int = BLOCKS) -> DataFrame:
-    """``rows`` with block and cut: one for each group of texts, heavy ones cut by doc_id."""
+    """``rows`` with block and cut: one for each group of texts, heavy ones cut by a second hash and then by doc_id."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"))
-    sums = rows.groupBy("block").agg(F.sum("size").alias("_b"))
-    total = sums.agg(F.sum("_b")).first()[0] or 0
-    heavy = [r["block"] for r in sums.filter(F.col("_b") > max(1.0, total / shards * HEAVY)).select("block").collect()]  # 64 * shards at most
-    cut = F.when(F.col("block").isin(heavy), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CUTS))).otherwise(0) if heavy else F.lit(0)
-    return rows.withColumn("cut", cut.cast("int"))
+    most = max(1.0, (rows.agg(F.sum("size")).first()[0] or 0) / shards * HEAVY)
+    by_text = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(CUTS)) + 1
+    once = rows.join(F.broadcast(heavy(rows, ["block"], most)), "block", "left")  # shards / HEAVY rows at most
+    once = once.withColumn("cut", F.when(F.col("_heavy"), by_text).otherwise(F.lit(0)).cast("int")).drop("_heavy")
+    twice = once.join(F.broadcast(heavy(once.filter("cut > 0"), ["block", "cut"], most)), ["block", "cut"], "left")
+    by_id = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CUTS)) + 1
+    return twice.withColumn("cut", (F.col("cut") * (CUTS + 1) + F.when(F.col("_heavy"), by_id).otherwise(0)).cast("int")).drop("_heavy")
 
 
 def first_layout(docs: DataFrame, shards: int, blocks: int = BLOCKS, final_shards: int | None = None) -> DataFrame:
@@ -86,9 +94,14 @@ def first_layout(docs: DataFrame, shards: int, blocks: int = BLOCKS, final_shard
     return rows.withColumn("shard", at.cast("int")).withColumn("part", F.pmod(F.hash("cut", "block", F.lit(1)), F.lit(PARTS)).cast("int"))
 
 
+def read_layout(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(STORED).parquet(folder)
+
+
 def write_layout(rows: DataFrame, folder: str) -> None:
     """One folder for each shard and part; ranges of blocks go to a task, so that a part may have many files."""
-    rows.repartitionByRange("shard", "part", "block", "cut").write.partitionBy("shard", "part").option("compression", "zstd").parquet(folder)
+    stored = rows.select(*[c.split()[0] for c in STORED.split(", ")])
+    stored.repartitionByRange("shard", "part", "block", "cut").write.partitionBy("shard", "part").option("compression", "zstd").parquet(folder)
 
 
 def plan(stored: DataFrame, capacities: list[int] | None, shards: int) -> DataFrame:
@@ -121,16 +134,17 @@ def reshard(folder: str, docs: DataFrame, capacities: list[int] | None = None, s
     ``folder``-next, at their new places.
     """
     spark = docs.sparkSession
-    stored = spark.read.parquet(folder)
+    stored = read_layout(spark, folder)
     moves = saved(plan(stored, capacities, shards), "moves")
     affected = moves.groupBy("shard", "part").agg(F.max(F.col("shard") != F.col("new_shard")).alias("_a")).filter("_a").select("shard", "part")
     where = [(r["shard"], r["part"]) for r in affected.collect()]  # at most PARTS for each old shard
     touched = F.struct("shard", "part").isin([F.struct(F.lit(s).alias("shard"), F.lit(p).alias("part")) for s, p in where]) if where else F.lit(False)
-    going = stored.filter(touched).join(moves.select("block", "cut", "new_shard"), ["block", "cut"]).drop("shard", "part").withColumnRenamed("new_shard", "shard")
+    # a row a block, whose number does not grow with the data
+    going = stored.filter(touched).join(F.broadcast(moves.select("block", "cut", "new_shard")), ["block", "cut"]).drop("shard", "part").withColumnRenamed("new_shard", "shard")
     write_layout(going.withColumn("part", F.pmod(F.hash("cut", "block", F.lit(1)), F.lit(PARTS)).cast("int")), f"{folder}-next")
     kept = stored.filter(~touched)
     columns = ["doc_id", "size", "text_crc32", "shard", "block", "cut"]
-    there = [kept.select(*columns)] + ([spark.read.parquet(f"{folder}-next").select(*columns)] if where else [])
+    there = [kept.select(*columns)] + ([read_layout(spark, f"{folder}-next").select(*columns)] if where else [])
     return there[0].union(there[-1]) if where else there[0]
 
 

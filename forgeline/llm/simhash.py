@@ -168,8 +168,8 @@ def links(fingerprints: DataFrame, radius: int = 4, most: int = MEMBERS) -> Data
 
 
 def groups(df: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, f (long) and component_id (the smallest doc_id reachable) of documents (doc_id, text)."""
-    prints = checkpointed(df.select("doc_id", fingerprint_of(F.col("text"), words).alias("f")))
+    """doc_id, digest (of the text), f (long) and component_id (the smallest doc_id reachable) of documents (doc_id, text)."""
+    prints = checkpointed(df.select("doc_id", F.xxhash64("text").alias("digest"), fingerprint_of(F.col("text"), words).alias("f")))
     return prints.join(labelled(prints, radius), "f")
 
 
@@ -188,11 +188,13 @@ def fingerprints(df: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each group, with all its columns: that with the smallest doc_id (of rows that repeat it, one).
+    """One document of each group, with all its columns: the one with the smallest doc_id (then digest of its text).
 
-    Only doc_id and fingerprint are shuffled by group; whole rows are joined back by doc_id.
+    Of rows that repeat doc_id and text one stays. Only ids, digests and fingerprints are shuffled by group; whole rows are joined
+    back by id and digest.
     """
-    found = groups(docs, words, radius)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
-    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    return same.dropDuplicates(["doc_id"])
+    found = groups(docs, words, radius).withColumn("_root", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("f"))))
+    kept = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest"))
+    one = docs.withColumn("_same", F.xxhash64("text")).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_same"])
+    return one.drop("_same")
