@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgeline.schemas import SENSORS
@@ -29,12 +29,17 @@ def unstack_counts(df: DataFrame, row: str, column: str, values: list) -> DataFr
 def cut_points(df: DataFrame, at: str, shares: tuple[float, ...] = (0.70, 0.85)) -> DataFrame:
     """One row (cut_1, cut_2, ...): the instants at share * n of the sorted distinct ones, the product cut off as a double.
 
-    The distinct instants are ranked by counting in ranges, so no task sorts them all.
+    The distinct instants are counted by hour; only the hours that hold a cut are ranked inside, so no task orders them all.
     """
-    distinct = df.select(F.col(at).alias("_t")).filter("_t IS NOT NULL").distinct()
-    days = distinct.groupBy(F.date_trunc("day", "_t").alias("_d")).agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
-    rows = days.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_d", "_ts"))), lambda x: x["_ts"])).alias("_all"))
-    return rows.select(*[F.get("_all", F.floor(F.size("_all") * F.lit(float(s))).cast("int")).alias(f"cut_{i + 1}") for i, s in enumerate(shares)])
+    distinct = df.select(F.col(at).alias("_t")).filter("_t IS NOT NULL").distinct().withColumn("_h", F.date_trunc("hour", "_t"))
+    run = Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    counted = distinct.groupBy("_h").agg(F.count("*").alias("_n"))
+    placed = counted.select("_h", "_n", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    wanted = F.array(*[F.floor(F.col("_all") * F.lit(float(s))) for s in shares])
+    holding = placed.withColumn("_wanted", wanted).filter(F.exists("_wanted", lambda w: (w >= F.col("_start")) & (w < F.col("_start") + F.col("_n"))))
+    inside = Window.partitionBy("_h").orderBy("_t")
+    ranked = distinct.join(F.broadcast(holding), "_h").withColumn("_rank", F.col("_start") + F.row_number().over(inside) - 1)  # an hour a cut at most
+    return ranked.agg(*[F.min(F.when(F.col("_rank") == F.get("_wanted", F.lit(i)), F.col("_t"))).alias(f"cut_{i + 1}") for i in range(len(shares))])
 
 
 def split_set(at: Column) -> Column:
