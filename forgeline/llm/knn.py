@@ -10,7 +10,7 @@ vectors a group needs; each block is solved locally against the group's queries,
 
 What reaches the driver is bounded by pivots and groups: summaries of PIVOTS * (k + 2) numbers and up to ``GROUPS``
 group bounds. Bounds allow for rounding in float64; scores are exact integers while k-th products stay below 2^53
-(64-bit integers beyond).
+(64-bit integers beyond, and an error where those don't hold them).
 
 Vectors that are null or hold null or non-finite components take no part; shorter vectors count as filled up with zeros.
 Ties go to the smaller vec_id. Rows that repeat a vec_id count each; a row is never its own neighbour, nor are rows with
@@ -59,6 +59,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if most < 2.0**53:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if most >= 2.0**63:
+        raise OverflowError("inner products need more than 64 bits")
     return a @ b.T
 
 
@@ -113,7 +115,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     shape = data.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     width = max(shape["width"] or 0, asked["width"] or 0)
-    if not width or not asked["n"]:
+    if not shape["n"] or not asked["n"] or not width:
         return spark.createDataFrame([], empty)
     pivots = sample(data, PIVOTS, width)
     cells = summaries(data, pivots, k)

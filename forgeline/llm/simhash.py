@@ -194,7 +194,7 @@ def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     back by id and digest.
     """
     found = groups(docs, words, radius).withColumn("_root", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("f"))))
-    kept = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.digest").alias("_digest")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest"))
-    one = docs.withColumn("_same", F.xxhash64("text")).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_same"])
-    return one.drop("_same")
+    kept = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("k"))
+    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_digest": F.xxhash64("text")}
+    wanted = kept.select(F.col("k.n").alias("_none"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.digest").alias("_digest"))
+    return docs.withColumns(keys).join(wanted, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
