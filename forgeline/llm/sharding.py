@@ -7,7 +7,8 @@ driver; blocks, documents and texts stay in Spark.
 
 A block holds the documents whose texts share a hash, so equal texts stay together; the blocks' number is ``BLOCKS``. A block with more
 bytes than ``HEAVY`` of a shard is cut by a second hash of the text, and what is still as heavy by doc_id, which only takes very
-many copies of one text. Law `bytes`: the shards' sizes differ by a block or so. Null texts have size 1 and are one group.
+many copies of one text. Large blocks are placed first, so that a shard's end falls among small ones. Law `bytes`: the
+shards' sizes differ by a block or so. Null texts have size 1 and are one group.
 
 Null doc_ids and rows that repeat a doc_id are rows like any other. Empty tables give empty results.
 """
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 from forgeline.llm.common import saved, shared_dir
 
 BLOCKS = 4096
-#: Share of a shard's capacity from which a block is cut.
-HEAVY = 1 / 16
+#: Share of a shard's capacity from which a block is cut, and from which several tasks take it.
+HEAVY, LARGE = 1 / 2, 1 / 64
 CUTS = 64
 #: Parts of a shard, each a folder of its own.
 PARTS = 8
-STORED = "doc_id long, text string, size long, text_crc32 long, block int, cut int, shard int, part int"
+STORED = "doc_id long, text string, size long, text_crc32 long, block int, cut int, lane int, shard int, part int"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -70,21 +71,24 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"size": (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), "text_crc32": F.crc32(data)})
 
 
-def heavy(rows: DataFrame, keys: list[str], most: float) -> DataFrame:
-    """The keys with more than ``most`` bytes; at most total / most of them."""
-    return rows.groupBy(*keys).agg(F.sum("size").alias("_b")).filter(F.col("_b") > most).select(*keys, F.lit(True).alias("_heavy"))
-
-
 def blocked(rows: DataFrame, shards: int, blocks: int = BLOCKS) -> DataFrame:
-    """``rows`` with block and cut: one for each group of texts, heavy ones cut by a second hash and then by doc_id."""
+    """``rows`` with block and cut, the unit that moves, and lane, a share of a large block that one task can take.
+
+    Large blocks and heavy ones are found from one row a block, so at most shards / LARGE of them reach the driver.
+    """
     rows = rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"))
-    most = max(1.0, (rows.agg(F.sum("size")).first()[0] or 0) / shards * HEAVY)
+    sums = {r["block"]: r["b"] for r in rows.groupBy("block").agg(F.sum("size").alias("b")).collect()}  # ``blocks`` rows at most
+    shard = max(1, sum(sums.values())) / shards
+    large, heavy = ([b for b, n in sums.items() if n > shard * share] for share in (LARGE, HEAVY))
+    share = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CUTS))
+    rows = rows.withColumn("lane", F.when(F.col("block").isin(large), share(3)).otherwise(0).cast("int") if large else F.lit(0))
+    if not heavy:
+        return rows.withColumn("cut", F.lit(0))
     by_text = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(CUTS)) + 1
-    once = rows.join(F.broadcast(heavy(rows, ["block"], most)), "block", "left")  # shards / HEAVY rows at most
-    once = once.withColumn("cut", F.when(F.col("_heavy"), by_text).otherwise(F.lit(0)).cast("int")).drop("_heavy")
-    twice = once.join(F.broadcast(heavy(once.filter("cut > 0"), ["block", "cut"], most)), ["block", "cut"], "left")
-    by_id = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CUTS)) + 1
-    return twice.withColumn("cut", (F.col("cut") * (CUTS + 1) + F.when(F.col("_heavy"), by_id).otherwise(0)).cast("int")).drop("_heavy")
+    rows = rows.withColumn("cut", F.when(F.col("block").isin(heavy), by_text).otherwise(0).cast("int"))
+    parts = rows.filter("cut > 0").groupBy("block", "cut").agg(F.sum("size").alias("b")).filter(F.col("b") > shard * HEAVY).collect()  # shards / HEAVY at most
+    single = F.struct("block", "cut").isin([F.struct(F.lit(r["block"]).alias("block"), F.lit(r["cut"]).alias("cut")) for r in parts]) if parts else F.lit(False)
+    return rows.withColumn("cut", (F.col("cut") * (CUTS + 1) + F.when(single, share(7) + 1).otherwise(0)).cast("int"))
 
 
 def first_layout(docs: DataFrame, shards: int, blocks: int = BLOCKS, final_shards: int | None = None) -> DataFrame:
@@ -101,13 +105,13 @@ def read_layout(spark: SparkSession, folder: str) -> DataFrame:
 def write_layout(rows: DataFrame, folder: str) -> None:
     """One folder for each shard and part; ranges of blocks go to a task, so that a part may have many files."""
     stored = rows.select(*[c.split()[0] for c in STORED.split(", ")])
-    stored.repartitionByRange("shard", "part", "block", "cut").write.partitionBy("shard", "part").option("compression", "zstd").parquet(folder)
+    stored.repartitionByRange("shard", "part", "block", "cut", "lane").write.partitionBy("shard", "part").option("compression", "zstd").parquet(folder)
 
 
 def plan(stored: DataFrame, capacities: list[int] | None, shards: int) -> DataFrame:
     """(shard, part, block, cut, rows, new_shard) of all blocks. Without capacities shards get equal shares.
 
-    In each old shard blocks stand in order of size and hash; running sums of their bytes are cut at the flow's amounts.
+    In each old shard large blocks come first, then all by part and hash; running sums of their bytes are cut at the flow's amounts.
     """
     blocks = saved(stored.groupBy("shard", "part", "block", "cut").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "blocks")
     old = {r["shard"]: r["b"] for r in blocks.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()}
@@ -122,13 +126,15 @@ def plan(stored: DataFrame, capacities: list[int] | None, shards: int) -> DataFr
                 ends.append((i, j, at, at + row[j]))
                 at += row[j]
     cuts = stored.sparkSession.createDataFrame(ends, "shard int, new_shard int, a long, b long")
-    ordered = Window.partitionBy("shard").orderBy("part", F.xxhash64("block", "cut"), "block", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    usual = F.avg("bytes").over(Window.partitionBy("shard"))
+    blocks = blocks.withColumn("_large", F.col("bytes") > 4 * usual)
+    ordered = Window.partitionBy("shard").orderBy(F.desc("_large"), "part", F.xxhash64("block", "cut"), "block", "cut").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("_m", F.coalesce(F.sum("bytes").over(ordered), F.lit(0)) + F.floor(F.col("bytes") / 2))
-    return placed.join(F.broadcast(cuts), "shard").filter("_m >= a AND _m < b").drop("a", "b", "_m")
+    return placed.join(F.broadcast(cuts), "shard").filter("_m >= a AND _m < b").drop("a", "b", "_m", "_large")
 
 
 def reshard(folder: str, docs: DataFrame, capacities: list[int] | None = None, shards: int = 8) -> DataFrame:
-    """Rewrite the affected parts of a layout; returns (doc_id, size, text_crc32, shard, block, cut) read from the new files.
+    """Rewrite the affected parts of a layout; returns (doc_id, size, text_crc32, shard, block, cut, lane) read from the new files.
 
     Parts all of whose blocks stay are kept where they are; blocks of other parts are read and written to the next generation,
     ``folder``-next, at their new places.
@@ -143,16 +149,16 @@ def reshard(folder: str, docs: DataFrame, capacities: list[int] | None = None, s
     going = stored.filter(touched).join(F.broadcast(moves.select("block", "cut", "new_shard")), ["block", "cut"]).drop("shard", "part").withColumnRenamed("new_shard", "shard")
     write_layout(going.withColumn("part", F.pmod(F.hash("cut", "block", F.lit(1)), F.lit(PARTS)).cast("int")), f"{folder}-next")
     kept = stored.filter(~touched)
-    columns = ["doc_id", "size", "text_crc32", "shard", "block", "cut"]
+    columns = ["doc_id", "size", "text_crc32", "shard", "block", "cut", "lane"]
     there = [kept.select(*columns)] + ([read_layout(spark, f"{folder}-next").select(*columns)] if where else [])
     return there[0].union(there[-1]) if where else there[0]
 
 
 def slots(rows: DataFrame) -> DataFrame:
-    """``rows`` with slot: their place in the shard from 0, by block, cut and doc_id, numbered block by block."""
-    place = ["shard", "block", "cut"]
+    """``rows`` with slot: their place in the shard from 0, by block, cut, lane and doc_id, numbered lane by lane."""
+    place = ["shard", "block", "cut", "lane"]
     counts = rows.groupBy(*place).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("block", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy("block", "cut", "lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inner = Window.partitionBy(*place).orderBy("doc_id", "size", "text_crc32")
     return rows.withColumn("_k", F.row_number().over(inner) - 1).join(starts, place).withColumn("slot", F.col("_start") + F.col("_k")).drop("_k", "_start")
