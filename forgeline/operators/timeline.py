@@ -26,8 +26,8 @@ def _readings(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.withColumns(new).filter("NOT _is_event").select("_row.*", *new)
 
 
-def lookback(readings: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Incidents in [t - 24h, t) and [t - 7d, t): counts, largest severity, flag sums; hours since the last one before t."""
+def _past() -> dict[str, Column]:
+    """What is known of incidents before a reading, as columns over the time line."""
     line = Window.partitionBy("machine_id").orderBy("_us")
     day, week, ever = line.rangeBetween(-DAY, -1), line.rangeBetween(-7 * DAY, -1), line.rangeBetween(Window.unboundedPreceding, -1)
     event = F.when(F.col("_is_event"), F.lit(1))
@@ -37,31 +37,28 @@ def lookback(readings: DataFrame, incidents: DataFrame) -> DataFrame:
         "incident_count_prev_7d": F.count(event).over(week),
         "hours_since_last_incident": (F.col("_us") - F.max(F.when(F.col("_is_event"), F.col("_us"))).over(ever)) / float(HOUR),
     }
-    new |= {f"{f}_count_prev_24h": F.coalesce(F.sum(f"_e_{f}").over(day), F.lit(0)) for f in FLAGS}
-    return _readings(on_time_line(readings, incidents, columns=("severity", *FLAGS)), new)
+    return new | {f"{f}_count_prev_24h": F.coalesce(F.sum(f"_e_{f}").over(day), F.lit(0)) for f in FLAGS}
+
+
+def _ahead(is_event: Column, horizons: tuple[int, ...]) -> dict[str, Column]:
+    line = Window.partitionBy("machine_id").orderBy("_us")
+    return {f"label_failure_next_{h}h": F.count(F.when(is_event, 1)).over(line.rangeBetween(1, h * HOUR)) > 0 for h in horizons}
+
+
+def lookback(readings: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Incidents in [t - 24h, t) and [t - 7d, t): counts, largest severity, flag sums; hours since the last one before t."""
+    return _readings(on_time_line(readings, incidents, columns=("severity", *FLAGS)), _past())
 
 
 def labels(readings: DataFrame, events: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """label_failure_next_{h}h: an event in (t, t + h]."""
-    line = Window.partitionBy("machine_id").orderBy("_us")
-    new = {f"label_failure_next_{h}h": F.count(F.when(F.col("_is_event"), 1)).over(line.rangeBetween(1, h * HOUR)) > 0 for h in horizons}
-    return _readings(on_time_line(readings, events), new)
+    return _readings(on_time_line(readings, events), _ahead(F.col("_is_event"), horizons))
 
 
 def lookback_and_labels(readings: DataFrame, incidents: DataFrame) -> DataFrame:
     """``lookback`` of all incidents and ``labels`` of label events (is_label_event) on one time line."""
-    line = Window.partitionBy("machine_id").orderBy("_us")
-    day, week, ever = line.rangeBetween(-DAY, -1), line.rangeBetween(-7 * DAY, -1), line.rangeBetween(Window.unboundedPreceding, -1)
-    event = F.when(F.col("_is_event"), F.lit(1))
-    new = {
-        "incident_count_prev_24h": F.count(event).over(day),
-        "incident_max_severity_prev_24h": F.coalesce(F.max("_e_severity").over(day), F.lit(0)),
-        "incident_count_prev_7d": F.count(event).over(week),
-        "hours_since_last_incident": (F.col("_us") - F.max(F.when(F.col("_is_event"), F.col("_us"))).over(ever)) / float(HOUR),
-    }
-    new |= {f"{f}_count_prev_24h": F.coalesce(F.sum(f"_e_{f}").over(day), F.lit(0)) for f in FLAGS}
-    new |= {f"label_failure_next_{h}h": F.count(F.when(F.col("_e_is_label_event"), 1)).over(line.rangeBetween(1, h * HOUR)) > 0 for h in HORIZONS}
-    return _readings(on_time_line(readings, incidents, columns=("severity", "is_label_event", *FLAGS)), new)
+    line = on_time_line(readings, incidents, columns=("severity", "is_label_event", *FLAGS))
+    return _readings(line, _past() | _ahead(F.col("_e_is_label_event"), HORIZONS))
 
 
 def maintenance_lookback(readings: DataFrame, maintenance: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forgeline.functions import scalars as S
 from forgeline.operators import profile, quality, reshape, timeline, windows
 from forgeline.schemas import FLAGS, MEASURES, gold_columns
+from forgeline.sources.scratch import materialized
 
 
 def bronze_readings(raw: DataFrame, grain: str = "instant") -> DataFrame:
@@ -63,10 +64,10 @@ def train_statistics(wide: DataFrame) -> DataFrame:
 def gold(silver: DataFrame, incidents: DataFrame, batch: str = "batch") -> DataFrame:
     """The feature table: 78 columns, one row for each machine and instant.
 
-    Windows, time line and labels are partitioned by machine; the cuts are one row and the train statistics one
-    row a machine.
+    The wide readings feed the features, the cuts and the train statistics, so they are written once. Windows, time line and
+    labels are partitioned by machine; the cuts are one row and the train statistics one row a machine.
     """
-    wide = wide_readings(silver)
+    wide = materialized(wide_readings(silver), "wide")
     rows = windows.differences(windows.rolling(windows.hour_aggregates(wide)))
     rows = reshape.with_split(rows, "observed_at", reshape.cut_points(wide, "observed_at"))
     rows = rows.join(train_statistics(rows), "machine_id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -21,3 +21,10 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if base.startswith("file:") and not base.startswith("file:///"):
         base = "file:///" + base[5:].lstrip("/")
     return f"{base}/{what}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what several branches of a plan use is computed once."""
+    path = shared_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
