@@ -78,15 +78,18 @@ def signed(x: int) -> int:
 
 def keys(fingerprints: DataFrame, radius: int) -> DataFrame:
     """(table, key, f) of the first covering."""
-    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.col("f").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks(radius))])
-    return fingerprints.select("f", F.explode(tables).alias("t")).select("t.table", "t.key", "f")
+    under = [F.col("f").bitwiseAND(F.lit(signed(m))) for m in masks(radius)]
+    return fingerprints.select(F.posexplode(F.array(*under)).alias("table", "key"), "f")
 
 
 def keys_again(rows: DataFrame, radius: int) -> DataFrame:
     """The second covering: (table, key, f) with the first key's bits and half of those free under it."""
     full, size = (1 << 64) - 1, (1 << (radius + 1)) - 1
-    options = [F.array(*[F.struct(F.lit((k + 1) * size + j).alias("table"), F.col("f").bitwiseAND(F.lit(signed(m | n))).alias("key")) for j, n in enumerate(masks(radius, full & ~m))]) for k, m in enumerate(masks(radius))]
-    return rows.select("f", F.explode(F.element_at(F.array(*options), F.col("table") + 1)).alias("t")).select("t.table", "t.key", "f")
+    both = [[signed(m | n) for n in masks(radius, full & ~m)] for m in masks(radius)]
+    literal = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x}L" for x in row) + ")" for row in both) + ")")  # one constant in the plan
+    under = F.transform(F.element_at(literal, F.col("table") + 1), lambda m: F.col("f").bitwiseAND(m))
+    again = rows.select("f", "table", F.posexplode(under).alias("_at", "key"))
+    return again.select(((F.col("table") + 1) * size + F.col("_at")).cast("int").alias("table"), "key", "f")
 
 
 def spanning(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
