@@ -20,6 +20,7 @@ attempt leaves nothing behind that is read. Memory in a task: one Arrow batch an
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +32,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from forgeline.llm.bpe import PieceSplitter
 from forgeline.llm.common import prefix_sums, saved, shared_dir
@@ -41,6 +43,10 @@ BLOCK = 2048
 FITTING = 0.9
 HEADER = struct.Struct("<IBH")
 TAIL = struct.Struct("<QQQ8s")
+#: Words that are empty, begin or end with white space, or hold any but single line feeds.
+ODD = re.compile(r"^\s|\s$|[^\S\n]|\n\n|^$").search
+#: Words that a worker remembers.
+WORDS = 1_200_000
 MANIFEST = "part long, file string, documents long, tokens long, bytes long"
 
 
@@ -127,17 +133,49 @@ class Reader:
         return np.concatenate([unpack_block(data, int(self.starts[k]) - begin) for k in range(first, last)])[a - first * BLOCK : b - first * BLOCK]
 
 
-@functools.lru_cache(maxsize=2)
-def library_splitter(path: str) -> PieceSplitter:
-    """Split tokens encoded by the tokenizers library, each once while a worker remembers it."""
-    from tokenizers import Tokenizer
+class LibrarySplitter(PieceSplitter):
+    """Words encoded by the tokenizers library, many in one call, and whole texts where words don't stand for themselves.
+
+    Words go to the library as one text, each after a space. Only a word's first token holds that space, so the tokens that
+    start with one mark where the words begin.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    model = tokenizer.encode
-    return PieceSplitter(lambda token: np.array(model(token, add_special_tokens=False).ids, "<i4").tobytes(), specials)
+    def __init__(self, path: str):
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+        super().__init__(self._alone, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, WORDS)
+        space = tokenizer.id_to_token(int(self.encode(" ")[0]))
+        vocabulary = tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+
+    def _alone(self, text: str) -> bytes:
+        return self.encode(text).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        return self.tokens[text] if len(text) < 32 else self._alone(text)
+
+    def whole(self, text: str) -> bytes:
+        return self._alone(text)
+
+    def learn(self, words: set[str]) -> None:
+        odd = {w for w in words if ODD(w)}
+        even = list(words.difference(odd))
+        if even:
+            ids = self.encode(" " + " ".join(even))
+            begins = (4 * np.flatnonzero(self.starts[ids])).tolist()
+            if len(begins) != len(even):
+                raise ValueError("the vocabulary does not keep words apart")
+            data = ids.tobytes()
+            self.words.update(zip(even, [data[a:b] for a, b in zip(begins, [*begins[1:], len(data)])]))
+        self.words.update((w, None if not w or w[0].isspace() or w[-1].isspace() else self._alone(" " + w)) for w in odd)
+
+
+@functools.lru_cache(maxsize=2)
+def library_splitter(path: str) -> LibrarySplitter:
+    return LibrarySplitter(path)
 
 
 def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
@@ -156,7 +194,7 @@ def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFr
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 writer = Writer(system.open_output_stream(path))
             if batch.num_rows:
-                writer.add(batch["doc_id"].to_pylist(), [encode(t) + end for t in batch["text"].to_pylist()])
+                writer.add(batch["doc_id"].to_pylist(), [ids + end for ids in encode.many(batch["text"].to_pylist())])
         if writer is not None:
             size = writer.close()
             writer.out.close()
@@ -178,7 +216,8 @@ def read(manifest: DataFrame, at_once: int = 4_000_000) -> DataFrame:
                 with system.open_input_file(path) as file:
                     yield from rows_of(Reader(file), row["base"], at_once)
 
-    return starts.select("file", "base").repartition("file").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a file a task, or a few; the number given keeps Spark from joining small partitions
+    return starts.select("file", "base").repartition(max(1, manifest.count()), "file").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def rows_of(reader: Reader, base: int, at_once: int) -> Iterator[pa.RecordBatch]:
