@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and split tokens that a worker remembers. Beyond these it forgets the newer half: common ones come early.
-WORDS, TOKENS = 300_000, 100_000
+WORDS, TOKENS = 400_000, 100_000
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS = 512
 
 
 def byte_characters() -> list[str]:
@@ -55,40 +57,71 @@ class PieceSplitter:
     """Packed ids (32-bit little-endian) of whole texts, from the ids of split tokens.
 
     Between two words of a text without odd white space a token always starts at the single space, so words are
-    looked up whole; other texts are split by the pattern. ``token_ids`` turns a split token into packed ids.
+    looked up whole, the unknown ones of many texts together; other texts are split by the pattern. ``token_ids`` turns a
+    split token into packed ids.
     """
 
     def __init__(self, token_ids: Callable[[str], bytes], specials: dict[str, int], words: int = WORDS, tokens: int = TOKENS):
-        self.tokens = Remembered(token_ids, tokens)
-        self.words = Remembered(self.word, words)
+        self.tokens, self.words, self.most = Remembered(token_ids, tokens), {}, words
         self.split = regex.compile(PATTERN).findall
         self.specials = {k: np.int32(v).tobytes() for k, v in specials.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
     def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens, by the pattern."""
         return b"".join([self.tokens[t] for t in self.split(text)])
 
-    def word(self, word: str) -> bytes | None:
-        """Ids of a space and a word; None where the word does not stand for itself."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        return self.plain(" " + word)
-
-    def ordinary(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        if first and first[-1].isspace():
-            return self.plain(text)
-        try:
-            return self.plain(first) + b"".join([self.words[w] for w in words])
-        except TypeError:  # a None among them
+    def whole(self, text: str) -> bytes:
+        """Ids of any text, by the pattern."""
+        if self.special is None or not self.special.search(text):
             return self.plain(text)
+        return b"".join(self.specials[t] if t in self.specials else self.plain(t) for t in self.special.split(text) if t)
+
+    def encoded_words(self, words: list[str]) -> Iterable[bytes]:
+        """Ids of a space and a word, for each of some words that neither start nor end with white space."""
+        return [self.plain(" " + w) for w in words]
+
+    def learn(self, words: set[str]) -> None:
+        """Take unknown words up; those that do not stand for themselves as None."""
+        alone = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        self.words.update(dict.fromkeys(words))
+        self.words.update(zip(alone, self.encoded_words(alone)))
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.special is None or not self.special.search(text):
-            return self.ordinary(text)
-        return b"".join(self.specials[t] if t in self.specials else self.ordinary(t) for t in self.special.split(text) if t)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None], at_once: int = 1 << 20) -> list[bytes]:
+        """Packed ids of many texts; words are collected over about ``at_once`` characters."""
+        out, group, held = [], [], 0
+        for text in texts:
+            group.append(text or "")
+            held += len(group[-1])
+            if held >= at_once:
+                out += self._group(group)
+                group, held = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        split = [None if self.special is not None and self.special.search(t) else t.split(" ") for t in texts]
+        if len(self.words) > self.most:
+            for _ in range(self.most // 2):
+                self.words.popitem()
+        unknown: set[str] = set()
+        for words in split:
+            if words:
+                unknown.update(words[1:])
+        self.learn(unknown.difference(self.words))
+        ids = self.words.__getitem__
+        out = []
+        for text, words in zip(texts, split):
+            if words is None or (words[0] and words[0][-1].isspace()):
+                out.append(self.whole(text))
+                continue
+            try:
+                out.append(self.plain(words[0]) + b"".join(map(ids, words[1:])))
+            except TypeError:  # a None among them
+                out.append(self.whole(text))
+        return out
 
 
 class BytePairs:
@@ -175,7 +208,7 @@ def ids_of(text: Column, tokenizer: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         ids = splitter(tokenizer)
-        return id_lists([ids(t) for t in texts.to_pylist()])
+        return id_lists([packed for k in range(0, len(texts), ROWS) for packed in ids.many(texts.slice(k, ROWS).to_pylist())])
 
     return encode(text)
 
@@ -187,7 +220,11 @@ def text_of(ids: Column, tokenizer: str) -> Column:
     def decode(lists: pa.Array) -> pa.Array:
         pairs = vocabulary(tokenizer)
         values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        return pa.array([pairs.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        parts = [pa.array([], pa.string())]
+        for k in range(0, len(lists), ROWS):
+            own = ends[k : k + ROWS + 1]
+            parts.append(pa.array([pairs.decode(values[a:b].tolist()) for a, b in zip(own[:-1], own[1:])], pa.string()))
+        return pa.concat_arrays(parts)
 
     return decode(ids)
 
@@ -202,9 +239,25 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
     return df.withColumn(text_col, text_of(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), tokenizer))
 
 
+def both_of(text: Column, tokenizer: str) -> Column:
+    """struct<ids: array<int>, decoded: string>: the ids of a text and their text, in one pass through a worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def round_trip(texts: pa.Array) -> pa.Array:
+        ids, pairs = splitter(tokenizer), vocabulary(tokenizer)
+        packed, parts = [], [pa.array([], pa.string())]
+        for k in range(0, len(texts), ROWS):
+            own = ids.many(texts.slice(k, ROWS).to_pylist())
+            packed += own
+            parts.append(pa.array([pairs.decode(np.frombuffer(p, "<i4").tolist()) for p in own], pa.string()))
+        return pa.StructArray.from_arrays([id_lists(packed), pa.concat_arrays(parts)], names=["ids", "decoded"])
+
+    return round_trip(text)
+
+
 def digests(df: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, through ``encode`` and ``decode``."""
-    both = decode(encode(df.select("doc_id", "text"), tokenizer), tokenizer)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, encoded and decoded."""
+    both = df.select("doc_id", both_of(F.col("text"), tokenizer).alias("_both")).select("doc_id", "_both.ids", "_both.decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
