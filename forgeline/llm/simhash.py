@@ -33,6 +33,8 @@ from forgeline.llm.components import components
 
 #: Most fingerprints of a key that are searched as they stand.
 MEMBERS = 1 << 15
+#: Tasks that share a component's fingerprints when it is named.
+SALTS = 32
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles that are counted at once, so that long texts need no more memory.
 AT_ONCE = 1 << 16
@@ -180,9 +182,12 @@ def labelled(prints: DataFrame, radius: int) -> DataFrame:
     """(f, component_id), each fingerprint once; ``prints`` has doc_id and f."""
     nodes = prints.groupBy("f").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("f"), radius))
-    rooted = nodes.join(roots, nodes.f == roots.node, "left").select("f", "least", F.coalesce("root", "f").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return checkpointed(rooted.join(named, "root").select("f", "component_id"))
+    rooted = checkpointed(nodes.join(roots, nodes.f == roots.node, "left").select("f", "least", "root"))
+    linked = rooted.filter("root IS NOT NULL").withColumn("_salt", F.pmod(F.xxhash64("f"), F.lit(SALTS)))
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # a component of very many fingerprints is met by SALTS tasks; fingerprints without links need no join
+    both = linked.join(named, ["root", "_salt"]).select("f", "component_id")
+    return checkpointed(both.union(rooted.filter("root IS NULL").select("f", F.col("least").alias("component_id"))))
 
 
 def fingerprints(df: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
