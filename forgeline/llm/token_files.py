@@ -46,7 +46,7 @@ TAIL = struct.Struct("<QQQ8s")
 #: Words that are empty, begin or end with white space, or hold any but single line feeds.
 ODD = re.compile(r"^\s|\s$|[^\S\n]|\n\n|^$").search
 #: Words that a worker remembers.
-WORDS = 1_200_000
+WORDS = 1_700_000
 MANIFEST = "part long, file string, documents long, tokens long, bytes long"
 
 
