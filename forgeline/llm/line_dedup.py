@@ -9,6 +9,13 @@ stay copies of each other, which is for near-duplicate removal to settle.
 Counts are combined before the shuffle, so a chunk that a third of all documents hold reaches its task as one row
 a map task; the join back has one row a chunk on one side, so Spark can split the other. Null texts stay null and have no
 lines; a null doc_id counts as the smallest. Rows that repeat doc_id and text get equal results.
+
+``without_repeats`` does more, for the pipeline: beside the chunks, every passage of ``PASSAGE`` words or more that stands
+elsewhere goes, whatever its neighbours. Texts are cut into units (lines, sentences, clauses), by the characters at
+the cut alone; at each unit the shortest run of units with ``PASSAGE`` words that starts there, and the one that ends there, are
+hashed. All such runs within a repeated passage of whole units are repeated too and cover it to its last unit. A unit that
+goes always has an equal one at an earlier place, so some occurrence stays; units that stand in a first occurrence and overlap a
+later one of the same text stay as well.
 """
 
 from __future__ import annotations
@@ -21,6 +28,12 @@ from pyspark.sql import functions as F
 #: Lines in a chunk, about.
 DIVISOR = 3
 FACTOR = 31
+#: Words of the shortest passage that goes wherever it stands.
+PASSAGE = 50
+#: Cuts after a line feed or the punctuation of a sentence or clause.
+CUT = r"""(?<=\n)|(?<=[.!?;:,] )|(?<=[.!?;:,]["')\]] )|(?<=[。！？；：，、])"""
+#: A unit counts at least one word for so many bytes, for scripts without spaces.
+WORD_BYTES = 16
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -33,7 +46,7 @@ def line_hash(line: Column) -> Column:
 
 
 def chunks(text: Column, divisor: int = DIVISOR) -> Column:
-    """array<struct<no, lines, text>> of a text's chunks; joined by line feeds they are the text."""
+    """array<struct<no, line, lines, text>> (line: the first one's number) of a text's chunks; joined by line feeds they are the text."""
 
     def cut(lines: Column, hashes: Column) -> Column:
         last = F.size(lines) - 1
@@ -45,7 +58,7 @@ def chunks(text: Column, divisor: int = DIVISOR) -> Column:
         def pieces(stops: Column) -> Column:
             def piece(stop: Column, k: Column) -> Column:
                 start = F.when(k > 0, F.get(stops, k - 1) + 1).otherwise(F.lit(0))
-                return F.struct(k.cast("int").alias("no"), (stop - start + 1).alias("lines"), F.array_join(F.slice(lines, start + 1, stop - start + 1), "\n").alias("text"))
+                return F.struct(k.cast("int").alias("no"), start.cast("int").alias("line"), (stop - start + 1).alias("lines"), F.array_join(F.slice(lines, start + 1, stop - start + 1), "\n").alias("text"))
 
             return F.transform(stops, piece)
 
@@ -103,6 +116,91 @@ def report(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     )
 
 
+def units(text: Column) -> Column:
+    """The units of a text; concatenated they are the text."""
+    return F.split(text, CUT, -1)
+
+
+def bare(unit: Column) -> Column:
+    return F.trim(unit, F.lit(" \t\r\n"))
+
+
+def words(unit: Column) -> Column:
+    """Words of a unit (none: white space only), not fewer than there are between white space."""
+    spaced = F.length(unit) - F.length(F.translate(unit, " \t", "")) + 1
+    return let(bare(unit), lambda t: F.when(t == "", F.lit(0)).otherwise(F.greatest(spaced, F.ceil(F.octet_length(t) / WORD_BYTES).cast("int"))))
+
+
+def spans(text: Column, divisor: int = DIVISOR, passage: int = PASSAGE) -> Column:
+    """array<struct<key, start, stop>>: units of the chunks with two or more lines and of the runs of ``passage`` words."""
+
+    def runs(pieces: Column, owner: Column) -> Column:
+        """``owner``: the unit of each word of the text."""
+        n = F.size(owner)
+
+        def ends(firsts: Column) -> Column:
+            pack = lambda a, b: F.shiftleft(F.get(owner, a).cast("long"), 32) + F.get(owner, b)
+            ahead = F.transform(F.filter(firsts, lambda w: w + passage <= n), lambda w: pack(w, w + (passage - 1)))
+            lasts = F.concat(F.transform(F.filter(firsts, lambda w: w > 0), lambda w: w - 1), F.array(n - 1))
+            behind = F.transform(F.filter(lasts, lambda w: w >= passage - 1), lambda w: pack(w - (passage - 1), w))
+            return F.array_distinct(F.concat(ahead, behind))
+
+        def keyed(hashes: Column, packed: Column) -> Column:
+            def span(p: Column) -> Column:
+                start, stop = F.shiftright(p, 32).cast("int"), p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+                return F.struct(F.unhex(F.md5(F.array_join(F.slice(hashes, start + 1, stop - start + 1), ""))).alias("key"), start.alias("start"), stop.alias("stop"))
+
+            return F.transform(packed, span)
+
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda w: (w == 0) | (F.get(owner, w) != F.get(owner, w - 1)))
+        hashes = F.transform(pieces, lambda u: let(bare(u), lambda t: F.when(t == "", t).otherwise(F.md5(t))))
+        none = F.array().cast("array<struct<key:binary,start:int,stop:int>>")
+        return F.when(n < passage, none).otherwise(let(hashes, lambda h: let(let(firsts, ends), lambda packed: keyed(h, packed))))
+
+    def whole_chunks(pieces: Column, found: Column) -> Column:
+        last = F.size(pieces) - 1
+        line_ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | F.get(pieces, i).endswith("\n"))
+
+        def placed(at: Column) -> Column:
+            def span(c: Column) -> Column:
+                start = F.when(c["line"] > 0, F.get(at, c["line"] - 1) + 1).otherwise(F.lit(0))
+                return F.struct(F.unhex(F.md5(c["text"])).alias("key"), start.alias("start"), F.get(at, c["line"] + c["lines"] - 1).alias("stop"))
+
+            return F.transform(F.filter(found, lambda c: c["lines"] > 1), span)
+
+        return let(line_ends, placed)
+
+    def both(pieces: Column) -> Column:
+        owner = F.flatten(F.transform(pieces, lambda u, i: F.array_repeat(i, words(u))))
+        return F.concat(let(chunks(text, divisor), lambda found: whole_chunks(pieces, found)), let(owner, lambda o: runs(pieces, o)))
+
+    return F.when(text.isNotNull(), let(units(text), both))
+
+
+def without_repeats(docs: DataFrame, divisor: int = DIVISOR, passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with repeated chunks and repeated passages taken out of their texts (and n_chars, where there is one, set anew)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.explode(spans(F.col("text"), divisor, passage)).alias("s"))
+    found = rows.select("doc_id", "digest", "s.*")
+    groups = found.groupBy("key").agg(
+        F.min(F.struct("doc_id", "digest", "start", "stop")).alias("first"), F.min("digest").alias("_a"), F.max("digest").alias("_b"), F.min("start").alias("_c"), F.max("start").alias("_d")
+    )
+    known = groups.filter("_a <> _b OR _c <> _d").select("key", "first")
+    later = found.join(known, "key").filter((F.col("digest") != F.col("first.digest")) | (F.col("start") != F.col("first.start")))
+    own = F.when(F.col("digest") == F.col("first.digest"), F.greatest("start", F.col("first.stop") + 1)).otherwise(F.col("start"))
+    gone = later.select("doc_id", "digest", own.alias("start"), "stop").filter("start <= stop").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
+    held = gone.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    joined = docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_digest")), "left")
+
+    def rest(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+        kept = F.array_except(F.sequence(F.lit(0), last), F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["stop"]))))
+        left = lambda k: F.array_join(F.transform(k, lambda i: F.get(pieces, i)), "")
+        return let(kept, lambda k: F.when(F.array_contains(k, last), left(k)).otherwise(F.regexp_replace(left(k), r"\n\z", "")))
+
+    rows = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(units(F.col("text")), rest)))
+    return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows).select(*docs.columns)
+
+
 REPORT_SQL = f"""
 WITH d AS (SELECT doc_id, text, md5(text) AS digest FROM documents),
 l AS (SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM d),

@@ -422,6 +422,32 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.deduplicate(docs).columns == docs.columns and line_dedup.report(none).count() == 0
 
 
+def test_repeated_passages_go_whatever_their_neighbours(spark, docs, none):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    planted = [sentence(60)]  # a paragraph of one line
+    planted += ["\n".join(sentence(9) for _ in range(k)) for k in (6, 7, 20)]  # runs of lines
+    planted += [" ".join(sentence(8) for _ in range(7)), "\n".join([sentence(49), sentence(1), sentence(3)])]
+    data = [(0, "\n".join(planted))]
+    for k, p in enumerate(planted):
+        data += [(10 * k + d, sentence(12) + "\n" + p + "\n" + sentence(12)) for d in (1, 2)]
+        data += [(10 * k + 3, p), (10 * k + 4, sentence(12) + " " + p + " " + sentence(12))]
+    unique = [(200, "\n".join(sentence(9) for _ in range(30))), (201, None), (202, ""), (203, "\n\n")]
+    copies = [(300, data[1][1]), (301, data[1][1]), (None, "\n".join(planted[0:1] * 3))]
+    df = spark.createDataFrame(data + unique + copies[:2], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(df).collect()}
+    assert len(got) == len(data) + 6 and got[0] == data[0][1] and all(got[i] == t for i, t in unique)
+    first_words = [p.split()[k] for p in planted for k in range(len(p.split()))]
+    assert not [(i, w) for i, _ in data[1:] for w in first_words if w in got[i].split()]
+    assert all(len(got[10 * k + d].split()) == 24 for k in range(len(planted)) for d in (1, 2, 4)) and got[300] == got[301] == got[1]
+    one = line_dedup.without_repeats(spark.createDataFrame(copies[2:], "doc_id long, text string")).collect()
+    assert one[0]["text"] == planted[0]
+    same = lambda f, *a: Counter((r["doc_id"], r["text"]) for r in f(docs.unionByName(none), *a).select("doc_id", "text").collect())
+    assert same(line_dedup.without_repeats, line_dedup.DIVISOR, 10**6) == same(line_dedup.deduplicate)
+    assert line_dedup.without_repeats(docs).columns == docs.columns and line_dedup.without_repeats(none).count() == 0
+
+
 def test_chunks_resist_shifts():
     lines = texts(9, 200)
     a, b = ({"\n".join(c) for c in plain_chunks("\n".join(x))} for x in (lines, ["one more", *lines]))
