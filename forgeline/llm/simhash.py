@@ -15,6 +15,12 @@ different fingerprints can share a key. So no task holds an unbounded group and
 Null texts are empty; texts without words have fingerprint 0, linked like any other. Rows with equal doc_ids are
 separate documents; null doc_ids take part but never name a component unless all of it is null. Empty tables give
 empty results. Other columns are kept by ``deduplicate`` and never read.
+
+A radius of 4 bits is far from reaching all texts of which most shingles are shared. ``near_copies`` asks for a Jaccard similarity of
+shingle sets instead: candidates come from ``BANDS`` independent MinHash fingerprints over the shingles, each of ``ROWS`` minima (a pair at
+0.8 shares one with probability 0.9998), and every link is verified with the shingles of both texts. A key's members are compared by
+all minima: up to ``PAIRS`` members all likely pairs are verified; of more, a spanning tree of the likeliest ones (of over ``TREE``, a spanning
+search), so a member of a large key can miss its group where the estimate favours a link that fails, which other keys mostly mend.
 """
 
 from __future__ import annotations
@@ -36,6 +42,12 @@ MEMBERS = 1 << 15
 #: Tasks that share a component's fingerprints when it is named.
 SALTS = 32
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: MinHash fingerprints of a text, and minima in each.
+BANDS, ROWS = 16, 4
+#: Minima that pairs worth verifying share, of BANDS * ROWS: four deviations below what 0.8 gives.
+LIKELY = 38
+#: Most members of a MinHash key of which all pairs are verified, and most that are searched for the best tree.
+PAIRS, TREE = 32, 4096
 #: Shingles that are counted at once, so that long texts need no more memory.
 AT_ONCE = 1 << 16
 
@@ -202,7 +214,147 @@ def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     back by id and digest.
     """
     found = groups(docs, words, radius).withColumn("_root", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("f"))))
+    return first_of_each(docs, found)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id, then digest, of each ``_root`` of ``found`` (doc_id, digest, _root)."""
     kept = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("k"))
     keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_digest": F.xxhash64("text")}
     wanted = kept.select(F.col("k.n").alias("_none"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.digest").alias("_digest"))
     return docs.withColumns(keys).join(wanted, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
+
+
+FACTORS, OFFSETS = (np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 0))
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending; a text of fewer words is one shingle."""
+    parts = (text or "").encode().translate(LOWER).split()
+    size = min(words, len(parts))
+    joined, ends = b" ".join(parts), np.cumsum([0, *[len(p) + 1 for p in parts]]).tolist()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(joined[a : b - 1], 42) for a, b in zip(ends, ends[size:])] if parts else [], np.uint64))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for k in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[k : k + 1024, None] * FACTORS + OFFSETS) >> np.uint64(32)).astype(np.uint32).min(axis=0))
+    return least
+
+
+def tree(sketches: np.ndarray) -> list[tuple[int, int]]:
+    """The links of a spanning tree (forest) of the likeliest links."""
+    rest, at, found = np.arange(1, len(sketches)), 0, []
+    best, by = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+    while len(rest):
+        now = (sketches[rest] == sketches[at]).sum(axis=1)
+        by, best = np.where(now > best, at, by), np.maximum(now, best)
+        k = int(best.argmax())
+        if best[k] >= LIKELY:
+            found.append((int(by[k]), int(rest[k])))
+        at = int(rest[k])
+        rest, best, by = np.delete(rest, k), np.delete(best, k), np.delete(by, k)
+    return found
+
+
+def likely(sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Positions (a, b) of the links to verify between a key's members."""
+    found, m = [], len(sketches)
+    if m <= PAIRS:
+        for a in range(m - 1):
+            found += [(a, a + 1 + int(k)) for k in np.flatnonzero((sketches[a + 1 :] == sketches[a]).sum(axis=1) >= LIKELY)]
+        return found
+    if m <= TREE:
+        return tree(sketches)
+    rest = np.arange(m)
+    while len(rest):
+        frontier, rest = [int(rest[0])], rest[1:]
+        while frontier and len(rest):
+            at = frontier.pop()
+            near = (sketches[rest] == sketches[at]).sum(axis=1) >= LIKELY
+            found += [(at, int(k)) for k in rest[near]]
+            frontier += rest[near].tolist()
+            rest = rest[~near]
+    return found
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes (node, keys, sketch) that share a key and are likely near copies."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sketches, at = [], [], None
+
+        def close() -> np.ndarray:
+            nonlocal held, sketches
+            members, marks = np.array(held, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BANDS * ROWS)
+            held, sketches = [], []
+            return members[np.array(likely(marks), np.int64).reshape(-1, 2)] if len(members) > 1 else np.empty((0, 2), np.int64)
+
+        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate([*found, np.empty((0, 2), np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1, initial=(1 << 63) - 1)), pa.array(both.max(axis=1, initial=-(1 << 63)))], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            for key, node, sketch in zip(batch["key"].to_pylist(), batch["node"].to_pylist(), batch["sketch"].to_pylist()):
+                if key != at:
+                    found.append(close())
+                    at = key
+                held.append(node)
+                sketches.append(sketch)
+            yield batch_of(found)
+        yield batch_of([close()])
+
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "sketch")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "a long, b long").distinct()
+
+
+def sketched(df: DataFrame, words: int) -> DataFrame:
+    """doc_id, digest, node (long: one for each set of shingles), keys, sketch (a byte of each minimum) of documents."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys, marks = [], [], []
+            for text in batch["text"].to_pylist():
+                own = shingles(text, words)
+                least = minima(own)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                keys.append([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)])
+                marks.append((least & 255).astype(np.uint8).tobytes())
+            keys = pa.array(np.array(keys, np.uint64).view(np.int64).reshape(-1, BANDS).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], pa.array(np.array(nodes, np.uint64).view(np.int64)), keys, pa.array(marks, pa.binary())], names=["doc_id", "digest", "node", "keys", "sketch"])
+
+    return df.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(compute, "doc_id long, digest long, node long, keys array<long>, sketch binary")
+
+
+def jaccard(a: Column, b: Column, words: int) -> Column:
+    @F.arrow_udf("double")
+    def compute(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for one, two in zip(left.to_pylist(), right.to_pylist()):
+            x, y = shingles(one, words), shingles(two, words)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / max(1, len(x) + len(y) - both))
+        return pa.array(out, pa.float64())
+
+    return compute(a, b)
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of nodes (node, digest, keys, sketch) whose texts have at least that similarity."""
+    pairs = checkpointed(candidates(nodes))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "digest"), "node")
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted, "digest").dropDuplicates(["node"]).select("node", "text")
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(jaccard(F.col("text_a"), F.col("text_b"), words) >= similarity).select("a", "b")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group that links of that Jaccard similarity connect, chosen as by ``deduplicate``."""
+    prints = checkpointed(sketched(docs, words))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    roots = components(near_links(docs, nodes, words, similarity))
+    found = prints.select("doc_id", "digest", "node").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
+    return first_of_each(docs, found)

@@ -219,6 +219,43 @@ def test_simhash_query(docs, rows, none):
     assert simhash.fingerprints(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [simhash.PAIRS, 1])
+def test_near_copies_from_four_fifths(spark, docs, none, monkeypatch, most):
+    monkeypatch.setattr(simhash, "PAIRS", most)
+    rnd = random.Random(4)
+
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    data = []
+    for k in range(40):
+        base = [f"w{rnd.randint(0, 9999)}" for _ in range(200)]
+        data.append(base)
+        for changes in (1, 2, 3, 4, 5, 8):
+            copy = list(base)
+            for at in rnd.sample(range(200), changes):
+                copy[at] = "other"
+            data.append(copy)
+    data = [(i, " ".join(w)) for i, w in enumerate(data)] + [(900, "one two"), (901, "one  TWO"), (902, "one two three"), (903, None), (904, "")]
+    root = {i: i for i, _ in data}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    grams, near = {i: sets(t or "") for i, t in data}, 0
+    for n, (i, t) in enumerate(data):
+        for j, u in data[:n]:
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                near += 1
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    kept = simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string"))
+    assert near > 200 and sorted(r["doc_id"] for r in kept.collect()) == sorted({top(i) for i, _ in data})
+    assert simhash.near_copies(none).count() == 0 and simhash.near_copies(docs).columns == docs.columns
+
+
 def test_simhash_keeps_one_of_each_group(docs, rows, none):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns and simhash.deduplicate(none).count() == 0
