@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines in a chunk, about.
@@ -126,7 +126,7 @@ def bare(unit: Column) -> Column:
 
 
 def words(unit: Column) -> Column:
-    """Words of a unit (none: white space only), not fewer than there are between white space."""
+    """Words of a unit (none: white space only), not fewer than there are between spaces and tabs."""
     spaced = F.length(unit) - F.length(F.translate(unit, " \t", "")) + 1
     return let(bare(unit), lambda t: F.when(t == "", F.lit(0)).otherwise(F.greatest(spaced, F.ceil(F.octet_length(t) / WORD_BYTES).cast("int"))))
 
@@ -181,11 +181,10 @@ def without_repeats(docs: DataFrame, divisor: int = DIVISOR, passage: int = PASS
     """``docs`` with repeated chunks and repeated passages taken out of their texts (and n_chars, where there is one, set anew)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.explode(spans(F.col("text"), divisor, passage)).alias("s"))
     found = rows.select("doc_id", "digest", "s.*")
-    groups = found.groupBy("key").agg(
-        F.min(F.struct("doc_id", "digest", "start", "stop")).alias("first"), F.min("digest").alias("_a"), F.max("digest").alias("_b"), F.min("start").alias("_c"), F.max("start").alias("_d")
-    )
-    known = groups.filter("_a <> _b OR _c <> _d").select("key", "first")
-    later = found.join(known, "key").filter((F.col("digest") != F.col("first.digest")) | (F.col("start") != F.col("first.start")))
+    # one exchange of all spans, sorted: hashing them a second time for a join back costs more than a frequent key's longer task
+    earliest = Window.partitionBy("key").orderBy("doc_id", "digest", "start")
+    firsts = found.withColumn("first", F.first(F.struct("digest", "start", "stop")).over(earliest))
+    later = firsts.filter((F.col("digest") != F.col("first.digest")) | (F.col("start") != F.col("first.start")))
     own = F.when(F.col("digest") == F.col("first.digest"), F.greatest("start", F.col("first.stop") + 1)).otherwise(F.col("start"))
     gone = later.select("doc_id", "digest", own.alias("start"), "stop").filter("start <= stop").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
     held = gone.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
