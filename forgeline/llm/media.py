@@ -7,7 +7,10 @@ that can't be read or whose checksum is wrong is tried again by its offset, alon
 and no payload, and the others are not affected.
 
 Null texts are empty. A payload is the UTF-8 text filled up with spaces to a positive multiple of ``ROW`` bytes. Equal
-texts give equal stored forms. Archive names carry a random part and only archives in the manifest count.
+texts give equal stored forms, and rows that repeat are members of their own. A text of any length is one member: a task holds
+it, its image and a batch of ``batch_bytes``, whatever the range. Only doc_id and text are read, so other columns of any
+name do no harm and are not kept. An empty table makes no archive and reads as no rows. Archive names carry a random part and
+only archives in the manifest count.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ from forgeline.llm.common import saved, shared_dir
 
 #: Samples in a row of the image.
 ROW = 192
+#: Bytes from which an archive is closed.
+ARCHIVE_BYTES = 256 << 20
+#: Least and most bytes of a range, and ranges that are planned where both allow it: the driver holds an object for each.
+LEAST_RANGE, MOST_RANGE, RANGES = 16 << 20, 1 << 30, 20_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())])
 MEMBER = "archive string, offset long, doc_id long, n_bytes long, media binary, error string"
@@ -74,7 +81,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data.ljust(max(1, -(-len(data) // ROW)) * ROW, b" "), len(data)
 
 
-def store(df: DataFrame, folder: str, archive_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
+def store(df: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 1) -> DataFrame:
     """Write documents (doc_id, text) to archives in ``folder``, where they lie: nothing is shuffled.
 
     Returns the manifest, saved in ``folder``: archive, members, bytes. An archive is closed once it has ``archive_bytes``.
@@ -123,20 +130,24 @@ class ByteRange(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
-        self.range_bytes = int(options.get("range_bytes", 16 << 20))
+        self.range_bytes = int(options.get("range_bytes", 0))
         self.tries = int(options.get("tries", 3))
         self.only_manifest = options.get("manifest") == "true"
         self.batch_bytes = int(options.get("batch_bytes", 8 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        """One partition for each ``range_bytes`` of an archive; only archives' names and sizes are looked at."""
+        """One partition for each ``range_bytes`` of an archive; only archives' names and sizes are looked at.
+
+        Without that option ranges are as large as about ``RANGES`` of them need, so their number doesn't follow the data.
+        """
         system, base = pafs.FileSystem.from_uri(self.folder)
         if self.only_manifest:
             files = [f for f in system.get_file_info(pafs.FileSelector(f"{base}/manifest")) if f.path.endswith(".parquet")]
             found = [(f"{base}/{x['archive']}", x["bytes"]) for f in files for x in pq.read_table(f.path, filesystem=system, columns=["archive", "bytes"]).to_pylist()]
         else:
             found = [(f.path, f.size) for f in system.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".tar")]
-        return [ByteRange(path, a, min(size, a + self.range_bytes)) for path, size in sorted(found) for a in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        step = self.range_bytes or min(MOST_RANGE, max(LEAST_RANGE, sum(size for _, size in found) // RANGES))
+        return [ByteRange(path, a, min(size, a + step)) for path, size in sorted(found) for a in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def member(self, file, row: dict) -> tuple[bytes | None, str | None]:
         """A member's bytes, or what was wrong the last time."""
