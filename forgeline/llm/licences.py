@@ -1,68 +1,101 @@
 """Licence scan with a trained paragraph classifier, with DataFrame functions and pyspark.ml only.
 
-Paragraphs are the lines of a text. A sparse logistic regression over word 1- to 3-grams names a paragraph's licence
-family or `unknown`. It is trained on the families' templates with each word left out in turn, against single template
-words and a bounded sample of the corpus's own lines as `unknown`. A third of the training rows is left out of the fit and
-calibrates the least probability at which a family is believed: the one that lets at most ``FALSE`` of their unknown rows through. A named
-family is confirmed by template comparison: the share of some template's word pairs that the paragraph has.
-
-A paragraph without any of ``ANCHORS`` shares no telling n-gram with a template and is unknown without a model; that
-is looked up first, in the whole text. Nothing but the candidates' numbers and names is shuffled.
-
-Null and empty texts have no licence. Rows that repeat doc_id and text are one document; a null doc_id is a value like
-any other. Training needs no documents: over an empty table the templates alone train it.
+Paragraphs are the lines of a text. Three kinds of passages are classified: a paragraph, each of its sentences, and, for hard-wrapped
+notices, ``WRAPPED`` short lines from a paragraph on. A sparse multinomial logistic regression over word 1- to 3-grams names a
+passage's licence family or `unknown`. It is trained on the families' statements and names in usual frames, with each word
+left out in turn, against frames without a name, single words, and a bounded sample of the corpus's own lines, whatever they speak
+of; only lines that the template comparison confirms are left out of those. A part of all training rows is kept out of
+the fit; an isotonic regression over it turns the model's probability into the share of right names, and below ``BELIEVED`` a passage is
+`unknown`. A named family is confirmed by template comparison both ways: the share of some template's words and word
+pairs that the passage has, and the share of the passage's that the family's templates have.
+
+Every paragraph is scored. A gram is a feature if it has a word that less than ``FREQUENT`` of the corpus sample's lines have, so each
+gram that speaks for a family has a word that is rare in the sample. A paragraph without any of these words has no such gram, so its scores can't
+exceed `unknown`'s: that answer of the model is known without evaluating it. Where the model doesn't allow for this,
+all paragraphs are evaluated. Nothing but the numbers and names of passages with such words is shuffled.
+
+One row is returned for each row. Null and empty texts have no paragraph and no licence; repeated rows repeat their result, a null
+doc_id is a value like any other, very long lines are lines like any other, other columns are not read. Training needs no
+documents: over an empty table the templates alone train it and the result is empty.
 """
 
 from __future__ import annotations
 
-import functools
+import re
+from itertools import chain
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Lines of the corpus that train `unknown`, and documents that they are taken from: those with the smallest hash of doc_id.
-NEGATIVES, FROM_DOCUMENTS = 1000, 200
-#: Share of unknown calibration rows that may pass as a family.
-FALSE = 0.005
-#: Share of a template's word pairs that confirms a family.
-CONFIRMED = 0.6
-#: What licence paragraphs hold, in lower case.
-ANCHORS = ("licens", "licenc", "copyright", "rights reserved", "permission", "warrant", "redistribut", "public domain", "creative commons", "cc by", "cc-by", "cc0")
-#: Licence families and paragraphs that state them.
-TEMPLATES = {
+#: Lines of the corpus that train `unknown`; documents that they are taken from, those with the smallest hash of doc_id, and characters of each.
+NEGATIVES, FROM_DOCUMENTS, SLICE = 3000, 1000, 1 << 13
+#: Share of the sampled lines from which a word is frequent.
+FREQUENT = 0.01
+#: Calibrated probability from which a family is believed.
+BELIEVED = 0.5
+#: Shares of a template's, and of a passage's, words and word pairs that confirm a family.
+CONTAINED, EXPLAINED = 0.6, 0.6
+#: Lines that a hard-wrapped notice is looked for in, and the longest of them in characters.
+WRAPPED, WIDTH = 5, 120
+#: Licence families and the names they go by.
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 licence", "Apache Software License 2.0"),
+    "bsd": ("BSD License", "BSD licence", "3-Clause BSD License", "BSD 2-Clause License", "New BSD License"),
+    "cc-by-4.0": ("CC BY 4.0", "CC BY 4.0 license", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license"),
+    "cc-by-nc-4.0": ("CC BY-NC 4.0", "CC BY-NC 4.0 license", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial license"),
+    "cc-by-sa-4.0": ("CC BY-SA 4.0", "CC BY-SA 4.0 license", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike license"),
+    "gpl-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPL version 3", "GPLv3", "GNU GPL version 3 or later", "GPL v3 or any later version"),
+    "mit": ("MIT License", "MIT licence", "The MIT License (MIT)", "MIT open source license"),
+    "public-domain": ("CC0 1.0", "CC0 1.0 Universal", "public domain dedication"),
+}
+#: Sentences that a licence is named in.
+FRAMES = (
+    "{}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This software is available under the {}.",
+    "This project is published under the terms of the {}.", "You may use this code under the {}.", "License: {}", "Copyright (c) the authors, {}.",
+)
+#: Paragraphs that state a licence.
+STATEMENTS = {
     "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
     "bsd": (
-        "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     ),
-    "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc-by-sa-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ),
     "mit": (
-        "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
-    "public-domain": ("This work is released into the public domain.", "Dedicated to the public domain under CC0 1.0."),
-    "rights-reserved": ("All rights reserved.", "Copyright by the authors. All rights reserved."),
+    "public-domain": ("This work is released into the public domain.", "Dedicated to the public domain under CC0 1.0.", "This text is in the public domain.", "No copyright: this work is in the public domain."),
+    "rights-reserved": ("All rights reserved.", "All rights are reserved.", "Copyright by the authors. All rights reserved.", "Copyright (c) the authors, all rights reserved.", "No part of this work may be reproduced without permission of the copyright holder."),
 }
+#: Fixed value: what counts as a word, in lower case.
+TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
+FAMILIES = sorted({*NAMES, *STATEMENTS})
+
+
+def stated(family: str) -> list[str]:
+    """All templates of a family."""
+    return [*STATEMENTS.get(family, ()), *(frame.format(name) for name in NAMES.get(family, ()) for frame in FRAMES)]
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def word_list(text: str) -> list[str]:
+    return re.findall(TOKEN, text.lower())
 
 
 def grams(tokens: Column, most: int = 3) -> Column:
@@ -75,99 +108,172 @@ def grams(tokens: Column, most: int = 3) -> Column:
     return F.concat(*[runs(n) for n in range(1, most + 1)])
 
 
-def has_anchor(text: Column) -> Column:
-    low = F.lower(text)
-    return functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in ANCHORS])
+def gram_list(tokens: list[str], most: int = 3) -> list[str]:
+    return [" ".join(tokens[i : i + n]) for n in range(1, most + 1) for i in range(len(tokens) - n + 1)]
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """(family, text) of all templates."""
-    rows = [F.struct(F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in sorted(TEMPLATES.items()) for text in texts]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.family", "t.text")
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once for each row: conditions on what comes of them are not moved before them."""
+    return df.withColumn("_once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select(*[c for c in df.columns if c not in columns], "_once.*")
 
 
-def training(docs: DataFrame) -> DataFrame:
-    """(family, tokens) rows, at most ``NEGATIVES`` of them from the corpus."""
-    known = templates(docs.sparkSession).withColumn("tokens", words(F.col("text")))
-    whole = known.select("family", "tokens")
-    holes = known.filter(F.size("tokens") > 3).select("family", "tokens", F.explode(F.sequence(F.lit(1), F.size("tokens"))).alias("i"))
-    short = holes.select("family", F.concat(F.slice("tokens", 1, F.col("i") - 1), F.slice("tokens", F.col("i") + 1, F.size("tokens"))).alias("tokens"))
-    single = known.select(F.lit(UNKNOWN).alias("family"), F.explode("tokens").alias("w")).distinct().select("family", F.array("w").alias("tokens"))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FROM_DOCUMENTS)
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).filter(~has_anchor(F.col("line"))).orderBy(F.xxhash64("line"), "line").limit(NEGATIVES)
-    return whole.union(short).union(single).union(lines.select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("tokens")))
+def known(spark: SparkSession) -> DataFrame:
+    """One row, _known: for each family its templates' different words and pairs, and those of all its templates together."""
+    rows = []
+    for family in FAMILIES:
+        each = [sorted(set(gram_list(word_list(t), 2))) for t in stated(family)]
+        rows.append((family, each, sorted(set(chain(*each)))))
+    return spark.createDataFrame([(rows,)], "_known array<struct<family: string, templates: array<array<string>>, grams: array<string>>>")
 
 
-class Scanner:
-    """Vocabulary, regression and calibrated threshold."""
+def contained(pairs: Column, family: Column) -> Column:
+    return F.array_max(F.transform(family["templates"], lambda t: F.size(F.array_intersect(t, pairs)) / F.size(t)))
+
+
+def explained(pairs: Column, family: Column) -> Column:
+    return F.size(F.array_intersect(pairs, family["grams"])) / F.greatest(F.size(F.array_distinct(pairs)), F.lit(1))
+
+
+def confirmed_by(pairs: Column, family: Column) -> Column:
+    return (explained(pairs, family) >= EXPLAINED) & (contained(pairs, family) >= CONTAINED)
+
+
+def positives(spark: SparkSession) -> DataFrame:
+    """(family, tokens) of the templates, with each word left out in turn from those of four or more."""
+    rows = []
+    for family in FAMILIES:
+        for tokens in map(word_list, stated(family)):
+            rows.append((family, tokens))
+            rows += [(family, tokens[:i] + tokens[i + 1 :]) for i in range(len(tokens)) if len(tokens) > 3]
+    return spark.createDataFrame(list(dict.fromkeys((f, tuple(t)) for f, t in rows)), "family string, tokens array<string>")
 
-    def __init__(self, vocabulary: CountVectorizerModel, regression: LogisticRegressionModel, families: list[str], least: float):
-        self.vocabulary, self.regression, self.families, self.least = vocabulary, regression, families, least
+
+def bare(spark: SparkSession) -> DataFrame:
+    """(tokens) that name nothing: the frames alone and single words of templates."""
+    frames = [word_list(frame.format("")) for frame in FRAMES]
+    single = sorted({w for f in FAMILIES for t in stated(f) for w in word_list(t)})
+    rows = list(dict.fromkeys(tuple(t) for t in [*frames, *([w] for w in single)] if t))
+    return spark.createDataFrame([(list(t),) for t in rows], "tokens array<string>")
+
+
+def sampled_lines(docs: DataFrame) -> DataFrame:
+    """(tokens) of at most ``NEGATIVES`` lines of the corpus, without those that the template comparison confirms."""
+    at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - (SLICE - 1), F.lit(1))).cast("int")
+    some = docs.filter("text IS NOT NULL").select("doc_id", F.substring("text", at, F.lit(SLICE)).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(FROM_DOCUMENTS)
+    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''").distinct().orderBy(F.xxhash64("line"), "line").limit(NEGATIVES)
+    rows = once(once(lines, tokens=words(F.col("line"))).filter("size(tokens) > 0"), _pairs=grams(F.col("tokens"), 2))
+    return rows.join(F.broadcast(known(docs.sparkSession)), F.lit(True)).filter(~F.exists("_known", lambda f: confirmed_by(F.col("_pairs"), f))).select("tokens")
+
+
+class Scanner:
+    """Vocabulary, regression and calibration; ``telling``: words one of which every gram that speaks for a family has (none: not known)."""
+
+    def __init__(self, vocabulary: CountVectorizerModel, regression: LogisticRegressionModel, frequency: dict[str, float]):
+        self.vocabulary, self.regression = vocabulary, regression
+        self.families = [UNKNOWN, *FAMILIES]
+        self.calibration: IsotonicRegressionModel | None = None
+        gain = regression.coefficientMatrix.toArray()
+        speaks = (gain[1:] - gain[0]).max(axis=0) > 0
+        rare = lambda gram: min((w for w in gram.split(" ") if w.isalpha()), key=lambda w: (frequency.get(w, 0.0), w))
+        start = regression.interceptVector.toArray()
+        self.telling = sorted({rare(g) for g, s in zip(vocabulary.vocabulary, speaks) if s}) if (start[1:] < start[0]).all() else None
 
     def named(self, df: DataFrame) -> DataFrame:
-        """``df`` (tokens) with family and probability before calibration."""
-        rows = self.vocabulary.transform(df.withColumn("_grams", grams(F.coalesce("tokens", F.array().cast("array<string>")))))
-        rows = self.regression.transform(rows).withColumn("probability", vector_to_array("_probability"))
-        best = F.array_max("probability")
-        family = F.get(F.array(*map(F.lit, self.families)), F.col("_best").cast("int"))
-        return rows.withColumns({"_best": F.col("_prediction"), "_p": best}).withColumn("family", family).withColumn("probability", F.col("_p")).drop("_grams", "_features", "_raw", "_probability", "_prediction", "_best", "_p")
-
-    def classified(self, df: DataFrame) -> DataFrame:
-        """``df`` (tokens) with family (`unknown` below the threshold), probability, similarity and confirmed."""
-        rows = self.named(df).withColumn("family", F.when(F.col("probability") >= self.least, F.col("family")).otherwise(UNKNOWN))
-        rows = rows.withColumn("_pairs", grams(F.coalesce("tokens", F.array().cast("array<string>")), 2))
-        rows = rows.withColumn("similarity", similarity(F.col("_pairs"), F.col("family"))).drop("_pairs")
-        return rows.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRMED))
-
-
-def similarity(found: Column, family: Column) -> Column:
-    """The largest share of a template's words and word pairs, over the family's templates, that a paragraph has."""
-    out = F.lit(0.0)
-    for name, texts in sorted(TEMPLATES.items()):
-        shares = []
-        for text in texts:
-            own = F.array_distinct(grams(words(F.lit(text)), 2))
-            shares.append(F.size(F.array_intersect(found, own)) / F.size(own))
-        out = F.when(family == name, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(out)
-    return out
+        """``df`` (tokens) with _family and _probability, not calibrated."""
+        rows = self.vocabulary.transform(once(df, _grams=grams(F.coalesce("tokens", F.array().cast("array<string>")))))
+        rows = self.regression.transform(rows).withColumn("_all", vector_to_array("_shares"))
+        family = F.get(F.array(*map(F.lit, self.families)), F.col("_prediction").cast("int"))
+        return rows.withColumns({"_family": family, "_probability": F.array_max("_all")}).drop("_grams", "_features", "_raw", "_shares", "_prediction", "_all")
+
+    def calibrate(self, held: DataFrame) -> None:
+        """Learn from rows (family, tokens) how often a name with a probability is right; a name by chance is never right."""
+        rows = self.named(held).filter(F.col("_family") != UNKNOWN).select("_probability", (F.col("family") == F.col("_family")).cast("double").alias("_right"))
+        chance = held.sparkSession.createDataFrame([(1 / len(self.families), 0.0), (1.0, 1.0)], "_probability double, _right double")
+        self.calibration = IsotonicRegression(featuresCol="_probability", labelCol="_right", predictionCol="_calibrated").fit(rows.union(chance))
+
+    def believed(self, df: DataFrame) -> DataFrame:
+        """``df`` (tokens) with family, `unknown` where none is believed, and probability, calibrated."""
+        rows = self.calibration.transform(self.named(df))
+        family = F.when((F.col("_family") != UNKNOWN) & (F.col("_calibrated") >= BELIEVED), F.col("_family")).otherwise(UNKNOWN)
+        return rows.withColumns({"family": family, "probability": F.col("_calibrated")}).drop("_family", "_probability", "_calibrated")
+
+
+def compared(df: DataFrame) -> DataFrame:
+    """``df`` (tokens, family) with contained, explained and confirmed, by the family's templates (`unknown` has none)."""
+    rows = df.join(F.broadcast(known(df.sparkSession)), F.lit(True)).withColumn("_own", F.get(F.filter("_known", lambda f: f["family"] == F.col("family")), F.lit(0)))
+    rows = once(rows, _pairs=grams(F.coalesce("tokens", F.array().cast("array<string>")), 2))
+    rows = rows.withColumns({"contained": F.coalesce(contained(F.col("_pairs"), F.col("_own")), F.lit(0.0)), "explained": F.coalesce(explained(F.col("_pairs"), F.col("_own")), F.lit(0.0))})
+    return rows.withColumn("confirmed", (F.col("contained") >= CONTAINED) & (F.col("explained") >= EXPLAINED)).drop("_known", "_own", "_pairs")
 
 
 def train(docs: DataFrame) -> Scanner:
-    families = [UNKNOWN, *sorted(TEMPLATES)]
-    rows = training(docs).withColumn("_grams", grams(F.col("tokens"))).withColumn("label", F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1)
-    rows = rows.withColumn("label", F.col("label").cast("double")).withColumn("_held", (F.col("family") == UNKNOWN) & (F.pmod(F.xxhash64("tokens"), F.lit(3)) == 0)).coalesce(2).cache()
+    spark, families = docs.sparkSession, [UNKNOWN, *FAMILIES]
+    hashed = F.pmod(F.xxhash64("tokens"), F.lit(3)) == 0
+    shorter = F.size("tokens") > 3  # short names stay in the fit
+    corpus = sampled_lines(docs).withColumn("_line", F.lit(True)).unionByName(bare(spark).withColumn("_line", F.lit(False))).withColumn("family", F.lit(UNKNOWN))
+    rows = corpus.unionByName(positives(spark).withColumn("_line", F.lit(False))).withColumn("_held", hashed & shorter)
+    rows = rows.withColumn("_grams", grams(F.col("tokens"))).coalesce(4).cache()
     try:
-        fit = rows.filter("NOT _held")
-        vocabulary = CountVectorizer(inputCol="_grams", outputCol="_features", binary=True, minDF=1.0, vocabSize=1 << 14).fit(fit.filter(F.col("family") != UNKNOWN))
-        regression = LogisticRegression(featuresCol="_features", labelCol="label", predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw", maxIter=40, regParam=0.002, elasticNetParam=0.5, family="multinomial").fit(vocabulary.transform(fit))
-        scanner = Scanner(vocabulary, regression, families, 0.5)
-        held = scanner.named(rows.filter("_held").select("tokens"))
-        passing = held.select(F.when(F.col("family") == UNKNOWN, F.lit(0.0)).otherwise(F.col("probability")).alias("p")).agg(F.percentile("p", F.lit(1 - FALSE)).alias("p")).first()["p"]
-        scanner.least = min(0.95, max(0.5, (passing or 0.0) + 1e-6))
+        # how many sampled lines have each word of the templates: some hundred rows
+        own = sorted({g for f in FAMILIES for t in stated(f) for g in gram_list(word_list(t))})
+        lines = rows.filter("_line")
+        total = max(1, lines.count())
+        wanted = spark.createDataFrame([(g,) for g in own if " " not in g], "w string")
+        counts = lines.select(F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w").count().join(F.broadcast(wanted), "w", "left_semi").collect()
+        frequency = {r["w"]: r["count"] / total for r in counts}
+        rare = lambda w: w.isalpha() and frequency.get(w, 0.0) < FREQUENT
+        vocabulary = CountVectorizerModel.from_vocabulary([g for g in own if any(map(rare, g.split(" ")))], inputCol="_grams", outputCol="_features")
+        vocabulary.setBinary(True)
+        label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
+        regression = LogisticRegression(featuresCol="_features", predictionCol="_prediction", probabilityCol="_shares", rawPredictionCol="_raw", maxIter=60, regParam=0.0005, elasticNetParam=0.5, family="multinomial").fit(vocabulary.transform(rows.filter("NOT _held").withColumn("label", label)))
+        scanner = Scanner(vocabulary, regression, frequency)
+        scanner.calibrate(rows.filter("_held").select("family", "tokens"))
         return scanner
     finally:
         rows.unpersist()
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_paragraphs, paragraph, tokens): candidates, and one row without a paragraph for other documents."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    numbered = F.filter(F.transform(lines, lambda line, k: F.struct(k.alias("no"), line.alias("line"))), lambda p: has_anchor(p["line"]))
-    none = F.array().cast("array<struct<no:int,line:string>>")
+def tells(text: Column, telling: list[str] | None) -> Column:
+    """Whether a text has a telling word: only then can its score for a family exceed that for `unknown`."""
+    return F.exists(F.split(F.lower(text), "[^a-z]+"), lambda w: w.isin(*telling)) if telling is not None else F.lit(True)
+
+
+def passages(docs: DataFrame, telling: list[str] | None) -> DataFrame:
+    """(doc_id, digest, paragraph, wrapped, tokens) of the paragraphs that may be more than `unknown`, their sentences and wrapped lines."""
+    lines = F.split("text", "\n")
+    numbered = F.filter(F.transform(lines, lambda line, k: F.struct(k.alias("no"), line.alias("line"))), lambda p: tells(p["line"], telling))
+    rows = docs.filter(tells(F.col("text"), telling)).select("doc_id", F.xxhash64("text").alias("digest"), lines.alias("_lines"), F.explode(numbered).alias("_p"))
+    window = F.array_join(F.filter(F.slice("_lines", F.col("_p.no") + 1, WRAPPED), lambda line: F.length(line) <= WIDTH), " ")
+    sentences = F.filter(F.split("_p.line", r"(?<=[.!?;])\s+"), lambda s: tells(s, telling))
+    parts = F.concat(
+        F.array(F.struct(F.lit(False).alias("wrapped"), F.col("_p.line").alias("text"))),
+        F.transform(sentences, lambda s: F.struct(F.lit(False).alias("wrapped"), s.alias("text"))),
+        F.array(F.struct(F.lit(True).alias("wrapped"), window.alias("text"))),
+    )
+    found = rows.select("doc_id", "digest", F.col("_p.no").alias("paragraph"), F.explode(F.array_distinct(parts)).alias("_t"))
+    return once(found.select("doc_id", "digest", "paragraph", F.col("_t.wrapped").alias("wrapped"), F.col("_t.text").alias("_text")), tokens=words(F.col("_text"))).drop("_text")
+
+
+def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
+    """doc_id, n_paragraphs, n_candidates (paragraphs named), n_licences (confirmed), licences (families, joined by commas; empty: none).
+
+    n_licences counts the paragraphs that are confirmed, and the families that only wrapped lines confirm.
+    """
+    rows = docs.select("doc_id", "text")
+    scanner = scanner or train(rows)
+    found = compared(scanner.believed(passages(rows, scanner.telling)).filter(F.col("family") != UNKNOWN))
+    alone, wrapped = F.col("confirmed") & ~F.col("wrapped"), F.col("confirmed") & F.col("wrapped")
+    of = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
+        F.count_distinct(F.when(~F.col("wrapped"), F.col("paragraph"))).alias("_candidates"), F.count_distinct(F.when(alone, F.col("paragraph"))).alias("_alone"),
+        F.collect_set(F.when(alone, F.col("family"))).alias("_families"), F.collect_set(F.when(wrapped, F.col("family"))).alias("_more"),
+    )
     n = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).otherwise(0).cast("long")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), n.alias("n_paragraphs"), F.explode_outer(F.when(has_anchor(F.col("text")), numbered).otherwise(none)).alias("p"))
-    return rows.select("doc_id", "digest", "n_paragraphs", F.col("p.no").alias("paragraph"), words(F.col("p.line")).alias("tokens"))
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_candidates, n_licences (confirmed), licences (families, joined by commas; empty: none)."""
-    found = train(docs).classified(paragraphs(docs.select("doc_id", "text")))
-    return (
-        found.groupBy("doc_id", "digest", "n_paragraphs")
-        .agg(
-            F.count_distinct("paragraph").alias("n_candidates"),
-            F.count_distinct(F.when(F.col("confirmed"), F.col("paragraph"))).alias("n_licences"),
-            F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"),
-        )
-        .drop("digest")
+    each = rows.select("doc_id", F.xxhash64("text").alias("digest"), n.alias("n_paragraphs"))
+    joined = each.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return joined.select(
+        "doc_id",
+        "n_paragraphs",
+        F.coalesce("_candidates", F.lit(0)).cast("long").alias("n_candidates"),
+        F.coalesce(F.col("_alone") + F.size(F.array_except("_more", "_families")), F.lit(0)).cast("long").alias("n_licences"),
+        F.coalesce(F.array_join(F.sort_array(F.array_union("_families", "_more")), ","), F.lit("")).alias("licences"),
     )
