@@ -1,20 +1,24 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Vectors are turned into integers (floor(scale * x)), and data are assigned to the nearest of ``PIVOTS`` pivots, a bounded
-sample. A cell's summary holds its size, its radius and its k + 1 smallest distances to the pivot. From the summaries
-alone each query gets a bound that its k-th score can't fall below: a member at distance d from pivot p scores at least
-<q, p> - |q| d. Queries are grouped by pivots of their own; a group has its centre c, its radius R and the least of its
-queries' bounds. A data vector x can matter to a group only if <c, x> + R |x| reaches that bound, and it is sent only to
-such groups. A group's data are dealt to blocks by a hash of vec_id, so that a block's expected size is bounded however many
-vectors a group needs; each block is solved locally against the group's queries, and the blocks' best are merged.
-
-What reaches the driver is bounded by pivots and groups: summaries of PIVOTS * (k + 2) numbers and up to ``GROUPS``
-group bounds. Bounds allow for rounding in float64; scores are exact integers while k-th products stay below 2^53
-(64-bit integers beyond, and an error where those don't hold them).
+Vectors are turned into integers (floor(scale * x)) and written once with a number for each row, so a row is itself whatever its
+vec_id. Data are assigned to the nearest of about sqrt(n) pivots; a cell's summary holds its size and radius. First pass: each query meets
+about ``SEEDS`` members of the cell whose pivot it scores highest with, and its k-th score there is a bound that its true k-th
+can't fall below. Queries are grouped by pivots of their own into groups of about ``QUERIES``. For a group and a cell with pivot p a
+member x at distance d from p scores at most <q, p> + |q| d with any query q, so only members with d from some limit on can matter: the
+largest of (bound - <q, p>) / |q| that no query of the group undercuts. Cells whose radius is below it are not joined to the
+group at all; of the others only the members beyond the limit are sent (``needed`` has these limits, ``spread`` what is sent).
+A group's data are dealt to blocks of about ``BLOCK`` vectors by what the group's cells hold; each block is solved locally
+against the group's queries, and the blocks' best are merged.
+
+Limits and cells meet in a join on the cell, and every summary is combined before the shuffle. The driver holds pivots and a size and a
+radius for each (``PIVOTS`` at most), and a count for each query centre. Bounds allow for rounding in float64; scores are exact integers
+while k-th products stay below 2^53 (64-bit integers beyond, and an error where those don't hold them). Where vectors point in
+all directions alike no bound keeps anything back, and the join is a blocked comparison of all queries with all rows.
 
 Vectors that are null or hold null or non-finite components take no part; shorter vectors count as filled up with zeros.
-Ties go to the smaller vec_id. Rows that repeat a vec_id count each; a row is never its own neighbour, nor are rows with
-the query's vec_id. Rows without a vec_id take no part. Fewer candidates than k give them all.
+Ties go to the smaller vec_id. Rows that repeat a vec_id count each: another row with the query's vec_id is a candidate like any other, and
+query rows that share a vec_id have a ranking each. Rows without a vec_id take no part. Fewer candidates than k give them all. Other
+columns are not read; empty data or no queries give an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forgeline.llm.common import checkpointed
+from forgeline.llm.common import checkpointed, saved
 
-PIVOTS = 64
-GROUPS = 64
-#: Queries for each group and data vectors for each block, about.
-QUERIES, BLOCK = 512, 1 << 14
+#: Fewest and most pivots of the data; most centres of query groups.
+FEWEST, PIVOTS, CENTRES = 16, 1 << 15, 1 << 12
+#: Members of a cell in the first pass, queries of a group and data vectors of a block, about.
+SEEDS, QUERIES, BLOCK = 1024, 512, 1 << 14
 SCALE = 1024
+NUMBERED = "row long, vec_id long, v array<long>"
 
 
 def integers(df: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -80,119 +85,179 @@ def slack(x: np.ndarray) -> np.ndarray:
 
 
 def sample(rows: DataFrame, n: int, width: int) -> np.ndarray:
-    """The n different rows with the smallest hashes of vec_id, as pivots."""
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()
+    """The different ones of the n rows with the smallest hashes of vec_id, as pivots."""
+    chosen = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).collect()
     out = np.zeros((len(chosen), width))
     for k, r in enumerate(chosen):
         out[k, : len(r["v"])] = r["v"]
     return np.unique(out, axis=0)
 
 
-def summaries(data: DataFrame, pivots: np.ndarray, k: int) -> list:
-    """(cell, size, radius, nearest: the k + 1 smallest distances) of all cells, combined before the shuffle."""
+def floats(lists: pa.Array, width: int) -> np.ndarray:
+    return matrix(lists, width).astype(np.float64)
+
+
+def batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def numbered(df: DataFrame, what: str) -> DataFrame:
+    """(row, vec_id, v), written: a row keeps its number whatever is computed again."""
+    return saved(df.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), what)
+
+
+def in_cells(data: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(row, vec_id, v, cell, d) of data, written."""
     width = pivots.shape[1]
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, radius, near = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), [np.empty(0)] * len(pivots)
-        for batch in batches:
-            if batch.num_rows:
-                at, d = nearest(matrix(batch["v"], width), pivots)
-                for c in np.unique(at):
-                    own = d[at == c]
-                    size[c] += len(own)
-                    radius[c] = max(radius[c], own.max())
-                    near[c] = np.sort(np.concatenate([near[c], own]))[: k + 1]
-        there = np.flatnonzero(size)
-        yield pa.RecordBatch.from_pylist([{"cell": int(c), "size": int(size[c]), "radius": float(radius[c]), "near": near[c].tolist()} for c in there], pa.schema([("cell", pa.int32()), ("size", pa.int64()), ("radius", pa.float64()), ("near", pa.list_(pa.float64()))]))
-
-    parts = data.select("v").mapInArrow(part, "cell int, size long, radius double, near array<double>")
-    return parts.groupBy("cell").agg(F.sum("size").alias("size"), F.max("radius").alias("radius"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
-
-
-def top_k(data: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of ``data`` for each of ``queries``, both (vec_id, v)."""
-    spark, empty = data.sparkSession, "query_id long, rank int, vec_id long, score long"
-    shape = data.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    width = max(shape["width"] or 0, asked["width"] or 0)
-    if not shape["n"] or not asked["n"] or not width:
-        return spark.createDataFrame([], empty)
-    pivots = sample(data, PIVOTS, width)
-    cells = summaries(data, pivots, k)
-    centres = sample(queries, min(GROUPS, -(-asked["n"] // QUERIES)), width)
-    near_d = np.concatenate([np.array(c["near"]) for c in cells])
-    near_p = np.concatenate([pivots[[c["cell"]] * len(c["near"])] for c in cells])
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries with their group, distance to its centre, and the bound below their k-th score."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = matrix(batch["v"], width)
-            group, d = nearest(q, centres)
-            least = np.full(len(q), -np.inf)
-            if len(near_d) > k:  # k + 1: one of them may be the query itself
-                for a in range(0, len(q), 1024):
-                    bounds = q[a : a + 1024] @ near_p.T - norms(q[a : a + 1024])[:, None] * near_d
-                    least[a : a + 1024] = np.partition(bounds, len(near_d) - k - 1, axis=1)[:, len(near_d) - k - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), batch["vec_id"], batch["v"], pa.array(d), pa.array(least)], names=["g", "vec_id", "v", "d", "least"])
-
-    grouped = checkpointed(queries.select("vec_id", "v").mapInArrow(placed, "g int, vec_id long, v array<long>, d double, least double"))
-    bounds = grouped.groupBy("g").agg(F.max("d").alias("radius"), F.min("least").alias("least"), F.count("*").alias("n")).collect()
-    numbers = np.array([b["g"] for b in bounds], np.int32)
-    middle, radius, least = centres[numbers], np.array([b["radius"] for b in bounds]), np.array([b["least"] for b in bounds])
-    blocks = max(1, -(-shape["n"] // BLOCK))
-    query_parts = max(1, -(-max(b["n"] for b in bounds) // (2 * QUERIES)))
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Data vectors once for each group that may need them."""
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                x = matrix(part["v"], width)
-                reach = x @ middle.T + norms(x)[:, None] * radius
-                row, group = np.nonzero(reach + slack(reach) >= least - slack(least))
-                if len(row):
-                    there = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[group]), there["vec_id"], there["v"]], names=["g", "vec_id", "v"])
-
-    spread = data.select("vec_id", "v").mapInArrow(sent, "g int, vec_id long, v array<long>").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    cut = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_parts)).cast("int")
-    wanted = grouped.select("g", "vec_id", "v", cut.alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if query_parts > 1:
-        spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
-    else:
-        spread = spread.withColumn("part", F.lit(0))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                at, d = nearest(matrix(part["v"], width), pivots)
+                yield batch(row=part["row"], vec_id=part["vec_id"], v=part["v"], cell=at.astype(np.int32), d=d)
+
+    return saved(data.select("row", "vec_id", "v").mapInArrow(place, f"{NUMBERED}, cell int, d double"), "cells")
+
+
+def bounded(queries: DataFrame, cells: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int) -> DataFrame:
+    """``queries`` (row, vec_id, v) with least, the k-th score among members of the query's best cell; -inf if there are fewer."""
+    width, full = pivots.shape[1], np.flatnonzero(sizes > k)
+    wanted = full if len(full) else np.flatnonzero(sizes)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                best = wanted[(floats(b["v"], width) @ pivots[wanted].T).argmax(axis=1)]
+                yield batch(row=b["row"], vec_id=b["vec_id"], v=b["v"], cell=best.astype(np.int32))
+
+    at_home = checkpointed(queries.mapInArrow(home, f"{NUMBERED}, cell int"))
+    asked = {r["cell"]: r["count"] for r in at_home.groupBy("cell").count().collect()}
+    parts = F.lit(np.array([-(-asked.get(c, 0) // (4 * QUERIES)) or 1 for c in range(len(sizes))], np.int32))
+    share = F.lit(np.array([min(1.0, SEEDS / max(1, n)) if c in asked else 0.0 for c, n in enumerate(sizes.tolist())]))
+    cell, draw = F.col("cell"), F.pmod(F.xxhash64("row", F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    members = cells.filter(draw < F.get(share, cell)).select("cell", "row", "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.get(parts, cell) - 1)))
+    askers = at_home.withColumn("part", F.pmod(F.xxhash64("row", F.lit(3)), F.get(parts, cell)).cast("int"))
+
+    def first_pass(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[["row", "vec_id", "v"]].assign(least=-np.inf)
+        if len(left) and len(right):
+            q, x = (matrix(pa.array(side["v"], pa.list_(pa.int64())), width) for side in (left, right))
+            rows, least = right["row"].to_numpy(), np.full(len(q), -np.inf)
+            for a in range(0, len(q), 256):
+                scores = products(q[a : a + 256], x).astype(np.float64)
+                scores[left["row"].to_numpy()[a : a + 256, None] == rows] = -np.inf
+                if len(rows) >= k:
+                    least[a : a + 256] = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
+            out["least"] = least
+        return out
+
+    return askers.groupBy("cell", "part").cogroup(members.groupBy("cell", "part")).applyInPandas(first_pass, f"{NUMBERED}, least double")
+
+
+def grouped(queries: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``queries`` with g, the group: by the nearest centre, and by a hash of the row where that has over 2 * ``QUERIES``."""
+    width = centres.shape[1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield batch(row=b["row"], vec_id=b["vec_id"], v=b["v"], least=b["least"], centre=nearest(matrix(b["v"], width), centres)[0].astype(np.int32))
+
+    near = checkpointed(queries.mapInArrow(place, f"{NUMBERED}, least double, centre int"))
+    counts = {r["centre"]: r["count"] for r in near.groupBy("centre").count().collect()}
+    parts = F.lit(np.array([-(-counts.get(c, 0) // (2 * QUERIES)) or 1 for c in range(len(centres))], np.int32))
+    return near.withColumn("g", F.col("centre") + F.lit(len(centres)) * F.pmod(F.xxhash64("row", F.lit(4)), F.get(parts, "centre"))).drop("centre")
+
+
+def needed(groups: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray) -> DataFrame:
+    """(g, cell, limit, blocks): a group's cells, the distance to the pivot from which members can matter, and the group's blocks."""
+    there, width = np.flatnonzero(sizes), pivots.shape[1]
+
+    def limits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        least_d = np.full(len(there), np.inf)
+        for a in range(0, len(rows), 64):
+            q = matrix(pa.array(rows["v"].iloc[a : a + 64], pa.list_(pa.int64())), width)
+            short, length = rows["least"].to_numpy()[a : a + 64, None] - q @ pivots[there].T, norms(q)[:, None]
+            short = short - slack(short)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.where(length > 0, short / length, np.where(short > 0, np.inf, -np.inf))
+            least_d = np.minimum(least_d, d.min(axis=0))
+        least_d = least_d - slack(least_d)
+        cells = np.flatnonzero(least_d <= radius[there])
+        blocks = max(1, -(-int(sizes[there[cells]].sum()) // BLOCK))
+        return pd.DataFrame({"g": np.full(len(cells), key[0]), "cell": there[cells].astype(np.int32), "limit": least_d[cells], "blocks": np.full(len(cells), blocks, np.int32)})
+
+    return groups.groupBy("g").applyInPandas(limits, "g long, cell int, limit double, blocks int")
+
+
+def spread(cells: DataFrame, needs: DataFrame) -> DataFrame:
+    """(g, block, row, vec_id, v): data vectors once for each group that may need them."""
+    sent = cells.join(needs, "cell").filter("d >= limit")
+    return sent.select("g", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "vec_id", "v")
+
+
+def top_k(data: DataFrame, asks: Column, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best of ``data`` (vec_id, v) for each of its rows where ``asks`` holds."""
+    spark = data.sparkSession
+    cells, groups, needs, width = joined(data, asks, k)
+    if cells is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = needs.groupBy("g").agg(F.max("blocks").alias("blocks"))
+    wanted = groups.join(blocks, "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "block", "row", "vec_id", "v")
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
+        names = ["asker", "query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({n: np.empty(0, np.int64) for n in names})
         q, x = (matrix(pa.array(side["v"], pa.list_(pa.int64())), width) for side in (left, right))
         order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
-        x, ids = x[order], right["vec_id"].to_numpy()[order]
+        x, ids, rows = x[order], right["vec_id"].to_numpy()[order], right["row"].to_numpy()[order]
         found = []
         for i in range(0, len(q), 256):
             scores = products(q[i : i + 256], x)
-            for s, own in zip(scores, left["vec_id"].to_numpy()[i : i + 256]):
-                other = np.flatnonzero(ids != own)
+            for s, own, own_id in zip(scores, left["row"].to_numpy()[i : i + 256], left["vec_id"].to_numpy()[i : i + 256]):
+                other = np.flatnonzero(rows != own)
                 s = s[other]
                 if len(s) > k:
                     cut_at = np.partition(s, len(s) - k)[len(s) - k]
                     other, s = other[s >= cut_at], s[s >= cut_at]
                 best = np.argsort(-s, kind="stable")[:k]  # ids ascend, so ties keep the smaller
-                found.append((np.full(len(best), own), ids[other[best]], s[best]))
+                found.append((np.full(len(best), own), np.full(len(best), own_id), ids[other[best]], s[best]))
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*found))})
 
-    place = ["g", "block", "part"]
-    local = wanted.groupBy(*place).cogroup(spread.groupBy(*place)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    local = wanted.groupBy("g", "block").cogroup(spread(cells, needs).groupBy("g", "block")).applyInPandas(solve, "asker long, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def joined(data: DataFrame, asks: Column, k: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, int]:
+    """Cells, groups and needs of a search, and the vectors' width; nothing without data or queries."""
+    rows = numbered(data, "vectors")
+    queries = rows.filter(asks)
+    shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if(asks).alias("asked")).first()
+    width = shape["width"] or 0
+    if not shape["n"] or not shape["asked"] or not width:
+        return None, None, None, 0
+    pivots = sample(rows, min(PIVOTS, max(FEWEST, int(shape["n"] ** 0.5))), width)
+    cells = in_cells(rows, pivots)
+    sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():  # a row a pivot
+        sizes[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+    centres = sample(queries, min(CENTRES, -(-shape["asked"] // QUERIES)), width)
+    groups = checkpointed(grouped(bounded(queries, cells, pivots, sizes, k), centres))
+    return cells, groups, checkpointed(needed(groups, pivots, sizes, radius)), width
+
+
+def replication(data: DataFrame, asks: Column, k: int = 10) -> tuple[float, int]:
+    """How many groups a data vector is sent to on average, and how many groups there are."""
+    cells, groups, needs, _ = joined(data, asks, k)
+    return spread(cells, needs).count() / cells.count(), groups.select("g").distinct().count()
+
+
 TOP_K_SQL = f"""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM e q JOIN e d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 10
+s AS (SELECT q.r, q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM e q JOIN e d ON q.r <> d.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 10
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from forgeline.llm import bpe, knn, licences, line_dedup, media, mixing, quality, sharding, simhash, token_files
 from forgeline.llm.common import documents
@@ -51,7 +52,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = knn.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return knn.top_k(data, data.filter("vec_id % 100 = 0"))
+    return knn.top_k(data, F.col("vec_id") % 100 == 0)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

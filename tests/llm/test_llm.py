@@ -617,34 +617,60 @@ def test_chunks_resist_shifts():
 
 def plain_top(data, k=10):
     out = []
-    for q, a in data:
+    for at, (q, a) in enumerate(data):
         if q % 7 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in data if i != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(data) if n != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
 
+ASKS = "vec_id % 7 = 0"
+
+
+def exact_rows(vectors):
+    return [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors]
+
+
 @pytest.mark.parametrize("n,groups", [(3, 1), (150, 1), (150, 4)])
 def test_knn(spark, n, groups, monkeypatch):
-    monkeypatch.setattr(knn, "PIVOTS", 8)
     monkeypatch.setattr(knn, "QUERIES", 512 if groups == 1 else 4)
+    monkeypatch.setattr(knn, "SEEDS", 1024 if groups == 1 else 8)
     monkeypatch.setattr(knn, "BLOCK", 40)
     rnd = random.Random(n)
     vectors = [(i, [rnd.choice([0.5, -0.25, rnd.gauss(0, 1)]) for _ in range(6)]) for i in range(n)]
     vectors += [(n + 1, vectors[0][1]), (n + 2, vectors[1][1])]
+    vectors += [(0, vectors[2][1]), (0, vectors[0][1]), (1, vectors[1][1]), (7, [0.0] * 6)]  # ids that repeat, and the zero vector as a query
     odd = [(1000, None), (1001, [float("nan")] * 6), (1002, [float("inf")] + [0.0] * 5), (1003, [None] * 6), (None, [1.0] * 6)]
-    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>")
-    data = knn.integers(df)
-    exact = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vectors]
-    assert sorted(map(tuple, knn.top_k(data, data.filter("vec_id % 7 = 0")).collect())) == sorted(plain_top(exact))
+    df = spark.createDataFrame([(*v, 1, "x") for v in vectors + odd], "vec_id long, embedding array<float>, row int, cell string")
+    got = sorted(map(tuple, knn.top_k(knn.integers(df), F.expr(ASKS)).collect()))
+    assert got == sorted(plain_top(exact_rows(vectors)))
+
+
+def test_knn_of_clusters_sends_less(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERIES", 20)
+    rnd = np.random.default_rng(5)
+    middles = rnd.normal(size=(24, 8)) * 20
+    vectors = [(i, (middles[i % 24] + rnd.normal(size=8) * 0.2).tolist()) for i in range(1600)] + [(5000 + i, middles[3].tolist()) for i in range(500)]
+    data = knn.integers(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
+    sent, groups = knn.replication(data, F.expr(ASKS))
+    assert groups >= 8 and sent < 0.3 * groups, (sent, groups)
+    exact = exact_rows(vectors)
+    x, ids = np.array([v for _, v in exact]), np.array([i for i, _ in exact])
+    want = []
+    for q, i in enumerate(ids):
+        if i % 7 == 0:
+            score = x @ x[q]
+            best = sorted(np.delete(np.arange(len(ids)), q), key=lambda k: (-score[k], ids[k]))[:10]
+            want += [(int(i), r + 1, int(ids[k]), int(score[k])) for r, k in enumerate(best)]
+    assert sorted(map(tuple, knn.top_k(data, F.expr(ASKS)).collect())) == sorted(want)
 
 
 def test_knn_large_values_and_empty(spark):
     df = spark.createDataFrame([(i, [1e5 * (i + 1), 3.0]) for i in range(12)], "vec_id long, embedding array<double>")
     data = knn.integers(df)
     exact = [(i, [102_400_000 * (i + 1), 3072]) for i in range(12)]
-    assert sorted(map(tuple, knn.top_k(data, data.filter("vec_id % 7 = 0")).collect())) == sorted(plain_top(exact))
-    assert knn.top_k(data.limit(0), data).count() == knn.top_k(data, data.limit(0)).count() == 0
+    assert sorted(map(tuple, knn.top_k(data, F.expr(ASKS)).collect())) == sorted(plain_top(exact))
+    assert knn.top_k(data.limit(0), F.expr(ASKS)).count() == knn.top_k(data, F.lit(False)).count() == 0
 
 
 # --- 10 token files ------------------------------------------------------------------------------------------------
