@@ -546,26 +546,28 @@ def test_isotonic_rises():
 
 
 def plain_chunks(t):
-    lines = t.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    units = re.findall(line_dedup.UNIT, t)
+    assert "".join(units) == t
+    h = [ord(hashlib.md5(x.encode()).hexdigest()[0]) for x in units]
     out, own = [], []
-    for i, x in enumerate(lines):
+    for i, x in enumerate(units):
         own.append(x)
-        if i == len(lines) - 1 or ((h[i - 1] if i else 0) * line_dedup.FACTOR + h[i]) % line_dedup.DIVISOR == 0:
+        if i == len(units) - 1 or ((h[i - 1] if i else 0) * line_dedup.FACTOR + h[i]) % line_dedup.DIVISOR == 0:
             out.append(own)
             own = []
     return out
 
 
-def plain_line_dedup(rows):
+def plain_line_dedup(rows, copies=False):
     where = defaultdict(set)
     digest = lambda t: hashlib.md5(t.encode()).hexdigest()
     for i, t in rows:
         for k, c in enumerate(plain_chunks(t) if t is not None else []):
             if len(c) > 1:
-                where["\n".join(c)].add((i is not None, i or 0, digest(t), k))
-    first = {c: min(p)[2:] for c, p in where.items()}
-    return Counter((i, t if t is None else "\n".join("\n".join(c) for k, c in enumerate(plain_chunks(t)) if len(c) < 2 or first["\n".join(c)] == (digest(t), k))) for i, t in rows)
+                where["".join(c)].add((i is not None, i or 0, digest(t), k))
+    first = {c: min(p) for c, p in where.items()}
+    stays = lambda c, i, t, k: len(c) < 2 or first["".join(c)][2 * copies :] == (i is not None, i or 0, digest(t), k)[2 * copies :]
+    return Counter((i, t if t is None else "".join("".join(c) for k, c in enumerate(plain_chunks(t)) if stays(c, i, t, k))) for i, t in rows)
 
 
 def test_line_dedup(spark, docs, rows, none):
@@ -573,11 +575,40 @@ def test_line_dedup(spark, docs, rows, none):
     pool = [" ".join(rnd.choice(WORDS) for _ in range(6)) for _ in range(60)]
     passage = pool[:9]
     data = [(i, "\n".join(rnd.sample(pool[9:], 5) + passage + rnd.sample(pool[9:], 5))) for i in range(12)]
-    data += [(20, "\n".join(passage * 3)), (21, data[0][1]), (21, data[0][1]), (None, data[3][1] + "\nend"), (22, None), (23, ""), (24, "\n\n\n")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    assert Counter((r["doc_id"], r["text"]) for r in line_dedup.deduplicate(df).collect()) == plain_line_dedup(data)
-    assert Counter((r["doc_id"], r["text"]) for r in line_dedup.deduplicate(docs).collect()) == plain_line_dedup([(i, t) for i, t, _ in rows])
-    assert line_dedup.deduplicate(docs).columns == docs.columns and line_dedup.report(none).count() == 0
+    data += [(20, "\n".join(passage * 3)), (21, data[0][1]), (21, data[0][1]), (21, data[1][1]), (None, data[3][1] + "\nend"), (None, None), (22, None), (23, ""), (24, "\n\n\n")]
+    data += [(30 + i, f"Some start {i}. " + ". ".join(passage) + f". {'x' * 50_000} end {i}") for i in range(3)]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 1, "k", 2) for r in data], "doc_id long, text string, n_chars long, no int, chunk string, _id int")
+    for copies in (False, True):
+        got = line_dedup.deduplicate(df, copies=copies)
+        assert got.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == plain_line_dedup(data, copies)
+        assert got.filter("n_chars <> length(text)").count() == 0
+        assert Counter((r["doc_id"], r["text"]) for r in line_dedup.deduplicate(docs, copies=copies).collect()) == plain_line_dedup([(i, t) for i, t, _ in rows], copies)
+    assert line_dedup.report(none).count() == line_dedup.deduplicate(none).count() == 0
+    con = duckdb.connect()
+    table = pa.table({"doc_id": [i for i, _ in data], "text": [t for _, t in data]})
+    con.register("documents", table)
+    assert Counter(map(tuple, line_dedup.report(df).collect())) == Counter(con.sql(line_dedup.REPORT_SQL).fetchall())
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """With a hash that is the same for all chunks of a length only the bytes tell them apart."""
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.length(c[0]).cast("long"))
+    data = [(i, f"first {k}.\nsecond {k}.\nthird {k}.\nfourth {k}.\n") for i, k in enumerate([1, 2, 3, 1, 4, 2])]
+    got = line_dedup.deduplicate(spark.createDataFrame(data, "doc_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == plain_line_dedup(data)
+
+
+def test_share_of_planted_passages_that_chunks_find(spark):
+    rnd = random.Random(11)
+    sentence = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n)) + "."
+    planted = ["\n".join(sentence(rnd.randint(9, 12)) for _ in range(rnd.randint(6, 14))) for _ in range(60)]
+    data = [(k, planted[k % 60] if k < 60 else "\n".join([sentence(9), planted[k % 60], sentence(9)])) for k in range(180)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    there = sum(len(planted[k % 60].split()) for k in range(60, 180))
+    left = sum(len(got[k].split()) - 18 for k in range(60, 180))
+    assert all(got[k] == planted[k] for k in range(60)) and 0.45 < 1 - left / there < 1
+    all_gone = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(len(all_gone[k].split()) == 18 for k in range(60, 180))
 
 
 def test_repeated_passages_go_whatever_their_neighbours(spark, docs, none):
@@ -601,14 +632,14 @@ def test_repeated_passages_go_whatever_their_neighbours(spark, docs, none):
     assert all(len(got[10 * k + d].split()) == 24 for k in range(len(planted)) for d in (1, 2, 4)) and got[300] == got[301] == got[1]
     one = line_dedup.without_repeats(spark.createDataFrame(copies[2:], "doc_id long, text string")).collect()
     assert one[0]["text"] == planted[0]
-    same = lambda f, *a: Counter((r["doc_id"], r["text"]) for r in f(docs.unionByName(none), *a).select("doc_id", "text").collect())
-    assert same(line_dedup.without_repeats, line_dedup.DIVISOR, 10**6) == same(line_dedup.deduplicate)
+    same = lambda f, **a: Counter((r["doc_id"], (r["text"] or "").rstrip("\n ")) for r in f(docs.unionByName(none), **a).select("doc_id", "text").collect())
+    assert same(line_dedup.without_repeats, passage=10**6) == same(line_dedup.deduplicate, copies=True)
     assert line_dedup.without_repeats(docs).columns == docs.columns and line_dedup.without_repeats(none).count() == 0
 
 
 def test_chunks_resist_shifts():
     lines = texts(9, 200)
-    a, b = ({"\n".join(c) for c in plain_chunks("\n".join(x))} for x in (lines, ["one more", *lines]))
+    a, b = ({"".join(c) for c in plain_chunks("\n".join(x))} for x in (lines, ["one more", *lines]))
     assert len(a & b) >= len(a) - 2
 
 
