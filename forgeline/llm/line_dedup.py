@@ -96,7 +96,8 @@ def chunks(text: Column, divisor: int = DIVISOR) -> Column:
 
 
 def digest_of(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+    """What tells texts apart that share a doc_id."""
+    return F.substring(F.unhex(F.md5(text)), 1, 8)
 
 
 def of_document(df: DataFrame, more: DataFrame, how: str) -> DataFrame:
@@ -125,14 +126,18 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, copies: bool = False) -> D
     wanted = found.join(maybe, ["key", "bytes"], "left_semi").groupBy("_id", "_digest").agg(F.collect_set("no").alias("_nos"))
     there = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest_of(F.col("text")) == F.col("_digest")))
     bytes_of = let(chunks(F.col("text"), divisor), lambda own: F.transform("_nos", lambda no: F.struct(no.alias("no"), F.get(own, no)["text"].alias("chunk"))))
-    texts = saved(there.select("_id", "_digest", F.explode(bytes_of).alias("_c")).select("_id", "_digest", "_c.no", F.xxhash64("_c.chunk").alias("key"), "_c.chunk"), "chunk-texts")
-    # one row for each different content, however many share a hash
-    firsts = texts.groupBy("key", "chunk").agg(F.min(F.struct("_id", "_digest", "no")).alias("first"))
-    same = texts.alias("t").join(firsts.alias("f"), (F.col("t.key") == F.col("f.key")) & (F.col("t.chunk") == F.col("f.chunk")))
-    other = F.col("t.no") != F.col("first.no")
-    other = other | (F.col("t._digest") != F.col("first._digest"))
-    other = other if copies else other | ~F.col("t._id").eqNullSafe(F.col("first._id"))
-    return same.filter(other).groupBy("t._id", "t._digest").agg(F.collect_set("t.no").alias("_removed"))
+    texts = there.select("_id", "_digest", F.explode(bytes_of).alias("_c")).select("_id", "_digest", "_c.no", F.xxhash64("_c.chunk").alias("key"), F.octet_length("_c.chunk").alias("bytes"), "_c.chunk")
+    place = F.struct("_id", "_digest", "no")
+    contents = texts.groupBy("key", "bytes", "chunk").agg(F.min(place).alias("first"))  # grouped by their bytes
+    of_key = saved(contents.groupBy("key", "bytes").agg(F.count("*").alias("contents"), F.min("first").alias("first")), "chunk-firsts")
+    again = found.join(of_key.filter("contents = 1"), ["key", "bytes"]).select("_id", "_digest", "no", "first")
+    if of_key.filter("contents > 1").limit(1).count():  # a hash of different contents: their bytes tell which is which
+        mixed = texts.join(of_key.filter("contents > 1").select("key", "bytes"), ["key", "bytes"], "left_semi").withColumnRenamed("chunk", "_chunk")
+        same = mixed.join(contents, (mixed["key"] == contents["key"]) & (mixed["_chunk"] == contents["chunk"]))
+        again = again.union(same.select("_id", "_digest", "no", "first"))
+    other = (F.col("no") != F.col("first.no")) | (F.col("_digest") != F.col("first._digest"))
+    other = other if copies else other | ~F.col("_id").eqNullSafe(F.col("first._id"))
+    return again.filter(other).groupBy("_id", "_digest").agg(F.collect_set("no").alias("_removed"))
 
 
 def cleaned(docs: DataFrame, divisor: int = DIVISOR, copies: bool = False) -> DataFrame:
