@@ -9,6 +9,9 @@ Sources are ordered by code point, null last, and weigh 1, 2, 3, repeating, of a
 times its source's size and the excess goes to the others by weight. That level is found in closed form: by the
 ratio of cap and weight, all below the level are capped and the others share the rest.
 
+The ranges' sums are written, so sizes are counted once for them and once for the documents. Sources are ordered in one task, a row
+each, which does for millions of them.
+
 Null texts have size 0 and are never taken. Rows that repeat a doc_id are ordered by size; equal rows are
 interchangeable. Reruns agree. An empty table gives an empty result.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forgeline.llm.common import word_count
+from forgeline.llm.common import saved, word_count
 
 #: Ranges of hash keys in a source: a power of 16.
 DIGITS = 3
@@ -53,7 +56,7 @@ def taken(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = df.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, DIGITS)).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     place = ["_s", "_n", "_range"]
-    ranges = rows.groupBy(*place).agg(F.first("source").alias("source"), F.sum("size").alias("_total"))
+    ranges = saved(rows.groupBy(*place).agg(F.first("source").alias("source"), F.sum("size").alias("_total")), "ranges")  # used twice
     sizes = ranges.groupBy("_s", "_n").agg(F.first("source").alias("source"), F.sum("_total").alias("source_size"))
     level = targets(sizes, weights, most).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull()).drop("source")
     by_range = Window.partitionBy("_s", "_n").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +71,8 @@ def taken(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 def mixed(df: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of documents (doc_id, text, source)."""
-    return taken(df.select("doc_id", "source", word_count(F.col("text")).alias("size")), **options).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = saved(df.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")  # texts are read once
+    return taken(sizes, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:

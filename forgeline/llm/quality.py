@@ -7,12 +7,14 @@ weighted by the shares of the classes among all labels that may be learnt from.
 
 Blocks (``BLOCK`` bytes each) are compressed apart, so the dictionary counts alike in all parts of long texts; every
 block of a text is used. Learning takes a bounded, documented sample: ``PER_CLASS`` labelled documents of each class
-for the dictionaries and as many for the calibration, those with the smallest hash of doc_id, up to ``SAMPLE_BYTES``
-of each. Scoring covers all documents and shuffles nothing.
+for the dictionaries and as many for the calibration, those with the smallest hash of doc_id; of a longer text a slice of
+``SAMPLE_CHARACTERS`` at a place by hash. A dictionary holds an equal part of each of its texts, ``DICTIONARY_BYTES`` in all.
+Scoring covers all documents and shuffles nothing.
 
 Labels that are null or that contradict each other for one doc_id are left out. Null and empty texts get the score of
 texts without evidence (difference 0). Where a class has no labelled document, every score is the share of good
-labels (0.5 without any).
+labels (0.5 without any). Rows that repeat are scored alike, an empty table gives an empty result, and very long texts are scored
+whole. Other columns are kept and never read; columns named held_out, score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PER_CLASS = 1500
-SAMPLE_BYTES = 1 << 16
+SAMPLE_CHARACTERS = 1 << 14
 DICTIONARY_BYTES = 1 << 17
 BLOCK = 1024
 LEVEL = 9
@@ -122,7 +124,8 @@ def sample(docs: DataFrame, known: DataFrame, per_class: int) -> list:
     if not chosen:
         return []
     wanted = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, quality int")  # 4 * per_class ids at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.length("text") <= SAMPLE_BYTES // 4)
+    at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - (SAMPLE_CHARACTERS - 1), F.lit(1))).cast("int")
+    texts = docs.select("doc_id", F.substring("text", at, F.lit(SAMPLE_CHARACTERS)).alias("text")).join(F.broadcast(wanted), "doc_id")
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
 
 
@@ -143,16 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dictio
 
 
 def dictionary(texts: list[bytes], most: int) -> bytes:
-    """Equal parts of many texts, one after another, up to ``most`` bytes."""
-    each = max(256, most // max(1, len(texts)))
-    parts, held = [], 0
-    for k, text in enumerate(texts):
+    """An equal part of each text, one after another, ``most`` bytes at the most."""
+    parts, left = [], most
+    for k, text in enumerate(sorted(texts, key=len)):  # what short texts leave goes to the longer ones
+        each = left // (len(texts) - k)
         at = (k * 7919) % max(1, len(text) - each + 1)
-        part = text[at : at + each]
-        if held + len(part) > most:
-            break
-        parts.append(part)
-        held += len(part)
+        parts.append(text[at : at + each])
+        left -= len(parts[-1])
     return b"".join(parts)
 
 

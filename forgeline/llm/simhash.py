@@ -125,26 +125,34 @@ def search(rows: DataFrame, radius: int, most: int | None) -> DataFrame:
     """Links (a, b) of all keys; with ``most``, members of larger keys come back as (table, key, f) instead."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, links, over = [], None, [], []
+        held, n, large, at, links, over = [], 0, False, None, [], []
 
         def close():
-            nonlocal held
-            group = np.concatenate(held) if held else np.empty(0, np.int64)
-            held = []
-            if len(group) < 2:
-                return
-            if most and len(group) > most:
-                over.append((at, group))
-            else:
-                links.extend(spanning(group, radius))
+            nonlocal held, n, large
+            if held and (large or n > 1):
+                group = np.concatenate(held)
+                if large:
+                    over.append((at, group))
+                else:
+                    links.extend(spanning(group, radius))
+            held, n, large = [], 0, False
+
+        def add(members: np.ndarray) -> None:
+            """Hold members of the present key; from ``most`` on they are passed on as they come."""
+            nonlocal held, n, large
+            held.append(members)
+            n += len(members)
+            if most and n > most:
+                over.append((at, np.concatenate(held)))
+                held, large = [], True
 
         def made() -> pa.RecordBatch:
-            n, m = len(links), sum(len(g) for _, g in over)
+            pairs_n, m = len(links), sum(len(g) for _, g in over)
             pairs = np.array(links, np.int64).reshape(-1, 2)
-            tables = np.concatenate([np.zeros(n, np.int32), *[np.full(len(g), t, np.int32) for (t, _), g in over]])
-            key = np.concatenate([np.zeros(n, np.int64), *[np.full(len(g), k, np.int64) for (_, k), g in over]])
-            f = np.concatenate([np.zeros(n, np.int64), *[g for _, g in over]])
-            gone = np.arange(n + m) >= n
+            tables = np.concatenate([np.zeros(pairs_n, np.int32), *[np.full(len(g), t, np.int32) for (t, _), g in over]])
+            key = np.concatenate([np.zeros(pairs_n, np.int64), *[np.full(len(g), k, np.int64) for (_, k), g in over]])
+            f = np.concatenate([np.zeros(pairs_n, np.int64), *[g for _, g in over]])
+            gone = np.arange(pairs_n + m) >= pairs_n
             out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], np.zeros(m, np.int64)]), mask=gone), pa.array(np.concatenate([pairs[:, 1], np.zeros(m, np.int64)]), mask=gone), pa.array(tables), pa.array(key), pa.array(f)], names=["a", "b", "table", "key", "f"])
             links.clear()
             over.clear()
@@ -160,7 +168,7 @@ def search(rows: DataFrame, radius: int, most: int | None) -> DataFrame:
                 if now != at:
                     close()
                     at = now
-                held.append(f[a:b].copy())
+                add(f[a:b].copy())
             if links or over:
                 yield made()
         close()
