@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(base)
     if base.startswith("file:") and not base.startswith("file:///"):

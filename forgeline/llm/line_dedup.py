@@ -122,7 +122,7 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, copies: bool = False) -> D
     """(_id, _digest, _removed): the numbers of the chunks that go from a document; one row for each that loses any."""
     found = hashed(docs, divisor)
     several = several_places("no") if copies else F.count("*") > 1
-    maybe = found.groupBy("key", "bytes").agg(several.alias("_several")).filter("_several").select("key", "bytes")
+    maybe = saved(found.groupBy("key", "bytes").agg(several.alias("_several")).filter("_several").select("key", "bytes"), "repeated")  # a written side lets Spark split a hot key of the other
     wanted = found.join(maybe, ["key", "bytes"], "left_semi").groupBy("_id", "_digest").agg(F.collect_set("no").alias("_nos"))
     there = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest_of(F.col("text")) == F.col("_digest")))
     bytes_of = let(chunks(F.col("text"), divisor), lambda own: F.transform("_nos", lambda no: F.struct(no.alias("no"), F.get(own, no)["text"].alias("chunk"))))
@@ -265,12 +265,12 @@ def without_repeats(docs: DataFrame, divisor: int = DIVISOR, passage: int = PASS
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
     each = saved(rows.select(F.col("doc_id").alias("_id"), digest_of(F.col("text")).alias("_digest"), marks(F.col("text"), divisor, passage).alias("_m")), "marks")
     every = each.select("_id", "_digest", F.explode("_m").alias("_m")).select("_id", "_digest", "_m.mark", "_m.at")
-    twice = every.groupBy("mark").agg(several_places("at").alias("_several")).filter("_several").select("mark")
+    twice = saved(every.groupBy("mark").agg(several_places("at").alias("_several")).filter("_several").select("mark"), "repeated")
     wanted = every.join(twice, "mark", "left_semi").groupBy("_id", "_digest").agg(F.collect_set("at").alias("_at"))
     there = rows.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest_of(F.col("text")) == F.col("_digest")))
     found = saved(there.select("_id", "_digest", F.explode(spans(F.col("text"), F.col("_at"), divisor, passage)).alias("_s")).select("_id", "_digest", "_s.*"), "spans")
     firsts = found.groupBy("key").agg(F.min(F.struct("_id", "_digest", "start", "stop")).alias("first"), several_places("start").alias("_several")).filter("_several").drop("_several")
-    later = found.join(firsts, "key").filter((F.col("_digest") != F.col("first._digest")) | (F.col("start") != F.col("first.start")))
+    later = found.join(saved(firsts, "firsts"), "key").filter((F.col("_digest") != F.col("first._digest")) | (F.col("start") != F.col("first.start")))
     own = F.when(F.col("_digest") == F.col("first._digest"), F.greatest("start", F.col("first.stop") + 1)).otherwise(F.col("start"))
     gone = later.select("_id", "_digest", own.alias("start"), "stop").filter("start <= stop").groupBy("_id", "_digest").agg(F.collect_set(F.struct("start", "stop")).alias("_gone"))
     joined = of_document(rows, gone, "left")
