@@ -89,6 +89,13 @@ def hourly_counts(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("machine_id", F.date_trunc("hour", "occurred_at").alias("hour")).agg(F.count("*").alias("incidents"), *[F.sum(f).alias(f) for f in FLAGS])
 
 
+def rolling_counts(hours: DataFrame, counted: DataFrame, rows: tuple[int, ...] = (24, 168)) -> DataFrame:
+    """(machine_id, hour, incidents, incidents_{n}_rows): counts on a machine's hours, 0 where there is none, and sums over the last n rows."""
+    both = hours.join(counted.select("machine_id", "hour", "incidents"), ["machine_id", "hour"], "left").withColumn("incidents", F.coalesce("incidents", F.lit(0)))
+    line = Window.partitionBy("machine_id").orderBy("hour")
+    return both.withColumns({f"incidents_{n}_rows": F.sum("incidents").over(line.rowsBetween(1 - n, 0)) for n in rows})
+
+
 def inclusive_labels(hours: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Labels by rows from the current one on, from (machine_id, hour, incidents): any incident counts."""
     line = Window.partitionBy("machine_id").orderBy("hour")

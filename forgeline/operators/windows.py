@@ -92,11 +92,12 @@ def band(df: DataFrame, c: str, rows: int = 168, least: int = 24, width: float =
 def interpolate(df: DataFrame, columns: list[str], order: str = "observed_at", by: str = "machine_id") -> DataFrame:
     """Linear interpolation by row position; gaps at either end take the nearest value, all-null stays null."""
     w = Window.partitionBy(by).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # both directions look back from a row, over rows in either order: a running value, not a frame for each row
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_n", F.row_number().over(w))
     for c in columns:
         at = F.when(F.col(c).isNotNull(), F.col("_n"))
-        rows = rows.withColumns({f"_{c}_v0": F.last(c, True).over(back), f"_{c}_n0": F.last(at, True).over(back), f"_{c}_v1": F.first(c, True).over(ahead), f"_{c}_n1": F.first(at, True).over(ahead)})
+        rows = rows.withColumns({f"_{c}_v0": F.last(c, True).over(back), f"_{c}_n0": F.last(at, True).over(back), f"_{c}_v1": F.last(c, True).over(ahead), f"_{c}_n1": F.last(at, True).over(ahead)})
     for c in columns:
         v0, n0, v1, n1 = (F.col(f"_{c}_{x}") for x in ("v0", "n0", "v1", "n1"))
         inner = v0 + (v1 - v0) * (F.col("_n") - n0) / F.nullif(n1 - n0, F.lit(0))
@@ -123,7 +124,8 @@ def autocorrelation(df: DataFrame, c: str, lags: int = 48) -> DataFrame:
     w = line()
     rows = df.filter(F.col(c).isNotNull()).select("machine_id", F.col(c).cast("double").alias("x"), F.row_number().over(w).alias("n"))
     centred = rows.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("machine_id")))
-    total = centred.groupBy("machine_id").agg(F.sum(F.col("x") * F.col("x")).alias("_total"), F.count("*").alias("_count"))
-    ahead = centred.select("machine_id", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), F.col("n").alias("m")).withColumn("n", F.col("m") - F.col("lag"))
-    pairs = centred.join(ahead, ["machine_id", "n"]).groupBy("machine_id", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("_s"))
-    return pairs.join(total, "machine_id").select("machine_id", "lag", (F.col("_s") / F.nullif("_total", F.lit(0.0))).alias("acf"))
+    ordered = Window.partitionBy("machine_id").orderBy("n")  # one sort gives all lags
+    pairs = centred.select("machine_id", "x", *[(F.col("x") * F.lag("x", k).over(ordered)).alias(str(k)) for k in range(1, lags + 1)])
+    sums = pairs.groupBy("machine_id").agg(F.sum(F.col("x") * F.col("x")).alias("0"), *[F.sum(str(k)).alias(str(k)) for k in range(1, lags + 1)])
+    long = sums.withColumn("_total", F.col("0")).unpivot(["machine_id", "_total"], [str(k) for k in range(lags + 1)], "lag", "_s").filter("_s IS NOT NULL")
+    return long.select("machine_id", F.col("lag").cast("int").alias("lag"), (F.col("_s") / F.nullif("_total", F.lit(0.0))).alias("acf"))

@@ -13,7 +13,7 @@ from forgeline.plans import base_sql as B
 from forgeline.plans import medallion as M
 from forgeline.schemas import FLAGS, HORIZONS, MEASURES, TELEMETRY
 from forgeline.sources import adapters, files
-from forgeline.sources.scratch import shared_dir
+from forgeline.sources.scratch import materialized, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,7 +286,9 @@ def hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = incidents(spark, sf_dir).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
+    # written once: else the rules' text parsing is repeated in each condition and branch that uses it
+    bronze = materialized(M.bronze_incidents(adapters.raw_incidents(spark, sf_dir)), "bronze-incidents")
+    found = M.silver_incidents(bronze).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
     return timeline.nearby_incidents(hot_rows(spark, sf_dir), found)
 
 
@@ -663,6 +665,16 @@ def d_hourly_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.hourly_counts(incidents(spark, sf_dir))
 
 
+_ROLLED = ", ".join(f"(sum(incidents) OVER (PARTITION BY machine_id ORDER BY hour ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))::BIGINT AS incidents_{n}_rows" for n in (24, 168))
+
+
+@query(f"{BOTH}, {_HOURS}, rh AS (SELECT DISTINCT machine_id, date_trunc('hour', observed_at) AS hour FROM rd), h AS (SELECT rh.*, coalesce(incidents, 0) AS incidents FROM rh LEFT JOIN hc USING (machine_id, hour)) SELECT machine_id, hour, incidents, {_ROLLED} FROM h")
+def d_rolling_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly incidents joined to a machine's hours, and their sums over 24 and 168 rows."""
+    hours = readings(spark, sf_dir).select("machine_id", F.date_trunc("hour", "observed_at").alias("hour")).distinct()
+    return timeline.rolling_counts(hours, timeline.hourly_counts(incidents(spark, sf_dir)))
+
+
 @query(f"{BOTH}, {_HOURS}, rh AS (SELECT DISTINCT machine_id, date_trunc('hour', observed_at) AS hour FROM rd), h AS (SELECT rh.*, coalesce(incidents, 0) AS incidents FROM rh LEFT JOIN hc USING (machine_id, hour)) SELECT machine_id, hour, " + ", ".join(f"(sum(incidents) OVER (PARTITION BY machine_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING))::BIGINT AS future_incident_count_{h}h, (sum(incidents) OVER (PARTITION BY machine_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING)) > 0 AS label_incident_next_{h}h" for h in HORIZONS) + " FROM h")
 def d_inclusive_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by rows from the current hour on."""
@@ -746,13 +758,13 @@ def d_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of three imputations on masked values, and the best (D3)."""
     rows = readings(spark, sf_dir)
     split = reshape.with_split(rows, "observed_at", reshape.cut_points(rows, "observed_at"))
-    errors = modelling.imputation_errors(split, ["temperature_c", "voltage_mean_v"])
+    errors = modelling.imputation_errors(split, list(FLOATS))
     return errors.join(modelling.best_imputation(errors).withColumnRenamed("method", "best"), "column_name")
 
 
 @query()
 def d_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regression, forest and boosted trees on the feature table: test area under the curve and recall at a precision."""
+    """Logistic regression, forest and boosted trees on the feature table: test area under the curve and recall at precision 80 % (null: not reached) and 30 %."""
     path = shared_dir(spark, "model-rows")
     files.full_refresh(training_rows(spark, sf_dir).select("split_set", "label", *[F.col(c).cast("double").alias(c) for c in MODEL_COLUMNS]), path)
     rows = spark.read.parquet(path)
@@ -761,9 +773,10 @@ def d_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for kind in ("logistic", "forest", "boosted"):
         scored = modelling.scored(modelling.classifier(kind, train, MODEL_COLUMNS, weight=weight), rows.filter("split_set = 'test'")).select("label", "score")
-        part = modelling.area_under_curve(scored).join(modelling.recall_at(scored, 0.3), F.lit(True)).withColumn("model", F.lit(kind))
+        low = modelling.recall_at(scored, 0.3).withColumnsRenamed({"recall": "recall_at_30", "threshold": "threshold_at_30"})
+        part = modelling.area_under_curve(scored).join(modelling.recall_at(scored, 0.8), F.lit(True)).join(low, F.lit(True)).withColumn("model", F.lit(kind))
         out = part if out is None else out.union(part)
-    return out.select("model", "auc", "recall", "threshold")
+    return out.select("model", "auc", "recall", "threshold", "recall_at_30", "threshold_at_30")
 
 
 @query()
