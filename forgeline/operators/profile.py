@@ -98,6 +98,25 @@ def outlier_report(df: DataFrame, columns: list[str], factor: float = 3.0, appro
     return long_form(df, columns).join(F.broadcast(limits), "column_name").groupBy("column_name", "low", "high").agg(F.count(F.when(outside, 1)).alias("outliers"))
 
 
+def sensor_outliers(df: DataFrame, columns: list[str], factor: float = 3.0) -> DataFrame:
+    """(machine_id, observed_at, outlier_<column>...): instants at which any of the columns lies outside its bounds, readings of one instant together."""
+    limits = bounds(df, columns, factor).agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("low", "high")))).alias("_limits"))
+    outside = {c: (F.col(c) < F.element_at("_limits", F.lit(c))["low"]) | (F.col(c) > F.element_at("_limits", F.lit(c))["high"]) for c in columns}
+    rows = df.join(F.broadcast(limits), F.lit(True)).groupBy("machine_id", "observed_at").agg(*[F.coalesce(F.bool_or(o), F.lit(False)).alias(f"outlier_{c}") for c, o in outside.items()])
+    return rows.filter(" OR ".join(f"outlier_{c}" for c in columns))
+
+
+def by_sensor(flagged: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """(sensor_type, *keep): a row for each column that is an outlier there."""
+    rows = flagged.select(*keep, F.explode(F.array(*[F.when(F.col(f"outlier_{c}"), F.lit(c)) for c in columns])).alias("sensor_type"))
+    return rows.filter("sensor_type IS NOT NULL")
+
+
+def severity_counts(matched: DataFrame, severity: str = "severity") -> DataFrame:
+    """(severity, n) of the matched incidents."""
+    return counts(matched, F.col(severity).alias("severity"))
+
+
 def flag_outliers(df: DataFrame, factor: float = 1.5, group: str = "sensor_type", value: str = "sensor_value", approx: bool = False) -> DataFrame:
     """is_outlier by the quartiles of the row's group; null values are none."""
     q1, q3 = quartiles(value, approx)

@@ -108,6 +108,13 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return residual_duplicates(df, keys, order).filter("NOT is_duplicate").drop("is_duplicate")
 
 
+def rejected_duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, rejected, kept, position): the log of what ``keep_first`` drops, by the values of ``order``; null keys are equal."""
+    line = Window.partitionBy(*keys).orderBy(order)
+    rows = df.select(*keys, F.col(order).alias("rejected"), F.first(order).over(line).alias("kept"), F.row_number().over(line).alias("position"))
+    return rows.filter("position > 1")
+
+
 def batch_log(df: DataFrame, batch: str, source: str, loaded: Column) -> DataFrame:
     """One row: rows read, loaded and rejected in one pass, and the status."""
     ok = F.coalesce(loaded, F.lit(False))

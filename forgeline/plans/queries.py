@@ -11,7 +11,7 @@ from forgeline.functions import scalars as S
 from forgeline.operators import modelling, profile, quality, reshape, timeline, windows
 from forgeline.plans import base_sql as B
 from forgeline.plans import medallion as M
-from forgeline.schemas import FLAGS, HORIZONS, MEASURES, TELEMETRY
+from forgeline.schemas import FLAGS, HORIZONS, MACHINE, MAINTENANCE, MEASURES, TELEMETRY
 from forgeline.sources import adapters, files
 from forgeline.sources.scratch import materialized, shared_dir
 
@@ -131,6 +131,27 @@ def s_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.machines(spark, sf_dir)
 
 
+def _through_csv(spark: SparkSession, df: DataFrame, topic: str) -> DataFrame:
+    """``df`` written as CSV with a header and loaded with its schema."""
+    return files.read_csv(spark, files.write_versioned_csv(df, shared_dir(spark, "reference"), topic, "202401010000"), MACHINE if topic == "machine" else MAINTENANCE)
+
+
+@query("""SELECT 'MACH-' || c_custkey AS machine_code, DATE '2019-01-01' + (c_custkey % 2000)::INT AS commissioning_date, (500 + c_custkey)::INT AS max_daily_capacity, ((500 + c_custkey) // 16)::INT AS max_hourly_capacity_pieces,
+c_mktsegment AS model, 'Ligne-' || ['A', 'B', 'C'][c_custkey % 3 + 1] AS production_line, 'Atelier-' || c_nationkey AS location, ['LOW', 'MEDIUM', 'HIGH'][c_custkey % 3 + 1] AS criticality, c_acctbal >= 0 AS is_active,
+TIMESTAMP '2024-01-01' AS created_at, CASE WHEN c_custkey % 5 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (c_custkey % 24) END AS updated_at FROM customer""")
+def s_machine_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The machine dimension with all its columns, loaded from CSV."""
+    return _through_csv(spark, adapters.machine_dimension(spark, sf_dir), "machine")
+
+
+@query(f"""WITH {B.EVENTS} SELECT event_id::INT AS maintenance_id, 'MACH-' || user_id AS machine_code, ts AS maintenance_at, CASE WHEN k % 4 = 0 THEN 'reactive' ELSE 'proactive' END AS maintenance_type,
+CASE WHEN k % 4 = 0 THEN 'reparation' ELSE 'changement_programme' END AS action_type, 'capteur ' || (k % 5) AS component, CASE WHEN k % 3 <> 0 THEN 'Remplacement, ' || k END AS description,
+CASE WHEN k % 4 = 0 THEN 'INC-' || (event_id - 1) END AS related_incident_id, (k * 125::BIGINT / 1000)::DECIMAL(6, 2) AS duration_hours, ts AS created_at, NULL::TIMESTAMP AS updated_at FROM ev WHERE event_type = 'signup' AND k % 2 = 0""")
+def s_maintenance_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maintenance log with all its columns, loaded from CSV."""
+    return _through_csv(spark, adapters.maintenance_log(spark, sf_dir), "maintenance")
+
+
 @query(f"{SL}, {B.CUTS} SELECT CASE WHEN observed_at < cut_1 THEN 'train' WHEN observed_at < cut_2 THEN 'validation' ELSE 'test' END AS split_set, count(*) AS n, count(DISTINCT machine_id) AS machines FROM wd, ct GROUP BY 1")
 def s_gold_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table written by split and read again."""
@@ -448,6 +469,38 @@ def a_matched_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.matched_profile(hot_rows(spark, sf_dir), matched(spark, sf_dir)))
 
 
+@query(f"{NEAR} SELECT severity::SMALLINT AS severity, count(*) AS n FROM nn GROUP BY 1")
+def a_matched_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The severities of the incidents near outliers."""
+    return profile.severity_counts(matched(spark, sf_dir))
+
+
+_LOW_HIGH = ", ".join(f"quantile_cont({c}, 0.25) - 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}, quantile_cont({c}, 0.75) + 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}" for c in FLOATS)
+ANY_NEAR = f"""{BOTH}, lh AS (SELECT {_LOW_HIGH} FROM rd), ft AS (SELECT machine_id, observed_at, {", ".join(f"coalesce(bool_or({c} < lo_{c} OR {c} > hi_{c}), false) AS outlier_{c}" for c in FLOATS)} FROM rd, lh GROUP BY 1, 2),
+fo AS (SELECT * FROM ft WHERE {" OR ".join(f"outlier_{c}" for c in FLOATS)}), fr AS (SELECT fo.*, ic.* EXCLUDE (machine_id), row_number() OVER (PARTITION BY fo.machine_id, fo.observed_at ORDER BY occurred_at, incident_id) AS rn FROM fo JOIN ic
+  ON fo.machine_id = ic.machine_id AND abs(epoch_us(fo.observed_at) - epoch_us(occurred_at)) <= 86400000000), fn AS (SELECT * FROM fr WHERE rn = 1)"""
+
+
+def sensor_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants with an outlier of any sensor (three interquartile ranges), their flags, and the earliest incident within a day."""
+    flagged = materialized(profile.sensor_outliers(readings(spark, sf_dir), list(FLOATS)), "outliers")
+    bronze = materialized(M.bronze_incidents(adapters.raw_incidents(spark, sf_dir)), "bronze-incidents")
+    found = M.silver_incidents(bronze).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
+    return timeline.nearby_incidents(flagged, found).join(flagged, ["machine_id", "observed_at"])
+
+
+@query(f"{ANY_NEAR} SELECT machine_id, observed_at, incident_id, occurred_at, severity::SMALLINT AS severity, {', '.join(f'outlier_{c}' for c in FLOATS)} FROM fn")
+def j_nearby_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outliers of all sensors with the earliest incident within a day, before or after."""
+    return sensor_matched(spark, sf_dir).select("machine_id", "observed_at", "incident_id", "occurred_at", "severity", *[f"outlier_{c}" for c in FLOATS])
+
+
+@query(f"{ANY_NEAR} " + " UNION ALL ".join(f"SELECT '{c}' AS sensor_type, '{f}' AS flag, round_even(avg({f}::DOUBLE) * 100, 1) AS share FROM fn WHERE outlier_{c} HAVING count(*) > 0" for c in FLOATS for f in FLAGS))
+def a_sensor_outlier_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each sensor's matched outliers, the share of each incident type; sensors without any are left out."""
+    return profile.outlier_types(profile.by_sensor(sensor_matched(spark, sf_dir), list(FLOATS), list(FLAGS)))
+
+
 @query(f"{SL}, {B.CUTS} SELECT machine_id, round(avg(temperature_c), 6) AS _temp_mean, round(stddev_samp(temperature_c), 6) AS _temp_std, round(avg(pressure_bar), 6) AS _pressure_mean, round(stddev_samp(pressure_bar), 6) AS _pressure_std FROM wd, ct WHERE observed_at < cut_1 GROUP BY 1")
 def a_train_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation by machine over train rows."""
@@ -597,6 +650,12 @@ def u_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_first(readings(spark, sf_dir), ["machine_id"], "line_id").select("machine_id", "line_id")
 
 
+@query(f"{RD}, r AS (SELECT machine_id, line_id AS rejected, min(line_id) OVER (PARTITION BY machine_id) AS kept, row_number() OVER (PARTITION BY machine_id ORDER BY line_id)::INT AS position FROM rd) SELECT * FROM r WHERE position > 1")
+def u_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that keep-first drops, with the line that was kept."""
+    return quality.rejected_duplicates(readings(spark, sf_dir), ["machine_id"], "line_id")
+
+
 @query(f"{BOTH} SELECT 'both' AS part, count(*) AS n FROM (SELECT machine_id FROM rd INTERSECT SELECT machine_id FROM ic) UNION ALL SELECT 'only_readings', count(*) FROM (SELECT machine_id FROM rd EXCEPT SELECT machine_id FROM ic) UNION ALL SELECT 'all', count(*) FROM (SELECT machine_id FROM rd UNION ALL SELECT machine_id FROM ic)")
 def u_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersection, difference and concatenation of machine lists."""

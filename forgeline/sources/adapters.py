@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline.functions.scalars import shift_of
-from forgeline.schemas import FLAGS, MEASURES
+from forgeline.schemas import FLAGS, MACHINE, MAINTENANCE, MEASURES
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +81,43 @@ def maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("event_type = 'signup' AND k % 2 = 0")
         .select(F.col("event_id").cast("int").alias("maintenance_id"), F.concat(F.lit("MACH-"), F.col("user_id")).alias("machine_code"), F.col("ts").alias("maintenance_at"), F.lit("proactive").alias("maintenance_type"))
     )
+
+
+def machine_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of ``MACHINE``."""
+    key = F.col("c_custkey")
+    daily = (F.lit(500) + key).cast("int")
+    columns = {
+        "machine_code": F.concat(F.lit("MACH-"), key),
+        "commissioning_date": F.date_add(F.lit("2019-01-01").cast("date"), (key % 2000).cast("int")),
+        "max_daily_capacity": daily,
+        "max_hourly_capacity_pieces": F.floor(daily / 16).cast("int"),
+        "model": F.col("c_mktsegment"),
+        "production_line": F.concat(F.lit("Ligne-"), F.element_at(F.array(*map(F.lit, "ABC")), (key % 3 + 1).cast("int"))),
+        "location": F.concat(F.lit("Atelier-"), F.col("c_nationkey")),
+        "criticality": F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), (key % 3 + 1).cast("int")),
+        "is_active": F.col("c_acctbal") >= 0,
+        "created_at": F.lit("2024-01-01").cast("timestamp"),
+        "updated_at": F.when(key % 5 != 0, F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(key % 24).cast("int"))),
+    }
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in MACHINE])
+
+
+def maintenance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of ``MAINTENANCE``: proactive ones, and reactive ones that follow an incident."""
+    k, reactive = F.col("k"), F.col("k") % 4 == 0
+    columns = {
+        "maintenance_id": F.col("event_id"),
+        "machine_code": F.concat(F.lit("MACH-"), F.col("user_id")),
+        "maintenance_at": F.col("ts"),
+        "maintenance_type": F.when(reactive, "reactive").otherwise("proactive"),
+        "action_type": F.when(reactive, "reparation").otherwise("changement_programme"),
+        "component": F.concat(F.lit("capteur "), k % 5),
+        "description": F.when(k % 3 != 0, F.concat(F.lit("Remplacement, "), k)),
+        "related_incident_id": F.when(reactive, F.concat(F.lit("INC-"), F.col("event_id") - 1)),
+        "duration_hours": F.col("k").cast("decimal(6,2)") / 8,
+        "created_at": F.col("ts"),
+        "updated_at": F.lit(None),
+    }
+    rows = _events(spark, sf_dir).filter("event_type = 'signup' AND k % 2 = 0")
+    return rows.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in MAINTENANCE])

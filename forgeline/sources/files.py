@@ -33,9 +33,9 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
 
 
 def write_versioned_csv(df: DataFrame, base: str, topic: str, run: str) -> str:
-    """Write to base/topic/run and return that folder."""
+    """Write to base/topic/run and return that folder; times keep their microseconds."""
     path = f"{base}/{topic}/{run}"
-    df.write.option("header", True).csv(path)
+    df.write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
     return path
 
 

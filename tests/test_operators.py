@@ -223,3 +223,21 @@ def test_empty_tables(spark):
 def test_correlated_columns(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"), F.rand(1).alias("c"))
     assert modelling.correlated(df, ["a", "b", "c"]) == ["b"]
+
+
+def test_rejected_duplicates(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2), (None, 5), (None, 4), ("a", 7)], "k string, line long")
+    rows = {tuple(r) for r in quality.rejected_duplicates(df, ["k"], "line").collect()}
+    assert rows == {("a", 3, 1, 2), ("a", 7, 1, 3), (None, 5, 4, 2)}
+    assert quality.keep_first(df, ["k"], "line").count() + len(rows) == df.count()
+
+
+def test_sensor_outliers(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("m", at + dt.timedelta(hours=i), float(i % 4), None if i == 3 else 1.0) for i in range(40)]
+    rows += [("m", at, 99.0, 1.0), ("n", at, None, 5.0), ("n", at + dt.timedelta(hours=1), None, None)]
+    df = spark.createDataFrame(rows, "machine_id string, observed_at timestamp, x double, y double")
+    got = profile.sensor_outliers(df, ["x", "y"])
+    assert {tuple(r) for r in got.collect()} == {("m", at, True, False), ("n", at, False, True)}
+    assert {tuple(r) for r in profile.by_sensor(got, ["x", "y"], ["machine_id"]).collect()} == {("m", "x"), ("n", "y")}
+    assert profile.sensor_outliers(df.limit(0), ["x", "y"]).count() == 0
