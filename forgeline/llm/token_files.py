@@ -144,7 +144,8 @@ class LibrarySplitter(PieceSplitter):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+        # the batch call keeps no offsets of tokens, which nobody asks for here
+        self.encode = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
         super().__init__(self._alone, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}, WORDS)
         space = tokenizer.id_to_token(int(self.encode(" ")[0]))
         vocabulary = tokenizer.get_vocab()
