@@ -188,9 +188,9 @@ def vocabulary(path: str) -> BytePairs:
 
 
 @functools.lru_cache(maxsize=2)
-def splitter(path: str) -> PieceSplitter:
+def splitter(path: str, words: int = WORDS) -> PieceSplitter:
     pairs = vocabulary(path)
-    return PieceSplitter(pairs.token_ids, pairs.specials)
+    return PieceSplitter(pairs.token_ids, pairs.specials, words)
 
 
 def id_lists(packed: list[bytes]) -> pa.Array:
@@ -239,12 +239,12 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
     return df.withColumn(text_col, text_of(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), tokenizer))
 
 
-def both_of(text: Column, tokenizer: str) -> Column:
+def both_of(text: Column, tokenizer: str, words: int = WORDS) -> Column:
     """struct<ids: array<int>, decoded: string>: the ids of a text and their text, in one pass through a worker."""
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def round_trip(texts: pa.Array) -> pa.Array:
-        ids, pairs = splitter(tokenizer), vocabulary(tokenizer)
+        ids, pairs = splitter(tokenizer, words), vocabulary(tokenizer)
         packed, parts = [], [pa.array([], pa.string())]
         for k in range(0, len(texts), ROWS):
             own = ids.many(texts.slice(k, ROWS).to_pylist())
@@ -255,9 +255,9 @@ def both_of(text: Column, tokenizer: str) -> Column:
     return round_trip(text)
 
 
-def digests(df: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, encoded and decoded."""
-    both = df.select("doc_id", both_of(F.col("text"), tokenizer).alias("_both")).select("doc_id", "_both.ids", "_both.decoded")
+def digests(df: DataFrame, tokenizer: str, words: int = WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, encoded and decoded; a worker remembers ``words`` words."""
+    both = df.select("doc_id", both_of(F.col("text"), tokenizer, words).alias("_both")).select("doc_id", "_both.ids", "_both.decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -10,6 +10,8 @@ from forgeline.llm import bpe, knn, licences, line_dedup, media, mixing, quality
 from forgeline.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Words that a worker of op1_bpe remembers: nothing else is in its memory, unlike in the pipeline.
+OP1_WORDS = 800_000
 
 
 def tokenizer_path() -> str:
@@ -17,7 +19,7 @@ def tokenizer_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(documents(spark, sf_dir), tokenizer_path())
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path(), OP1_WORDS)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
