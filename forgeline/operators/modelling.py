@@ -10,6 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forgeline.operators.quantiles import quantiles
 from forgeline.operators.windows import interpolate
 
 #: Unit costs of a missed failure and a false alarm.
@@ -27,7 +28,7 @@ def imputation_errors(df: DataFrame, columns: list[str], split: str = "split_set
     for c in columns:
         rows = df.withColumn("_hidden", masked(c, key)).withColumn("_truth", F.col(c).cast("double")).withColumn(c, F.when(~F.col("_hidden"), F.col(c).cast("double")))
         train = rows.filter(F.col(split) == "train")
-        medians = train.agg(F.median(c).alias("_median"))
+        medians = quantiles(train.select(F.col(c).alias("value")), [], (0.5,), few=True).select(F.get("q", F.lit(0)).alias("_median"))
         filled = interpolate(rows.withColumn("_linear", F.col(c)), ["_linear"]).join(F.broadcast(medians), F.lit(True))
         others = [o for o in columns if o != c]
         inputs = [f"_in_{o}" for o in others]
@@ -126,7 +127,8 @@ def drift(df: DataFrame, column: str, period: str, reference: str, bins: int = 1
     Empty bins count as a share of 0.0001.
     """
     known = df.filter(F.col(column).isNotNull()).select(F.col(period).alias("period"), F.col(column).cast("double").alias("x"))
-    edges = known.filter(F.col("period") == reference).agg(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_edges"))
+    first = known.filter(F.col("period") == reference).select(F.col("x").alias("value"))
+    edges = quantiles(first, [], tuple(k / bins for k in range(1, bins)), few=True).select(F.col("q").alias("_edges"))
     placed = known.join(F.broadcast(edges), F.lit(True)).select("period", F.size(F.filter("_edges", lambda e: e <= F.col("x"))).alias("bin"))
     counted = placed.groupBy("period").pivot("bin", list(range(bins))).count().na.fill(0)
     total = sum((F.col(str(b)) for b in range(1, bins)), F.col("0"))

@@ -8,33 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgeline.functions.scalars import week_label
+from forgeline.operators.quantiles import quantiles
 from forgeline.operators.windows import interpolate
 from forgeline.schemas import FLAGS, SHIFTS
 
 
-def quartiles(c: str, approx: bool = False) -> tuple[Column, Column]:
-    """Q1 and Q3, exact with linear interpolation, or approximate where a group has very many different values."""
-    if approx:
-        return F.percentile_approx(c, 0.25, 10_000).cast("double"), F.percentile_approx(c, 0.75, 10_000).cast("double")
-    return F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.75))
-
-
 def long_form(df: DataFrame, columns: list[str], ids: list[str] | None = None) -> DataFrame:
     """(ids, column_name, value: double)."""
     ids = ids or []
     return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(ids, columns, "column_name", "value")
 
 
+def quartiles(values: DataFrame, keys: list[str], value: str = "value", approx: bool = False, few: bool = True) -> DataFrame:
+    """(keys, q1, median, q3), exact with linear interpolation or, in one pass, approximate; see ``quantiles`` for ``few``."""
+    shares = (0.25, 0.5, 0.75)
+    if approx:
+        found = values.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), list(shares), 10_000).alias("q"))
+    else:
+        found = quantiles(values, keys, shares, few, value)
+    return found.select(*keys, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+
+
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n, mean, std, min, q1, median, q3, max of each column, all in one pass."""
-    return (
-        long_form(df, columns)
-        .groupBy("column_name")
-        .agg(
-            F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-            F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.75)).alias("q3"), F.max("value").alias("max"),
-        )
-    )
+    """n, mean, std, min, q1, median, q3, max of each column."""
+    rows = long_form(df, columns)
+    sums = rows.groupBy("column_name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return sums.join(F.broadcast(quartiles(rows, ["column_name"])), "column_name", "left").select("column_name", "n", "mean", "std", "min", "q1", "median", "q3", "max")  # a row a column
 
 
 def counts(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -85,10 +84,8 @@ def monthly_stop_rate(df: DataFrame, stopped: str, at: str = "observed_at", by:
 
 def bounds(df: DataFrame, columns: list[str], factor: float = 3.0, approx: bool = False) -> DataFrame:
     """(column_name, q1, q3, low, high): one row a column."""
-    q1, q3 = quartiles("value", approx)
-    rows = long_form(df, columns).groupBy("column_name").agg(q1.alias("q1"), q3.alias("q3"))
     reach = factor * (F.col("q3") - F.col("q1"))
-    return rows.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
+    return quartiles(long_form(df, columns), ["column_name"], approx=approx).drop("median").withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
 
 
 def outlier_report(df: DataFrame, columns: list[str], factor: float = 3.0, approx: bool = False) -> DataFrame:
@@ -118,12 +115,11 @@ def severity_counts(matched: DataFrame, severity: str = "severity") -> DataFrame
 
 
 def flag_outliers(df: DataFrame, factor: float = 1.5, group: str = "sensor_type", value: str = "sensor_value", approx: bool = False) -> DataFrame:
-    """is_outlier by the quartiles of the row's group; null values are none."""
-    q1, q3 = quartiles(value, approx)
-    limits = df.groupBy(group).agg(q1.alias("_q1"), q3.alias("_q3"))
-    reach = factor * (F.col("_q3") - F.col("_q1"))
-    outside = (F.col(value) < F.col("_q1") - reach) | (F.col(value) > F.col("_q3") + reach)
-    return df.join(F.broadcast(limits), group, "left").withColumn("is_outlier", F.coalesce(outside, F.lit(False))).drop("_q1", "_q3")
+    """is_outlier by the quartiles of the row's group; null values are none. Groups are few, such as sensors."""
+    reach = factor * (F.col("q3") - F.col("q1"))
+    limits = quartiles(df.select(group, value), [group], value, approx).select(group, (F.col("q1") - reach).alias("_low"), (F.col("q3") + reach).alias("_high"))
+    outside = (F.col(value) < F.col("_low")) | (F.col(value) > F.col("_high"))
+    return df.join(F.broadcast(limits), group, "left").withColumn("is_outlier", F.coalesce(outside, F.lit(False))).drop("_low", "_high")
 
 
 def clean(df: DataFrame, columns: list[str], factor: float = 3.0, binary: bool = False, digits: int | None = 2) -> DataFrame:
@@ -193,14 +189,14 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
 
 
 def box_plots(df: DataFrame, columns: list[str], by: str = "machine_id", factor: float = 1.5) -> DataFrame:
-    """(by, column_name, q1, median, q3, whiskers, outliers): whiskers are the outermost values within the bounds."""
-    rows = long_form(df, columns, [by]).filter("value IS NOT NULL")
-    cuts = rows.groupBy(by, "column_name").agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.median("value").alias("median"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    """(by, column_name, q1, median, q3, whiskers, outliers): whiskers are the outermost values within the bounds; null groups are left out."""
+    keys = [by, "column_name"]
+    rows = long_form(df, columns, [by]).filter(f"value IS NOT NULL AND {by} IS NOT NULL")
     reach = factor * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     return (
-        rows.join(cuts, [by, "column_name"])
-        .groupBy(by, "column_name", "q1", "median", "q3")
+        rows.join(quartiles(rows, keys, few=False), keys)
+        .groupBy(*keys, "q1", "median", "q3")
         .agg(F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("outliers"))
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forgeline.operators.quantiles import quantiles
 from forgeline.schemas import SENSORS
 
 
@@ -53,8 +54,9 @@ def with_split(df: DataFrame, at: str, cuts: DataFrame) -> DataFrame:
 
 
 def row_quantile_cuts(df: DataFrame, at: str, shares: tuple[float, ...] = (0.70, 0.85)) -> DataFrame:
-    """Cuts at the quantiles of the rows' instants, duplicates counted."""
-    return df.agg(*[F.timestamp_micros(F.floor(F.percentile(F.unix_micros(at), F.lit(float(s)))).cast("long")).alias(f"cut_{i + 1}") for i, s in enumerate(shares)])
+    """One row (cut_1, cut_2, ...): quantiles of the rows' instants, duplicates counted; null without instants."""
+    found = quantiles(df.select(F.unix_micros(at).alias("value")), [], shares, few=True)
+    return found.agg(*[F.timestamp_micros(F.floor(F.max(F.get("q", F.lit(i)))).cast("long")).alias(f"cut_{i + 1}") for i in range(len(shares))])
 
 
 def expanding_folds(df: DataFrame, at: str, folds: int = 4) -> DataFrame:

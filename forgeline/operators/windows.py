@@ -1,15 +1,21 @@
-"""Rolling, lag, interpolation and island operators over each machine's time line.
+"""Rolling, lag, interpolation and island operators over each machine's time line; none needs a machine in one task.
 
-All of them share one exchange by machine and one sort. Machines can be few and long; ``rolling_chunked`` spreads a machine
-over chunks of time with a halo of earlier rows, and gives the same result.
+Frames of time (``rolling_chunked``) are cut by time: rows shortly before a chunk's end are copied to the next one. Frames of rows are cut by
+row number: ``ranked`` numbers a machine's rows in two levels (inside chunks of time, then the chunks' counts run on), and ``row_chunks`` gives each
+chunk the rows just before it. What has no bound, such as the last known value or a run of nulls, is carried from chunk to chunk as a
+summary, one row a chunk. All of this equals one sorted pass over each machine, in any number of tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
+#: Hours and rows of a chunk.
+CHUNK_HOURS, CHUNK_ROWS = 168, 4096
 #: Measures as (column, name in features, has a maximum).
 FEATURES = (("temperature_c", "temp", True), ("pressure_bar", "pressure", True), ("voltage_mean_v", "voltage", False), ("rotation_mean_rpm", "rotation", False))
 
@@ -32,40 +38,101 @@ def spread(c: Column, w: WindowSpec) -> Column:
     return F.when(F.count(c).over(w) >= 2, F.stddev_samp(c).over(w))
 
 
-def rolling(df: DataFrame, windows: tuple[int, ...] = (6, 12, 24), by: tuple[str, ...] = ("machine_id",), closed: str = "left") -> DataFrame:
-    """Rolling mean, deviation and maximum of the measures, and the pieces of 24 hours.
-
-    ``closed`` 'left' excludes the current row by time; 'right' takes the last n rows with it, and maxima of all measures.
-    """
+def rolling_columns(windows: tuple[int, ...], frame: Callable[[int], WindowSpec], peaks: bool = False, value: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """Rolling mean, deviation and maximum of the measures (``peaks``: of all of them), and the pieces of 24 hours or rows."""
     new = {}
     for h in windows:
-        w = before(h, by) if closed == "left" else line(by).rowsBetween(1 - h, 0)
         for c, name, peak in FEATURES:
-            new |= {f"{name}_mean_{h}h": F.avg(c).over(w), f"{name}_std_{h}h": spread(F.col(c), w)}
-            if peak or closed == "right":
-                new[f"{name}_max_{h}h"] = F.max(c).over(w)
-    new["pieces_produced_sum_24h"] = F.sum("pieces_produced").over(before(24, by) if closed == "left" else line(by).rowsBetween(-23, 0))
-    return df.withColumns(new)
+            new |= {f"{name}_mean_{h}h": F.avg(value(c)).over(frame(h)), f"{name}_std_{h}h": spread(value(c), frame(h))}
+            if peak or peaks:
+                new[f"{name}_max_{h}h"] = F.max(value(c)).over(frame(h))
+    return new | {"pieces_produced_sum_24h": F.sum(value("pieces_produced")).over(frame(24))}
+
+
+def rolling(df: DataFrame, windows: tuple[int, ...] = (6, 12, 24), by: tuple[str, ...] = ("machine_id",)) -> DataFrame:
+    """Rolling features over the hours before a row, the current row excluded by time; a machine in one task."""
+    return df.withColumns(rolling_columns(windows, lambda h: before(h, by)))
 
 
-def rolling_chunked(df: DataFrame, windows: tuple[int, ...] = (6, 12, 24), chunk_hours: int = 168) -> DataFrame:
-    """``rolling`` with each machine cut into chunks, so that few machines still give many tasks.
+def chunk_of(us: Column, hours: int) -> Column:
+    """The number of the chunk of ``hours`` that an instant in microseconds lies in."""
+    return F.floor((us - F.pmod(us, F.lit(hours * HOUR))) / (hours * HOUR))
+
+
+def copied(us: Column, hours: int, chunk_hours: int) -> Column:
+    """The chunks of a row that is needed for ``hours`` after it: its own, and the next one if that begins by then."""
+    if chunk_hours < hours:
+        raise ValueError("a chunk must hold the longest window")
+    own = chunk_of(us, chunk_hours)
+    return F.when(us >= (own + 1) * chunk_hours * HOUR - hours * HOUR, F.array(own, own + 1)).otherwise(F.array(own))
+
+
+def rolling_chunked(df: DataFrame, windows: tuple[int, ...] = (6, 12, 24), chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """``rolling`` with each machine cut into chunks of time, so that few machines still give many tasks.
 
     A row within the longest window before a chunk's end is copied to the next chunk and dropped after the windows.
     """
-    if chunk_hours < max(windows):
-        raise ValueError("a chunk must hold the longest window")
-    own = F.floor(micros() / (chunk_hours * HOUR))
-    late = micros() >= (own + 1) * chunk_hours * HOUR - max(windows) * HOUR
-    places = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = df.withColumn("_own", own).withColumn("_chunk", F.explode(places))
-    return rolling(rows, windows, ("machine_id", "_chunk")).filter("_own = _chunk").drop("_own", "_chunk")
+    places = F.explode(copied(micros(), max(24, *windows), chunk_hours))
+    rows = df.withColumn("_own", chunk_of(micros(), chunk_hours)).withColumn("_chunk", places)
+    return rolling(rows, windows, ("machine_id", "_chunk")).filter("_own <=> _chunk").drop("_own", "_chunk")
+
+
+def with_state(df: DataFrame, keys: list[str], state: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with the columns ``names`` of ``state``, which has a row for each value of ``keys`` at most; null keys are equal.
+
+    State rows travel with the rows of their key and a window spreads them, so windows over ``keys`` need no further exchange.
+    """
+    own = [c for c in df.columns if c not in keys]
+    packed = df.select(*keys, F.struct(*own).alias("_row"))
+    both = packed.unionByName(state.select(*keys, *[F.col(n).alias(f"_s_{n}") for n in names]), allowMissingColumns=True)
+    whole = Window.partitionBy(*keys)
+    spread_out = both.withColumns({f"_v_{n}": F.max(f"_s_{n}").over(whole) for n in names}).filter("_row IS NOT NULL")
+    return spread_out.select(*keys, "_row.*", *[F.col(f"_v_{n}").alias(n) for n in names])
+
+
+def ranked(df: DataFrame, counts: dict[str, Column] | None = None, by: tuple[str, ...] = ("machine_id",), order: tuple[str, ...] = ("observed_at",), chunk_hours: int = CHUNK_HOURS) -> DataFrame:
+    """``df`` with ``_rank``, the row's number in its machine from 1 on, ``_all``, the machine's rows, and running ``counts`` of conditions.
 
+    In two levels: rows are numbered in chunks of time (by ``order[0]``), and the chunks' counts run on by machine.
+    """
+    counts = counts or {}
+    numbers = {n: F.count_if(c) for n, c in counts.items()} | {"_rank": F.count(F.lit(1))}
+    keys = [*by, "_part"]
+    rows = df.withColumn("_part", chunk_of(F.unix_micros(order[0]), chunk_hours))
+    sums = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in numbers.items()])
+    machine = Window.partitionBy(*by)
+    so_far = machine.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, *[F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(f"_0{n}") for n in numbers], F.sum("_rank").over(machine).alias("_all"))
+    rows = with_state(rows, keys, starts, [*[f"_0{n}" for n in numbers], "_all"])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({n: F.col(f"_0{n}") + c.over(inside) for n, c in numbers.items()}).select(*df.columns, *numbers, "_all")
+
+
+def row_chunks(rows: DataFrame, earlier: int, later: int = 0, size: int = CHUNK_ROWS) -> DataFrame:
+    """Ranked ``rows`` with ``_own`` and ``_chunk``: chunks of ``size`` rows, each with copies of the rows just before and after it."""
+    size = max(size, earlier, later)
+    own = F.floor((F.col("_rank") - 1) / size)
+    next_one = F.when(F.col("_rank") > (own + 1) * size - earlier, own + 1)
+    one_before = F.when((own > 0) & (F.col("_rank") <= own * size + later), own - 1)
+    return rows.withColumn("_own", own).withColumn("_chunk", F.explode(F.array_compact(F.array(own, next_one, one_before))))
+
+
+def over_rows(df: DataFrame, earlier: int, columns: Callable[[WindowSpec], dict[str, Column]], size: int = CHUNK_ROWS, order: tuple[str, ...] = ("observed_at",), later: int = 0) -> DataFrame:
+    """``df`` with ``columns`` of a machine's line of rows, none of which looks further back than ``earlier`` rows or on than ``later``."""
+    rows = row_chunks(ranked(df, order=order), earlier, later, size)
+    new = columns(Window.partitionBy("machine_id", "_chunk").orderBy("_rank"))
+    return rows.withColumns(new).filter("_own = _chunk").select(*[c for c in df.columns if c not in new], *new)
 
-def differences(df: DataFrame) -> DataFrame:
+
+def rolling_rows(df: DataFrame, windows: tuple[int, ...] = (6, 12, 24), size: int = CHUNK_ROWS) -> DataFrame:
+    """Rolling features over the last n rows with the current one, and maxima of all measures."""
+    return over_rows(df, max(24, *windows), lambda w: rolling_columns(windows, lambda h: w.rowsBetween(1 - h, 0), peaks=True), size)
+
+
+def differences(df: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     """Differences to 1, 3 and 6 rows before (rows, not hours)."""
-    w = line()
-    return df.withColumns({f"{name}_{label}": F.col(c) - F.lag(c, n).over(w) for c, name, _ in FEATURES for n, label in ((1, "delta_1h"), (3, "delta_3h"), (6, "trend_6h"))})
+    steps = ((1, "delta_1h"), (3, "delta_3h"), (6, "trend_6h"))
+    return over_rows(df, 6, lambda w: {f"{name}_{label}": F.col(c) - F.lag(c, n).over(w) for c, name, _ in FEATURES for n, label in steps}, size)
 
 
 def z_score(c: Column, mean: Column, std: Column) -> Column:
@@ -81,51 +148,85 @@ def hour_aggregates(df: DataFrame) -> DataFrame:
     return df.withColumns(new | {"pieces_produced_sum_1h": F.col("pieces_produced")})
 
 
-def band(df: DataFrame, c: str, rows: int = 168, least: int = 24, width: float = 2.0) -> DataFrame:
-    """Rolling mean and deviation over ``rows`` rows with the current one, from ``least`` values on, and the band around the mean."""
-    w = line().rowsBetween(1 - rows, 0)
-    enough = F.count(c).over(w) >= least
-    out = df.withColumns({"rolling_mean": F.when(enough, F.avg(c).over(w)), "rolling_std": F.when(enough, F.stddev_samp(c).over(w))})
-    return out.withColumns({"lower": F.col("rolling_mean") - width * F.col("rolling_std"), "upper": F.col("rolling_mean") + width * F.col("rolling_std")})
+def band(df: DataFrame, columns: list[str], rows: int = 168, least: int = 24, width: float = 2.0, size: int = CHUNK_ROWS) -> DataFrame:
+    """For each column: rolling mean and deviation over ``rows`` rows with the current one, from ``least`` values on, and the band around the mean."""
+
+    def of(w: WindowSpec) -> dict[str, Column]:
+        w, new = w.rowsBetween(1 - rows, 0), {}
+        for c in columns:
+            enough, mean, std = F.count(c).over(w) >= least, F.avg(c).over(w), F.stddev_samp(c).over(w)
+            new |= {f"{c}_mean": F.when(enough, mean), f"{c}_std": F.when(enough, std)}
+        return new
 
+    out = over_rows(df, rows - 1, of, size)
+    return out.withColumns({f"{c}_{side}": F.col(f"{c}_mean") + sign * width * F.col(f"{c}_std") for c in columns for side, sign in (("lower", -1), ("upper", 1))})
 
-def interpolate(df: DataFrame, columns: list[str], order: str = "observed_at", by: str = "machine_id") -> DataFrame:
-    """Linear interpolation by row position; gaps at either end take the nearest value, all-null stays null."""
-    w = Window.partitionBy(by).orderBy(order)
+
+def interpolate(df: DataFrame, columns: list[str], order: str = "observed_at", by: str = "machine_id", size: int = CHUNK_ROWS) -> DataFrame:
+    """Linear interpolation by row position; gaps at either end take the nearest value, all-null stays null.
+
+    Chunks of rows hand on their last and their first known value with its position, each of which runs over the chunks.
+    """
+    rows = ranked(df, by=(by,), order=(order,)).withColumn("_chunk", F.floor((F.col("_rank") - 1) / size))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_rank").alias("n"), F.col(c).cast("double").alias("v"))) for c in columns}
+    ends = rows.groupBy(by, "_chunk").agg(*[f(k).alias(f"_{side}_{c}") for c, k in known.items() for side, f in (("first", F.min), ("last", F.max))])
+    chunks = Window.partitionBy(by).orderBy("_chunk")
+    earlier, later = chunks.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = {f"_from_{c}": F.last(f"_last_{c}", True).over(earlier) for c in columns} | {f"_to_{c}": F.last(f"_first_{c}", True).over(later) for c in columns}
+    rows = with_state(rows, [by, "_chunk"], ends.select(by, "_chunk", *[x.alias(n) for n, x in carried.items()]), list(carried))
     # both directions look back from a row, over rows in either order: a running value, not a frame for each row
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_n", F.row_number().over(w))
-    for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col("_n"))
-        rows = rows.withColumns({f"_{c}_v0": F.last(c, True).over(back), f"_{c}_n0": F.last(at, True).over(back), f"_{c}_v1": F.last(c, True).over(ahead), f"_{c}_n1": F.last(at, True).over(ahead)})
+    line = Window.partitionBy(by, "_chunk")
+    back, ahead = line.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0), line.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_a_{c}": F.coalesce(F.last(known[c], True).over(back), F.col(f"_from_{c}")) for c in columns})
+    rows = rows.withColumns({f"_b_{c}": F.coalesce(F.last(known[c], True).over(ahead), F.col(f"_to_{c}")) for c in columns})
+    filled = {}
     for c in columns:
-        v0, n0, v1, n1 = (F.col(f"_{c}_{x}") for x in ("v0", "n0", "v1", "n1"))
-        inner = v0 + (v1 - v0) * (F.col("_n") - n0) / F.nullif(n1 - n0, F.lit(0))
-        rows = rows.withColumn(c, F.coalesce(F.col(c).cast("double"), inner, v0.cast("double"), v1.cast("double")))
-    return rows.select(*df.columns)
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        inner = a["v"] + (b["v"] - a["v"]) * (F.col("_rank") - a["n"]) / F.nullif(b["n"] - a["n"], F.lit(0))
+        filled[c] = F.coalesce(F.col(c).cast("double"), inner, a["v"], b["v"])
+    return rows.withColumns(filled).select(*df.columns)
 
 
-def null_runs(df: DataFrame, c: str) -> DataFrame:
-    """(machine_id, runs, longest, median_length) of consecutive nulls; each machine for itself."""
-    w = line()
-    all_rows = F.row_number().over(w)
-    rows = df.withColumn("_all", all_rows).withColumn("_null", F.col(c).isNull())
-    inside = Window.partitionBy("machine_id", "_null").orderBy("_all")
-    islands = rows.withColumn("_island", F.col("_all") - F.row_number().over(inside)).filter("_null").groupBy("machine_id", "_island").agg(F.count("*").alias("length"))
-    return islands.groupBy("machine_id").agg(F.count("*").alias("runs"), F.max("length").alias("longest"), F.median("length").alias("median_length"))
+def null_runs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(machine_id, column_name, runs, longest, median_length) of consecutive nulls; each machine for itself.
+
+    A run's rows share the difference of their number and the number of nulls so far, both of which run over chunks. Runs are counted by
+    that number and then by length, before anything is shuffled, so that the longest run is a row like any other.
+    """
+    rows = ranked(df, {f"_null_{c}": F.col(c).isNull() for c in columns})
+    at = [F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("column_name"), (F.col("_rank") - F.col(f"_null_{c}")).alias("_run"))) for c in columns]
+    runs = rows.select("machine_id", F.explode(F.array_compact(F.array(*at))).alias("_x")).groupBy("machine_id", "_x.column_name", "_x._run").agg(F.count("*").alias("length"))
+    keys = ["machine_id", "column_name"]
+    lengths = runs.groupBy(*keys, "length").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
+    placed = lengths.withColumns({"_end": F.sum("n").over(group.orderBy("length")), "_all": F.sum("n").over(group)})
+    at_rank = lambda r: F.min(F.when(F.col("_end") > r, F.col("length")))
+    middle = (at_rank(F.floor((F.col("_all") - 1) / 2)) + at_rank(F.floor(F.col("_all") / 2))) / 2
+    return placed.groupBy(*keys).agg(F.sum("n").alias("runs"), F.max("length").alias("longest"), middle.alias("median_length"))
 
 
 def group_size(df: DataFrame, keys: list[str], name: str = "group_size") -> DataFrame:
     return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def autocorrelation(df: DataFrame, c: str, lags: int = 48) -> DataFrame:
-    """(machine_id, lag, acf) by row lags with nulls left out; null where the series does not vary."""
-    w = line()
-    rows = df.filter(F.col(c).isNotNull()).select("machine_id", F.col(c).cast("double").alias("x"), F.row_number().over(w).alias("n"))
-    centred = rows.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("machine_id")))
-    ordered = Window.partitionBy("machine_id").orderBy("n")  # one sort gives all lags
-    pairs = centred.select("machine_id", "x", *[(F.col("x") * F.lag("x", k).over(ordered)).alias(str(k)) for k in range(1, lags + 1)])
-    sums = pairs.groupBy("machine_id").agg(F.sum(F.col("x") * F.col("x")).alias("0"), *[F.sum(str(k)).alias(str(k)) for k in range(1, lags + 1)])
-    long = sums.withColumn("_total", F.col("0")).unpivot(["machine_id", "_total"], [str(k) for k in range(lags + 1)], "lag", "_s").filter("_s IS NOT NULL")
-    return long.select("machine_id", F.col("lag").cast("int").alias("lag"), (F.col("_s") / F.nullif("_total", F.lit(0.0))).alias("acf"))
+def autocorrelation(df: DataFrame, columns: list[str], lags: int = 48, size: int = CHUNK_ROWS) -> DataFrame:
+    """(machine_id, column_name, lag, acf) by row lags with nulls left out; null where the series does not vary.
+
+    Chunks of known values, each with the ``lags`` values before it, give sums of products that are added up; the mean is taken out of the
+    sums afterwards, by means of the first and last ``lags`` values of the series.
+    """
+    keys = ["machine_id", "column_name"]
+    known = df.select("machine_id", "observed_at", *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["machine_id", "observed_at"], list(columns), "column_name", "x").filter("x IS NOT NULL")
+    rows = row_chunks(ranked(known, by=tuple(keys)), lags, size=size)
+    ordered = Window.partitionBy(*keys, "_chunk").orderBy("_rank")  # one sort gives all lags
+    pairs = rows.select(*keys, "x", "_rank", "_all", "_own", "_chunk", *[(F.col("x") * F.lag("x", k).over(ordered)).alias(f"_p{k}") for k in range(1, lags + 1)]).filter("_own = _chunk")
+    end = lambda place: F.sort_array(F.collect_list(F.when(place <= lags, F.struct(place.alias("k"), F.col("x").alias("x")))))  # noqa: E731  ``lags`` values at most
+    sums = pairs.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("x").alias("m"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("_p0"), (F.min("x") < F.max("x")).alias("_varies"),
+        end(F.col("_rank")).alias("_head"), end(F.col("_all") - F.col("_rank") + 1).alias("_tail"), *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, lags + 1)],
+    )
+    each = sums.select("*", F.posexplode(F.array(*[F.col(f"_p{k}") for k in range(lags + 1)])).alias("lag", "_p")).filter("lag < n")
+    total = lambda ends: F.aggregate(F.slice(ends, 1, F.col("lag")), F.lit(0.0), lambda a, e: a + e["x"])
+    m, n = F.col("m"), F.col("n")
+    centred = F.col("_p") - m * (2 * F.col("s") - total(F.col("_head")) - total(F.col("_tail"))) + (n - F.col("lag")) * m * m
+    return each.select(*keys, "lag", F.when(F.col("_varies"), centred / (F.col("_p0") - n * m * m)).alias("acf"))

@@ -61,20 +61,19 @@ def train_statistics(wide: DataFrame) -> DataFrame:
     return train.groupBy("machine_id").agg(*[f(c).alias(f"_{n}_{k}") for c, n in (("temperature_c", "temp"), ("pressure_bar", "pressure")) for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
-def gold(silver: DataFrame, incidents: DataFrame, batch: str = "batch") -> DataFrame:
+def gold(silver: DataFrame, incidents: DataFrame, batch: str = "batch", chunk_hours: int = windows.CHUNK_HOURS, chunk_rows: int = windows.CHUNK_ROWS) -> DataFrame:
     """The feature table: 78 columns, one row for each machine and instant.
 
-    The wide readings feed the features, the cuts and the train statistics, so they are written once. Windows, time line and
-    labels are partitioned by machine; the cuts are one row and the train statistics one row a machine.
+    The wide readings feed the features, the cuts and the train statistics, so they are written once. Differences go by chunks of rows, everything
+    else by chunks of time, in one exchange; the cuts are one row and the train statistics one row a machine.
     """
     wide = materialized(wide_readings(silver), "wide")
-    rows = windows.differences(windows.rolling(windows.hour_aggregates(wide)))
-    rows = reshape.with_split(rows, "observed_at", reshape.cut_points(wide, "observed_at"))
-    rows = rows.join(train_statistics(rows), "machine_id", "left")
+    cuts = reshape.cut_points(wide, "observed_at")
+    rows = timeline.features(windows.differences(windows.hour_aggregates(wide), chunk_rows), incidents, chunk_hours=chunk_hours)
+    rows = reshape.with_split(rows, "observed_at", cuts).join(train_statistics(reshape.with_split(wide, "observed_at", cuts)), "machine_id", "left")
     scores = {}
     for c, n in (("temperature_c", "temp"), ("pressure_bar", "pressure")):
         scores[f"{n}_zscore_24h"] = windows.z_score(F.col(c), F.col(f"{n}_mean_24h"), F.col(f"{n}_std_24h"))
         scores[f"{n}_zscore_machine"] = windows.z_score(F.col(c), F.col(f"_{n}_mean"), F.col(f"_{n}_std"))
-    rows = timeline.lookback_and_labels(rows.withColumns(scores), incidents)
     keys = {"ingestion_batch_id": F.lit(batch), "window_start": F.col("observed_at"), "window_end": F.col("observed_at") + F.expr("INTERVAL 1 HOUR")}
-    return rows.withColumns(keys).select(*gold_columns())
+    return rows.withColumns(scores | keys).select(*gold_columns())

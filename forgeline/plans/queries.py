@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forgeline.functions import scalars as S
 from forgeline.operators import modelling, profile, quality, reshape, timeline, windows
+from forgeline.operators.quantiles import quantiles
 from forgeline.plans import base_sql as B
 from forgeline.plans import medallion as M
 from forgeline.schemas import FLAGS, HORIZONS, MACHINE, MAINTENANCE, MEASURES, TELEMETRY
@@ -58,11 +59,14 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.silver_incidents(M.bronze_incidents(adapters.raw_incidents(spark, sf_dir)))
+    """Silver incidents. Both steps are written once: else the rules' text parsing is repeated in each condition and branch that uses it."""
+    bronze = materialized(M.bronze_incidents(adapters.raw_incidents(spark, sf_dir)), "bronze-incidents")
+    return materialized(M.silver_incidents(bronze), "silver-incidents")
 
 
 def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.silver_readings(M.typed_readings(M.bronze_readings(adapters.raw_readings(spark, sf_dir))))
+    """Silver readings; the valid ones are written once, as quartiles and flags both read them."""
+    return M.silver_readings(materialized(M.typed_readings(M.bronze_readings(adapters.raw_readings(spark, sf_dir))), "typed"))
 
 
 RD = f"WITH {B.EVENTS}, {B.READINGS}"
@@ -303,13 +307,12 @@ nr AS (SELECT ot.machine_id, ot.observed_at, ic.* EXCLUDE (machine_id), row_numb
 
 def hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readings(spark, sf_dir)
-    return rows.join(F.broadcast(rows.agg(F.percentile("temperature_c", F.lit(0.9)).alias("_p"))), F.lit(True)).filter("temperature_c > _p").drop("_p")
+    limit = quantiles(rows.select(F.col("temperature_c").alias("value")), [], (0.9,), few=True).select(F.get("q", F.lit(0)).alias("_p"))
+    return rows.join(F.broadcast(limit), F.lit(True)).filter("temperature_c > _p").drop("_p")
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # written once: else the rules' text parsing is repeated in each condition and branch that uses it
-    bronze = materialized(M.bronze_incidents(adapters.raw_incidents(spark, sf_dir)), "bronze-incidents")
-    found = M.silver_incidents(bronze).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
+    found = incidents(spark, sf_dir).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
     return timeline.nearby_incidents(hot_rows(spark, sf_dir), found)
 
 
@@ -450,11 +453,11 @@ def a_nulls_by_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.nulls_by_machine(readings(spark, sf_dir), list(MEASURES))
 
 
-@query(f"{RD} SELECT 'temperature_c' AS column_name, count(*) FILTER (WHERE temperature_c IS NULL) AS nulls, count(*) FILTER (WHERE temperature_c IS NULL AND pieces_produced < 30) AS during_stops, round(during_stops * 100.0::DOUBLE / nulls, 6) AS share FROM rd")
+@query(f"{RD} " + _each(MEASURES, "count(*) FILTER (WHERE $ IS NULL) AS nulls, count(*) FILTER (WHERE $ IS NULL AND pieces_produced < 30) AS during_stops, round(count(*) FILTER (WHERE $ IS NULL AND pieces_produced < 30) * 100.0::DOUBLE / nullif(count(*) FILTER (WHERE $ IS NULL), 0), 6) AS share"))
 def a_nulls_during_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of nulls while a machine makes little."""
     rows = readings(spark, sf_dir).withColumn("slow", F.col("pieces_produced") < 30)
-    return rounded(profile.nulls_during_stops(rows, ["temperature_c"], "slow"))
+    return rounded(profile.nulls_during_stops(rows, list(MEASURES), "slow"))
 
 
 @query(f"{NEAR} " + " UNION ALL ".join(f"SELECT 'temperature' AS sensor_type, '{f}' AS flag, round_even(avg({f}::DOUBLE) * 100, 1) AS share FROM nn" for f in FLAGS))
@@ -484,8 +487,7 @@ fo AS (SELECT * FROM ft WHERE {" OR ".join(f"outlier_{c}" for c in FLOATS)}), fr
 def sensor_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants with an outlier of any sensor (three interquartile ranges), their flags, and the earliest incident within a day."""
     flagged = materialized(profile.sensor_outliers(readings(spark, sf_dir), list(FLOATS)), "outliers")
-    bronze = materialized(M.bronze_incidents(adapters.raw_incidents(spark, sf_dir)), "bronze-incidents")
-    found = M.silver_incidents(bronze).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
+    found = incidents(spark, sf_dir).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
     return timeline.nearby_incidents(flagged, found).join(flagged, ["machine_id", "observed_at"])
 
 
@@ -532,19 +534,20 @@ def a_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.histogram(readings(spark, sf_dir), list(FLOATS))
 
 
-@query(f"""{RD}, v AS ({_each(('temperature_c', 'pressure_bar'), 'machine_id, $ AS value')}), b AS (SELECT machine_id, column_name, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
+@query(f"""{RD}, v AS ({_each(MEASURES, 'machine_id, $ AS value')}), b AS (SELECT machine_id, column_name, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
 w AS (SELECT v.*, q1, median, q3, value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS inside FROM v JOIN b USING (machine_id, column_name) WHERE value IS NOT NULL)
 SELECT machine_id, column_name, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(min(value) FILTER (WHERE inside), 4) AS whisker_low, round(max(value) FILTER (WHERE inside), 4) AS whisker_high, count(*) FILTER (WHERE NOT inside) AS outliers FROM w GROUP BY ALL""")
 def a_box_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quartiles, whiskers and outliers by machine."""
-    return rounded(profile.box_plots(readings(spark, sf_dir), ["temperature_c", "pressure_bar"]), 4)
+    """Quartiles, whiskers and outliers of all measures by machine."""
+    return rounded(profile.box_plots(readings(spark, sf_dir), list(MEASURES)), 4)
 
 
-@query(f"""{RD}, x AS (SELECT machine_id, temperature_c - avg(temperature_c) OVER (PARTITION BY machine_id) AS x, row_number() OVER (PARTITION BY machine_id ORDER BY observed_at) AS n FROM rd WHERE temperature_c IS NOT NULL),
-t AS (SELECT machine_id, sum(x * x) AS t FROM x GROUP BY 1), l AS (SELECT unnest(range(0, 49))::INT AS lag) SELECT a.machine_id, lag, round(sum(a.x * b.x) / nullif(any_value(t), 0), 6) AS acf FROM l, x a JOIN x b ON a.machine_id = b.machine_id JOIN t ON a.machine_id = t.machine_id WHERE b.n = a.n + lag GROUP BY 1, 2""")
+@query(f"""{RD}, v AS ({_each(MEASURES, 'machine_id, observed_at, $ AS value')}), x AS (SELECT machine_id, column_name, value - avg(value) OVER w AS x, row_number() OVER (PARTITION BY machine_id, column_name ORDER BY observed_at) AS n FROM v WHERE value IS NOT NULL WINDOW w AS (PARTITION BY machine_id, column_name)),
+t AS (SELECT machine_id, column_name, sum(x * x) AS t FROM x GROUP BY 1, 2), l AS (SELECT unnest(range(0, 49))::INT AS lag) SELECT a.machine_id, a.column_name, lag, round(sum(a.x * b.x) / nullif(any_value(t), 0), 6) AS acf FROM l, x a JOIN x b ON a.machine_id = b.machine_id AND a.column_name = b.column_name
+JOIN t ON a.machine_id = t.machine_id AND a.column_name = t.column_name WHERE b.n = a.n + lag GROUP BY 1, 2, 3""")
 def a_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Autocorrelation of temperature over 48 row lags, every machine."""
-    return rounded(windows.autocorrelation(readings(spark, sf_dir), "temperature_c"))
+    """Autocorrelation of all measures over 48 row lags, every machine."""
+    return rounded(windows.autocorrelation(readings(spark, sf_dir), list(MEASURES)))
 
 
 # --- windows -----------------------------------------------------------------------------------------------------
@@ -594,38 +597,48 @@ def w_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("machine_id", F.col("window_start").alias("observed_at"), "temp_zscore_24h", "temp_zscore_machine"), 4)
 
 
-@query(f"""{RD}, b AS (SELECT line_id, count(temperature_c) OVER w AS n, avg(temperature_c) OVER w AS m, stddev_samp(temperature_c) OVER w AS s FROM rd WINDOW w AS (PARTITION BY machine_id ORDER BY observed_at ROWS BETWEEN 167 PRECEDING AND CURRENT ROW))
-SELECT line_id, round(CASE WHEN n >= 24 THEN m END, 4) AS rolling_mean, round(CASE WHEN n >= 24 THEN s END, 4) AS rolling_std, round(CASE WHEN n >= 24 THEN m - 2 * s END, 4) AS lower, round(CASE WHEN n >= 24 THEN m + 2 * s END, 4) AS upper FROM b""")
+_BANDS = ", ".join(f"round(CASE WHEN n_{c} >= 24 THEN m_{c}{x} END, 4) AS {c}_{side}" for c in MEASURES for side, x in (("mean", ""), ("lower", f" - 2 * s_{c}"), ("upper", f" + 2 * s_{c}")))
+
+
+@query(f"""{RD}, b AS (SELECT line_id, {", ".join(f"count({c}) OVER w AS n_{c}, avg({c}) OVER w AS m_{c}, stddev_samp({c}) OVER w AS s_{c}" for c in MEASURES)} FROM rd WINDOW w AS (PARTITION BY machine_id ORDER BY observed_at ROWS BETWEEN 167 PRECEDING AND CURRENT ROW))
+SELECT line_id, {_BANDS}, {", ".join(f"round(CASE WHEN n_{c} >= 24 THEN s_{c} END, 4) AS {c}_std" for c in MEASURES)} FROM b""")
 def w_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and band over 168 rows, from 24 values on."""
-    return rounded(windows.band(readings(spark, sf_dir), "temperature_c").select("line_id", "rolling_mean", "rolling_std", "lower", "upper"), 4)
+    """Mean and band of all measures over 168 rows, from 24 values on."""
+    return rounded(windows.band(readings(spark, sf_dir), list(MEASURES)).select("line_id", *[f"{c}_{k}" for c in MEASURES for k in ("mean", "std", "lower", "upper")]), 4)
+
+
+def _filled(table: str) -> str:
+    """nb, nc, fl: the measures of ``table`` with their gaps filled by row position."""
+    known = [(f"last_value({c} IGNORE NULLS) OVER b AS v0_{c}, last_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER b AS n0_{c}, first_value({c} IGNORE NULLS) OVER a AS v1_{c}, first_value(CASE WHEN {c} IS NOT NULL THEN n END IGNORE NULLS) OVER a AS n1_{c}") for c in MEASURES]
+    return f""", nb AS (SELECT *, row_number() OVER w AS n FROM {table} WINDOW w AS (PARTITION BY machine_id ORDER BY observed_at)), nc AS (SELECT *, {", ".join(known)} FROM nb
+WINDOW b AS (PARTITION BY machine_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY machine_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fl AS (SELECT line_id, {", ".join(f"coalesce({c}::DOUBLE, v0_{c} + (v1_{c} - v0_{c}) * (n - n0_{c}) / nullif(n1_{c} - n0_{c}, 0)::DOUBLE, v0_{c}::DOUBLE, v1_{c}::DOUBLE) AS {c}" for c in MEASURES)} FROM nc)"""
 
 
-_FILLED = """, nb AS (SELECT *, row_number() OVER w AS n FROM {0} WINDOW w AS (PARTITION BY machine_id ORDER BY observed_at)),
-nc AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN x IS NOT NULL THEN n END IGNORE NULLS) OVER b AS n0, first_value(x IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN x IS NOT NULL THEN n END IGNORE NULLS) OVER a AS n1 FROM nb
-  WINDOW b AS (PARTITION BY machine_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY machine_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-fl AS (SELECT line_id, coalesce(x, v0 + (v1 - v0) * (n - n0) / nullif(n1 - n0, 0), v0, v1) AS x FROM nc)"""
+_INSIDE = f"""q AS (SELECT {", ".join(f"quantile_cont({c}::DOUBLE, 0.25) AS q1_{c}, quantile_cont({c}::DOUBLE, 0.75) AS q3_{c}" for c in MEASURES)} FROM rd),
+xs AS (SELECT line_id, machine_id, observed_at, {", ".join(f"CASE WHEN {c} BETWEEN q1_{c} - 0.5::DOUBLE * (q3_{c} - q1_{c}) AND q3_{c} + 0.5::DOUBLE * (q3_{c} - q1_{c}) THEN {c}::DOUBLE END AS {c}" for c in MEASURES)} FROM rd, q)"""
 
 
-@query(f"{RD}, xs AS (SELECT line_id, machine_id, observed_at, temperature_c AS x FROM rd){_FILLED.format('xs')} SELECT line_id, round(x, 6) AS temperature_c FROM fl")
+@query(f"{RD}, xs AS (SELECT line_id, machine_id, observed_at, {', '.join(MEASURES)} FROM rd){_filled('xs')} SELECT line_id, {rnd(*MEASURES)} FROM fl")
 def w_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps of temperature filled by row position."""
-    return rounded(windows.interpolate(readings(spark, sf_dir), ["temperature_c"]).select("line_id", "temperature_c"))
+    """Gaps of all measures filled by row position."""
+    return rounded(windows.interpolate(readings(spark, sf_dir), list(MEASURES)).select("line_id", *MEASURES))
 
 
-@query(
-    f"{RD}, q AS (SELECT quantile_cont(temperature_c, 0.25) AS q1, quantile_cont(temperature_c, 0.75) AS q3 FROM rd), xs AS (SELECT line_id, machine_id, observed_at, CASE WHEN temperature_c BETWEEN q1 - 0.5::DOUBLE * (q3 - q1) AND q3 + 0.5::DOUBLE * (q3 - q1) THEN temperature_c END AS x FROM rd, q){_FILLED.format('xs')} SELECT line_id, round(x, 6) AS temperature_c FROM fl"
-)
+@query(f"{RD}, {_INSIDE}{_filled('xs')} SELECT line_id, {rnd(*MEASURES)} FROM fl")
 def w_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outliers taken out and gaps filled."""
-    return rounded(profile.clean(readings(spark, sf_dir), ["temperature_c"], 0.5, digits=None).select("line_id", "temperature_c"))
+    """Outliers of all measures taken out and gaps filled."""
+    return rounded(profile.clean(readings(spark, sf_dir), list(MEASURES), 0.5, digits=None).select("line_id", *MEASURES))
+
 
+_NULLS = " UNION ALL ".join(f"SELECT machine_id, observed_at, '{c}' AS column_name, {c} IS NULL AS z FROM rd" for c in MEASURES)
 
-@query(f"""{RD}, n AS (SELECT machine_id, temperature_c IS NULL AS z, row_number() OVER w AS a, row_number() OVER (PARTITION BY machine_id, temperature_c IS NULL ORDER BY observed_at) AS b FROM rd WINDOW w AS (PARTITION BY machine_id ORDER BY observed_at)),
-i AS (SELECT machine_id, a - b AS g, count(*) AS c FROM n WHERE z GROUP BY 1, 2) SELECT machine_id, count(*) AS runs, max(c) AS longest, median(c) AS median_length FROM i GROUP BY 1""")
+
+@query(f"""{RD}, z AS ({_NULLS}), n AS (SELECT machine_id, column_name, z, row_number() OVER (PARTITION BY machine_id, column_name ORDER BY observed_at) AS a, row_number() OVER (PARTITION BY machine_id, column_name, z ORDER BY observed_at) AS b FROM z),
+i AS (SELECT machine_id, column_name, a - b AS g, count(*) AS c FROM n WHERE z GROUP BY 1, 2, 3) SELECT machine_id, column_name, count(*) AS runs, max(c) AS longest, median(c) AS median_length FROM i GROUP BY 1, 2""")
 def w_null_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of missing temperatures: number, longest, median."""
-    return windows.null_runs(readings(spark, sf_dir), "temperature_c")
+    """Runs of missing values of each measure: number, longest, median."""
+    return windows.null_runs(readings(spark, sf_dir), list(MEASURES))
 
 
 # --- functions, sets ---------------------------------------------------------------------------------------------
@@ -711,7 +724,7 @@ def d_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{RD} SELECT line_id, " + ", ".join(f"round(avg({c}) OVER (PARTITION BY machine_id ORDER BY observed_at ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 4) AS {n}_mean_6h, round(max({c}) OVER (PARTITION BY machine_id ORDER BY observed_at ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 4) AS {n}_max_6h" for c, n, _ in windows.FEATURES) + " FROM rd")
 def d_rolling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling by rows with the current one, maxima of all measures."""
-    out = windows.rolling(readings(spark, sf_dir), (6,), closed="right")
+    out = windows.rolling_rows(readings(spark, sf_dir), (6,))
     return rounded(out.select("line_id", *[f"{n}_{k}_6h" for _, n, _ in windows.FEATURES for k in ("mean", "max")]), 4)
 
 
@@ -752,7 +765,7 @@ def d_row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{RD}, r AS (SELECT line_id, machine_id, sum(pieces_produced) OVER {_range(24)} AS p FROM rd) SELECT line_id, round(p * 100.0::DOUBLE / (500 + c_custkey), 6) AS capacity_utilization_pct FROM r JOIN customer ON machine_id = 'MACH-' || c_custkey")
 def d_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of 24 hours against the daily capacity."""
-    rows = windows.rolling(readings(spark, sf_dir), (24,)).join(adapters.machines(spark, sf_dir).withColumnRenamed("machine_code", "machine_id"), "machine_id")
+    rows = windows.rolling_chunked(readings(spark, sf_dir), (24,)).join(adapters.machines(spark, sf_dir).withColumnRenamed("machine_code", "machine_id"), "machine_id")
     return rounded(rows.select("line_id", (F.col("pieces_produced_sum_24h") * 100.0 / F.col("max_daily_capacity")).alias("capacity_utilization_pct")))
 
 
@@ -852,12 +865,17 @@ def d_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.groupBy("split_set").agg(F.count("*").alias("n"), *[F.avg(F.get("v", F.lit(i))).alias(f"mean_{i + 1}") for i in range(3)])
 
 
+_AFTER = f"r AS (SELECT {', '.join(f'quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}' for c in MEASURES)} FROM fl)"
+_BEYOND = lambda c: f"count(*) FILTER (WHERE {c} < q1_{c} - 0.5::DOUBLE * (q3_{c} - q1_{c}) OR {c} > q3_{c} + 0.5::DOUBLE * (q3_{c} - q1_{c}))"
+
+
 @query(
-    f"""{RD}, q AS (SELECT quantile_cont(temperature_c, 0.25) AS q1, quantile_cont(temperature_c, 0.75) AS q3 FROM rd), xs AS (SELECT line_id, machine_id, observed_at, CASE WHEN temperature_c BETWEEN q1 - 0.5::DOUBLE * (q3 - q1) AND q3 + 0.5::DOUBLE * (q3 - q1) THEN temperature_c END AS x FROM rd, q){_FILLED.format('xs')},
-r AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM fl), b AS (SELECT count(*) AS outliers_before FROM rd, q WHERE temperature_c < q1 - 0.5 * (q3 - q1) OR temperature_c > q3 + 0.5 * (q3 - q1)),
-a AS (SELECT count(*) AS outliers_after FROM fl, r WHERE x < q1 - 0.5 * (q3 - q1) OR x > q3 + 0.5 * (q3 - q1)) SELECT 'temperature_c' AS column_name, outliers_before, outliers_after, round_even((outliers_before - outliers_after) * 100.0::DOUBLE / outliers_before, 1) AS reduction FROM a, b"""
+    f"{RD}, {_INSIDE}{_filled('xs')}, {_AFTER}, d AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, (SELECT {_BEYOND(c)} FROM rd, q) AS outliers_before, (SELECT {_BEYOND(c)} FROM fl, r) AS outliers_after" for c in MEASURES)
+    + ") SELECT *, round_even((outliers_before - outliers_after) * 100.0::DOUBLE / nullif(outliers_before, 0), 1) AS reduction FROM d"
 )
 def a_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outliers before and after cleaning, with bounds computed on each."""
+    """Outliers of all measures before and after cleaning, with bounds computed on each (A14); the cleaned rows are written once."""
     rows = readings(spark, sf_dir)
-    return profile.before_after(rows, profile.clean(rows, ["temperature_c"], 0.5, digits=None), ["temperature_c"], 0.5)
+    cleaned = materialized(profile.clean(rows, list(MEASURES), 0.5, digits=None).select(*MEASURES), "cleaned")
+    return profile.before_after(rows, cleaned, list(MEASURES), 0.5)

@@ -117,7 +117,7 @@ def test_interpolation_equals_pandas(spark):
 
 def test_null_runs_stay_in_their_machine(spark):
     df = readings(spark, [("A", 0, None), ("A", 1, None), ("A", 2, 1.0), ("A", 3, None), ("B", 0, None)])
-    assert {tuple(r) for r in windows.null_runs(df, "temperature_c").collect()} == {("A", 2, 2, 1.5), ("B", 1, 1, 1.0)}
+    assert {tuple(r) for r in windows.null_runs(df, ["temperature_c", "pressure_bar"]).filter("column_name = 'temperature_c'").drop("column_name").collect()} == {("A", 2, 2, 1.5), ("B", 1, 1, 1.0)}
 
 
 def test_differences_count_rows(spark):
@@ -148,7 +148,7 @@ def test_time_line_borders(spark):
 def test_time_line_equals_brute_force(spark):
     rnd = random.Random(5)
     rows, found = [(rnd.choice("AB"), rnd.uniform(0, 400), 1.0) for _ in range(120)], [(rnd.choice("AB"), hours(rnd.uniform(0, 400)), rnd.randint(1, 5)) for _ in range(40)]
-    got = {r["line_id"]: r for r in timeline.lookback_and_labels(readings(spark, rows), events(spark, found)).collect()}
+    got = {r["line_id"]: r for r in timeline.features(readings(spark, rows), events(spark, found)).collect()}
     for i, (m, h, _) in enumerate(rows):
         t = got[i]["observed_at"]
         day = [s for n, at, s in found if n == m and t - dt.timedelta(days=1) <= at < t]
@@ -215,7 +215,7 @@ def test_evaluation(spark):
 
 def test_empty_tables(spark):
     df = readings(spark, [("A", 0, 1.0)]).limit(0)
-    assert windows.rolling(df).count() == windows.autocorrelation(df, "temperature_c").count() == reshape.to_long(df, ["line_id"]).count() == 0
+    assert windows.rolling(df).count() == windows.autocorrelation(df, ["temperature_c"]).count() == reshape.to_long(df, ["line_id"]).count() == 0
     assert timeline.lookback(df, events(spark, [("A", hours(1), 1)]).limit(0)).count() == 0
     assert profile.summary(df, ["temperature_c"]).count() == 0
 
