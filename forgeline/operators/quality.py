@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +139,27 @@ def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def identifying_groups(df: DataFrame, attributes: list[str], k: int) -> DataFrame:
     """Attribute combinations that fewer than k rows share."""
     return df.groupBy(*attributes).agg(F.count("*").alias("n")).filter(F.col("n") < k)
+
+
+def minimal_identifying(df: DataFrame, attributes: list[str], k: int, most: int | None = None) -> DataFrame:
+    """(combination, size, *attributes, n): values of attribute combinations that fewer than ``k`` rows share and no part of which is so rare.
+
+    Level by level: one aggregate counts all combinations of a size (grouping sets), and those that hold a rare one of a size less
+    are taken out. What stands above a rare combination is rarer still, so looking one level down is enough. Attributes outside a combination are
+    null in its row; null is a value like any other inside it.
+    """
+    bit = {a: 1 << (len(attributes) - 1 - i) for i, a in enumerate(attributes)}
+    out = below = None
+    for size in range(1, (most or len(attributes)) + 1):
+        counted = df.groupingSets([list(c) for c in combinations(attributes, size)], *attributes).agg(F.count("*").alias("n"), F.grouping_id().alias("_outside"))
+        rare = counted.filter(F.col("n") < k).withColumn("_key", F.struct("_outside", *attributes))
+        found = rare
+        if below is not None:
+            without = [F.when(F.col("_outside").bitwiseAND(bit[a]) == 0, F.struct((F.col("_outside") + bit[a]).alias("_outside"), *[F.lit(None).cast(df.schema[b].dataType).alias(b) if a == b else F.col(b) for b in attributes])) for a in attributes]
+            parts = rare.select("_key", F.explode(F.array_compact(F.array(*without))).alias("_part"))
+            found = rare.join(parts.join(below, "_part", "left_semi").select("_key").distinct(), "_key", "left_anti")
+        below = rare.select(F.col("_key").alias("_part"))
+        name = F.concat_ws("+", *[F.when(F.col("_outside").bitwiseAND(bit[a]) == 0, a) for a in attributes])
+        level = found.select(name.alias("combination"), F.lit(size).alias("size"), *attributes, "n")
+        out = level if out is None else out.union(level)
+    return out

@@ -12,8 +12,8 @@ from forgeline.operators import modelling, profile, quality, reshape, timeline,
 from forgeline.operators.quantiles import quantiles
 from forgeline.plans import base_sql as B
 from forgeline.plans import medallion as M
-from forgeline.schemas import FLAGS, HORIZONS, MACHINE, MAINTENANCE, MEASURES, TELEMETRY
-from forgeline.sources import adapters, files
+from forgeline.schemas import FLAGS, HORIZONS, MACHINE, MAINTENANCE, MEASURES, TELEMETRY, gold_columns
+from forgeline.sources import adapters, files, versioned
 from forgeline.sources.scratch import materialized, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,10 +96,12 @@ def s_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BZ} SELECT line_id, machine_id, observed_at FROM bz WHERE parse_ok")
 def s_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze refreshed in full as a table, then scanned with filter and projection."""
+    """Bronze refreshed in full as a versioned table, then scanned with filter and projection."""
     path = shared_dir(spark, "bronze")
-    files.full_refresh(M.bronze_readings(adapters.raw_readings(spark, sf_dir)).drop("errors"), path)
-    rows = files.read_table(spark, path, ["line_id", "machine_id", "timestamp"], "parse_ok")
+    bronze = M.bronze_readings(adapters.raw_readings(spark, sf_dir)).drop("errors")
+    versioned.create(bronze.filter("line_id % 2 = 0"), path, ["line_id"])
+    versioned.refresh(bronze, path, ["line_id"])
+    rows = versioned.read(spark, path).filter("parse_ok").select("line_id", "machine_id", "timestamp")
     return rows.select("line_id", S.identifier(F.col("machine_id")).alias("machine_id"), S.lenient_timestamp(F.col("timestamp")).alias("observed_at"))
 
 
@@ -124,9 +126,11 @@ def s_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last reading of each machine, upserted in two batches by time."""
     rows = readings(spark, sf_dir).select("machine_id", "line_id", "observed_at")
-    half = F.lit("2024-01-15").cast("timestamp")
-    old = files.upsert(rows.filter(F.col("observed_at") < half).limit(0), rows.filter(F.col("observed_at") < half), ["machine_id"], "observed_at")
-    return files.upsert(old, rows.filter(F.col("observed_at") >= half), ["machine_id"], "observed_at")
+    half, path = F.lit("2024-01-15").cast("timestamp"), shared_dir(spark, "last-readings")
+    versioned.create(rows.limit(0), path, ["machine_id"])
+    for batch in (F.col("observed_at") < half, F.col("observed_at") >= half):
+        versioned.upsert(rows.filter(batch), path, ["machine_id"], "observed_at")
+    return versioned.read(spark, path)
 
 
 @query("SELECT 'MACH-' || c_custkey AS machine_code, (500 + c_custkey)::INT AS max_daily_capacity, ['LOW', 'MEDIUM', 'HIGH'][c_custkey % 3 + 1] AS criticality, c_nationkey::VARCHAR AS location FROM customer")
@@ -657,16 +661,23 @@ def f_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", *[c.alias(n) for n, c in S.calendar(F.col("o_orderdate")).items()])
 
 
-@query(f"{RD} SELECT machine_id, line_id FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY line_id) AS r FROM rd) WHERE r = 1")
+_BY_HOUR = "PARTITION BY machine_id, date_trunc('hour', observed_at)"
+
+
+def readings_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "observed_at"))
+
+
+@query(f"{RD} SELECT machine_id, date_trunc('hour', observed_at) AS hour, line_id FROM (SELECT *, row_number() OVER ({_BY_HOUR} ORDER BY line_id) AS r FROM rd) WHERE r = 1")
 def u_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each machine."""
-    return quality.keep_first(readings(spark, sf_dir), ["machine_id"], "line_id").select("machine_id", "line_id")
+    """The first line of each machine and hour."""
+    return quality.keep_first(readings_by_hour(spark, sf_dir), ["machine_id", "hour"], "line_id").select("machine_id", "hour", "line_id")
 
 
-@query(f"{RD}, r AS (SELECT machine_id, line_id AS rejected, min(line_id) OVER (PARTITION BY machine_id) AS kept, row_number() OVER (PARTITION BY machine_id ORDER BY line_id)::INT AS position FROM rd) SELECT * FROM r WHERE position > 1")
+@query(f"{RD}, r AS (SELECT machine_id, date_trunc('hour', observed_at) AS hour, line_id AS rejected, min(line_id) OVER ({_BY_HOUR}) AS kept, row_number() OVER ({_BY_HOUR} ORDER BY line_id)::INT AS position FROM rd) SELECT * FROM r WHERE position > 1")
 def u_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that keep-first drops, with the line that was kept."""
-    return quality.rejected_duplicates(readings(spark, sf_dir), ["machine_id"], "line_id")
+    return quality.rejected_duplicates(readings_by_hour(spark, sf_dir), ["machine_id", "hour"], "line_id")
 
 
 @query(f"{BOTH} SELECT 'both' AS part, count(*) AS n FROM (SELECT machine_id FROM rd INTERSECT SELECT machine_id FROM ic) UNION ALL SELECT 'only_readings', count(*) FROM (SELECT machine_id FROM rd EXCEPT SELECT machine_id FROM ic) UNION ALL SELECT 'all', count(*) FROM (SELECT machine_id FROM rd UNION ALL SELECT machine_id FROM ic)")
@@ -699,10 +710,31 @@ def gold_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("machine_id", "window_start", "window_end", "split_set", *rolling_names(), "temp_trend_6h", "incident_count_prev_24h", "label_failure_next_24h"), 4)
 
 
-@query()
+def _gold_sql() -> str:
+    """All 78 columns, doubles to 4 digits."""
+    short = {n: c for c, n, _ in windows.FEATURES}
+    raw = [f"{f}({c}) OVER {_range(h)} AS {n}_{k}_{h}h" for h in (6, 12, 24) for c, n, peak in windows.FEATURES for k, f in (("mean", "avg"), ("std", "stddev_samp"), ("max", "max")) if k != "max" or peak]
+    raw += [f"{c} - lag({c}, {k}) OVER {_LINE} AS {n}_{label}" for c, n, _ in windows.FEATURES for k, label in ((1, "delta_1h"), (3, "delta_3h"), (6, "trend_6h"))]
+    raw.append(f"sum(pieces_produced) OVER {_range(24)} AS pieces_produced_sum_24h")
+    doubles = {name.split(" AS ")[1]: name.split(" AS ")[1] for name in raw}
+    doubles |= {f"{n}_{k}_1h": c for n, c in short.items() for k in (("mean", "max") if n in ("temp", "pressure") else ("mean",))} | {"pieces_produced_sum_1h": "pieces_produced"}
+    doubles |= {f"{n}_zscore_24h": f"({short[n]} - {n}_mean_24h) / nullif({n}_std_24h, 0)" for n in ("temp", "pressure")} | {f"{n}_zscore_machine": f"({short[n]} - m_{n}) / nullif(s_{n}, 0)" for n in ("temp", "pressure")}
+    back = lambda what, span: f"(SELECT {what} FROM ic WHERE ic.machine_id = r.machine_id AND occurred_at >= r.observed_at - INTERVAL {span} AND occurred_at < r.observed_at)"
+    doubles["hours_since_last_incident"] = "(SELECT (epoch_us(r.observed_at) - max(epoch_us(occurred_at))) / 3600000000.0::DOUBLE FROM ic WHERE ic.machine_id = r.machine_id AND occurred_at < r.observed_at)"
+    exact = {"ingestion_batch_id": "'batch'", "machine_id": "r.machine_id", "window_start": "r.observed_at", "window_end": "r.observed_at + INTERVAL 1 HOUR", "split_set": "split_set", "temp_std_1h": "NULL::DOUBLE", "pressure_std_1h": "NULL::DOUBLE"}
+    exact |= {"incident_count_prev_24h": back("count(*)", "24 HOUR"), "incident_count_prev_7d": back("count(*)", "7 DAY"), "incident_max_severity_prev_24h": back("coalesce(max(severity), 0)::INT", "24 HOUR")}
+    exact |= {f"{f}_count_prev_24h": back(f"coalesce(sum({f}), 0)::BIGINT", "24 HOUR") for f in FLAGS}
+    exact |= {f"label_failure_next_{h}h": f"EXISTS (SELECT 1 FROM ic WHERE is_label_event AND ic.machine_id = r.machine_id AND occurred_at > r.observed_at AND occurred_at <= r.observed_at + INTERVAL {h} HOUR)" for h in HORIZONS}
+    columns = ", ".join(f"round(({doubles[n]})::DOUBLE, 4) AS {n}" if n in doubles else f"{exact[n]} AS {n}" for n in gold_columns())
+    return f"""{SI}, {B.CUTS}, sp AS (SELECT wd.*, CASE WHEN observed_at < cut_1 THEN 'train' WHEN observed_at < cut_2 THEN 'validation' ELSE 'test' END AS split_set FROM wd, ct),
+ts AS (SELECT machine_id, avg(temperature_c) AS m_temp, stddev_samp(temperature_c) AS s_temp, avg(pressure_bar) AS m_pressure, stddev_samp(pressure_bar) AS s_pressure FROM sp WHERE split_set = 'train' GROUP BY 1),
+ro AS (SELECT sp.*, {", ".join(raw)} FROM sp) SELECT {columns} FROM ro r LEFT JOIN ts ON ts.machine_id = r.machine_id"""
+
+
+@query(_gold_sql())
 def gold_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole feature table with its 78 columns (W11 and all before)."""
-    return gold_table(spark, sf_dir)
+    return rounded(gold_table(spark, sf_dir), 4)
 
 
 # --- options from the specification ------------------------------------------------------------------------------
@@ -789,6 +821,21 @@ def d_identifying(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.identifying_groups(raw, ["machine_id", "shift", "severity"], 3)
 
 
+_TRAITS = ("machine_id", "shift", "severity", "operator_name")
+_BIT = {a: 1 << (3 - i) for i, a in enumerate(_TRAITS)}
+
+
+@query(
+    f"""{IC}, g AS (SELECT {', '.join(_TRAITS)}, {' + '.join(f'{b} * grouping({a})' for a, b in _BIT.items())} AS gid, count(*) AS n FROM ir GROUP BY GROUPING SETS (CUBE ({', '.join(_TRAITS)})) HAVING count(*) < 3), m AS (SELECT * FROM g WHERE gid <> 15)
+SELECT concat_ws('+', {', '.join(f"CASE WHEN x.gid & {b} = 0 THEN '{a}' END" for a, b in _BIT.items())}) AS combination, (4 - bit_count(x.gid::BIGINT))::INT AS size, {', '.join(f'x.{a}' for a in _TRAITS)}, n FROM m x
+WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.gid <> x.gid AND (y.gid | x.gid) = y.gid AND {' AND '.join(f'(y.gid & {b} > 0 OR y.{a} IS NOT DISTINCT FROM x.{a})' for a, b in _BIT.items())})"""
+)
+def d_identifying_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest attribute combinations that few incidents share, over all subsets of four attributes."""
+    raw = adapters.raw_incidents(spark, sf_dir).withColumn("severity", S.lenient_int(F.col("severity")))
+    return quality.minimal_identifying(materialized(raw.select(*_TRAITS), "traits"), list(_TRAITS), 3)
+
+
 @query(f"{IC} SELECT shift AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM ic)::DOUBLE, 6) AS share FROM ic GROUP BY 1")
 def d_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Representation of shifts."""
@@ -818,6 +865,30 @@ def d_confusion_and_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(modelling.cost(modelling.confusion(marked)))
 
 
+_RANKED = f"""{BOTH}, t AS (SELECT temperature_c AS s, EXISTS (SELECT 1 FROM ic WHERE ic.machine_id = r.machine_id AND occurred_at > observed_at AND occurred_at <= observed_at + INTERVAL 24 HOUR AND is_label_event)::INT AS y FROM rd r WHERE temperature_c IS NOT NULL),
+g AS (SELECT s, sum(y) AS p, count(*) AS n FROM t GROUP BY s), u AS (SELECT s, p, n, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS above, sum(n - p) OVER (ORDER BY s) - (n - p) AS below, (SELECT sum(y) FROM t) AS pos FROM g),
+th AS (SELECT s AS threshold, above::BIGINT AS above, tp / above::DOUBLE AS precision, tp / pos::DOUBLE AS recall FROM u)"""
+
+
+def scored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temperature as a score of a label event within a day, written once."""
+    rows = timeline.labels(readings(spark, sf_dir), incidents(spark, sf_dir).filter("is_label_event"), (24,))
+    return materialized(rows.select(F.col("temperature_c").alias("score"), F.col("label_failure_next_24h").cast("int").alias("label")), "scores")
+
+
+@query(f"{_RANKED} SELECT {rnd('threshold')}, above, {rnd('precision', 'recall')} FROM th")
+def d_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall at every distinct score."""
+    return rounded(modelling.thresholds(scored_readings(spark, sf_dir)))
+
+
+@query(f"{_RANKED} SELECT (SELECT round(sum(p * (below + (n - p) / 2.0::DOUBLE)) / (sum(p)::DOUBLE * sum(n - p)), 6) FROM u) AS auc, (SELECT round(max(recall), 6) FROM th WHERE precision >= 0.1) AS recall, (SELECT round(threshold, 6) FROM th WHERE precision >= 0.1 ORDER BY recall DESC, threshold DESC LIMIT 1) AS threshold")
+def d_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact area under the curve, and the best recall at a precision of 10 %."""
+    rows = scored_readings(spark, sf_dir)
+    return rounded(modelling.area_under_curve(rows).join(modelling.recall_at(rows, 0.1), F.lit(True)))
+
+
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_table(spark, sf_dir).withColumn("label", F.col("label_failure_next_48h").cast("int"))
 
@@ -825,13 +896,45 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL_COLUMNS = ["temp_mean_1h", "pressure_mean_1h", "voltage_mean_1h", "rotation_mean_1h", "temp_mean_24h", "pressure_mean_24h", "incident_count_prev_24h", "incident_count_prev_7d"]
 
 
-@query()
+def _imputation_sql() -> str:
+    """Errors on masked values: regression on three inputs by determinants of the centred products."""
+    det = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    steps, out = [], []
+    for t, c in enumerate(FLOATS):
+        xs = [o for o in FLOATS if o != c]
+        value = lambda o: f"coalesce({o}, mean_{o})"
+        use = f"split_set = 'train' AND NOT hide AND {c} IS NOT NULL"
+        pairs = {(i, j): f"covar_pop({value(xs[i])}, {value(xs[j])}) FILTER ({use})" for i in range(3) for j in range(i, 3)}
+        steps.append(f"m{t} AS (SELECT {', '.join(f'{p} AS a{i}{j}' for (i, j), p in pairs.items())}, {', '.join(f'covar_pop({value(o)}, {c}) FILTER ({use}) AS b{i}, avg({value(o)}) FILTER ({use}) AS x{i}' for i, o in enumerate(xs))}, avg({c}) FILTER ({use}) AS y, quantile_cont({c}, 0.5) FILTER ({use}) AS med FROM hd, mn)")
+        cell = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+        column = lambda k: det(*[[f"b{i}" if j == k else cell(i, j) for j in range(3)] for i in range(3)])
+        steps.append(f"r{t} AS (SELECT *, {', '.join(f'{column(k)} / {det(*[[cell(i, j) for j in range(3)] for i in range(3)])} AS w{k}' for k in range(3))} FROM m{t})")
+        guess = " + ".join(f"w{i} * ({value(o)} - x{i})" for i, o in enumerate(xs))
+        for method, expr in (("median", "med"), ("interpolation", f"fl.{c}"), ("regression", f"y + {guess}")):
+            out.append(f"SELECT '{c}' AS column_name, '{method}' AS method, sqrt(avg(({expr} - hd.{c}) ** 2)) AS rmse FROM hd JOIN fl USING (line_id), mn, r{t} WHERE hide AND hd.{c} IS NOT NULL".replace("coalesce(", "coalesce(hd.") if method == "regression" else f"SELECT '{c}' AS column_name, '{method}' AS method, sqrt(avg(({expr} - hd.{c}) ** 2)) AS rmse FROM hd JOIN fl USING (line_id), r{t} WHERE hide AND hd.{c} IS NOT NULL")
+    return f"""{RD}, dt AS (SELECT list_sort(list(DISTINCT observed_at)) AS ts FROM rd), ct AS (SELECT ts[floor(len(ts) * 0.7::DOUBLE)::INT + 1] AS cut_1, ts[floor(len(ts) * 0.85::DOUBLE)::INT + 1] AS cut_2 FROM dt),
+hd AS (SELECT rd.*, CASE WHEN observed_at < cut_1 THEN 'train' WHEN observed_at < cut_2 THEN 'validation' ELSE 'test' END AS split_set, ('0x' || substr(md5(line_id::VARCHAR), 1, 7))::BIGINT % 10 = 0 AS hide FROM rd, ct),
+mn AS (SELECT {", ".join(f"avg({c}) AS mean_{c}" for c in FLOATS)} FROM hd WHERE split_set = 'train'), xs AS (SELECT line_id, machine_id, observed_at, {", ".join(f"CASE WHEN NOT hide THEN {c} END AS {c}" for c in FLOATS)}, pieces_produced FROM hd){_filled('xs')},
+{", ".join(steps)}, er AS ({" UNION ALL ".join(out)}), be AS (SELECT column_name, arg_min(method, (rmse, method)) AS best FROM er GROUP BY 1) SELECT column_name, method, round(rmse, 4) AS rmse, best FROM er JOIN be USING (column_name)"""
+
+
+@query(_imputation_sql())
 def d_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of three imputations on masked values, and the best (D3)."""
     rows = readings(spark, sf_dir)
     split = reshape.with_split(rows, "observed_at", reshape.cut_points(rows, "observed_at"))
-    errors = modelling.imputation_errors(split, list(FLOATS))
-    return errors.join(modelling.best_imputation(errors).withColumnRenamed("method", "best"), "column_name")
+    errors = materialized(modelling.imputation_errors(split, list(FLOATS)), "imputation-errors")
+    return rounded(errors.join(modelling.best_imputation(errors).withColumnRenamed("method", "best"), "column_name"), 4)
+
+
+_R = {(i, j): f"(SELECT abs(corr({a}, {b})) > 0.95 FROM rd)" for i, a in enumerate(MEASURES) for j, b in enumerate(MEASURES) if i < j}
+
+
+@query(f"{RD}, g0 AS (SELECT false AS g0), " + ", ".join(f"g{j} AS (SELECT *, coalesce({' OR '.join(f'(NOT g{i} AND {_R[i, j]})' for i in range(j))}, false) AS g{j} FROM g{j - 1})" for j in range(1, len(MEASURES))) + " " + " UNION ALL ".join(f"SELECT '{c}' AS column_name FROM g{len(MEASURES) - 1} WHERE g{j}" for j, c in enumerate(MEASURES)))
+def d_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures to leave out, as an earlier one says nearly the same."""
+    gone = modelling.correlated(readings(spark, sf_dir), list(MEASURES))
+    return spark.createDataFrame([(c,) for c in gone], "column_name string")
 
 
 @query()
