@@ -18,9 +18,13 @@ empty results. Other columns are kept by ``deduplicate`` and never read.
 
 A radius of 4 bits is far from reaching all texts of which most shingles are shared. ``near_copies`` asks for a Jaccard similarity of
 shingle sets instead: candidates come from ``BANDS`` independent MinHash fingerprints over the shingles, each of ``ROWS`` minima (a pair at
-0.8 shares one with probability 0.9998), and every link is verified with the shingles of both texts. A key's members are compared by
-all minima: up to ``PAIRS`` members all likely pairs are verified; of more, a spanning tree of the likeliest ones (of over ``TREE``, a spanning
-search), so a member of a large key can miss its group where the estimate favours a link that fails, which other keys mostly mend.
+0.8 shares one with probability 0.9998), and every link is verified with the shingles of both texts. Of a key with up to ``PAIRS`` members all
+pairs are verified that share enough of all minima. Members of larger keys are passed on as they come; what the links found so far
+join is one group, and where a key still has several of them, its members' shingle sets are searched exactly, in blocks of about ``BLOCK`` sets
+and every pair of blocks, smallest groups first, so that a member which is linked to a large group is settled by one look. No pair of different groups
+in a key is left out.
+
+Sets of shingles are equal where two 64-bit hashes of them are. Long texts are sets like others and count for blocks by their size.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgeline.llm.common import checkpointed
+from forgeline.llm.common import checkpointed, saved
 from forgeline.llm.components import components
 
 #: Most fingerprints of a key that are searched as they stand.
@@ -46,8 +50,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BANDS, ROWS = 16, 4
 #: Minima that pairs worth verifying share, of BANDS * ROWS: four deviations below what 0.8 gives.
 LIKELY = 38
-#: Most members of a MinHash key of which all pairs are verified, and most that are searched for the best tree.
-PAIRS, TREE = 32, 4096
+#: Most members of a MinHash key of which all likely pairs are verified; sets and shingles of a block of larger keys, about.
+PAIRS, BLOCK, BLOCK_SHINGLES = 32, 2048, 1 << 21
 #: Shingles that are counted at once, so that long texts need no more memory.
 AT_ONCE = 1 << 16
 
@@ -226,11 +230,12 @@ def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id, then digest, of each ``_root`` of ``found`` (doc_id, digest, _root)."""
+    """The documents with the smallest doc_id, then digest, of each ``_root`` of ``found`` (doc_id, digest, _root), with all their columns."""
     kept = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("k"))
-    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_digest": F.xxhash64("text")}
-    wanted = kept.select(F.col("k.n").alias("_none"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.digest").alias("_digest"))
-    return docs.withColumns(keys).join(wanted, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys)
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("digest"), F.struct(*docs.columns).alias("row"))
+    wanted = kept.select(F.col("k.n").alias("none"), F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.digest").alias("digest"))
+    keys = ["none", "id", "digest"]
+    return rows.join(wanted, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 FACTORS, OFFSETS = (np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(k) for k in (1, 0))
@@ -252,117 +257,187 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def tree(sketches: np.ndarray) -> list[tuple[int, int]]:
-    """The links of a spanning tree (forest) of the likeliest links."""
-    rest, at, found = np.arange(1, len(sketches)), 0, []
-    best, by = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
-    while len(rest):
-        now = (sketches[rest] == sketches[at]).sum(axis=1)
-        by, best = np.where(now > best, at, by), np.maximum(now, best)
-        k = int(best.argmax())
-        if best[k] >= LIKELY:
-            found.append((int(by[k]), int(rest[k])))
-        at = int(rest[k])
-        rest, best, by = np.delete(rest, k), np.delete(best, k), np.delete(by, k)
-    return found
-
-
 def likely(sketches: np.ndarray) -> list[tuple[int, int]]:
     """Positions (a, b) of the links to verify between a key's members."""
-    found, m = [], len(sketches)
-    if m <= PAIRS:
-        for a in range(m - 1):
-            found += [(a, a + 1 + int(k)) for k in np.flatnonzero((sketches[a + 1 :] == sketches[a]).sum(axis=1) >= LIKELY)]
-        return found
-    if m <= TREE:
-        return tree(sketches)
-    rest = np.arange(m)
-    while len(rest):
-        frontier, rest = [int(rest[0])], rest[1:]
-        while frontier and len(rest):
-            at = frontier.pop()
-            near = (sketches[rest] == sketches[at]).sum(axis=1) >= LIKELY
-            found += [(at, int(k)) for k in rest[near]]
-            frontier += rest[near].tolist()
-            rest = rest[~near]
+    found = []
+    for a in range(len(sketches) - 1):
+        found += [(a, a + 1 + int(k)) for k in np.flatnonzero((sketches[a + 1 :] == sketches[a]).sum(axis=1) >= LIKELY)]
     return found
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes (node, keys, sketch) that share a key and are likely near copies."""
+def candidates(nodes: DataFrame, most: int) -> DataFrame:
+    """From nodes (node, keys, sketch): (a, b) of pairs that share a key of up to ``most`` members and are likely near copies; (key, node) of larger keys."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sketches, at = [], [], None
+        held, sketches, at, large = [], [], None, False
+        pairs, over = [], []
 
-        def close() -> np.ndarray:
-            nonlocal held, sketches
-            members, marks = np.array(held, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BANDS * ROWS)
-            held, sketches = [], []
-            return members[np.array(likely(marks), np.int64).reshape(-1, 2)] if len(members) > 1 else np.empty((0, 2), np.int64)
+        def close() -> None:
+            nonlocal held, sketches, large
+            if len(held) > 1 and not large:
+                marks = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BANDS * ROWS)
+                pairs.extend((min(held[a], held[b]), max(held[a], held[b])) for a, b in likely(marks))
+            held, sketches, large = [], [], False
 
-        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
-            both = np.concatenate([*found, np.empty((0, 2), np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1, initial=(1 << 63) - 1)), pa.array(both.max(axis=1, initial=-(1 << 63)))], names=["a", "b"])
+        def made() -> pa.RecordBatch:
+            a, b, key, node = [*[p[0] for p in pairs], *[None] * len(over)], [*[p[1] for p in pairs], *[None] * len(over)], [*[None] * len(pairs), *[o[0] for o in over]], [*[None] * len(pairs), *[o[1] for o in over]]
+            pairs.clear()
+            over.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, key, node)], names=["a", "b", "key", "node"])
 
         for batch in batches:
-            found = []
             for key, node, sketch in zip(batch["key"].to_pylist(), batch["node"].to_pylist(), batch["sketch"].to_pylist()):
                 if key != at:
-                    found.append(close())
+                    close()
                     at = key
-                held.append(node)
-                sketches.append(sketch)
-            yield batch_of(found)
-        yield batch_of([close()])
+                if not large:
+                    held.append(node)
+                    sketches.append(sketch)
+                    if len(held) > most:
+                        over.extend((at, n) for n in held)
+                        held, sketches, large = [], [], True
+                else:
+                    over.append((at, node))
+            yield made()
+        close()
+        yield made()
 
     rows = nodes.select(F.explode("keys").alias("key"), "node", "sketch")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "a long, b long, key long, node long")
 
 
 def sketched(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest, node (long: one for each set of shingles), keys, sketch (a byte of each minimum) of documents."""
+    """doc_id, digest, h1, h2 (hashes of the set of shingles), keys, sketch (a byte of each minimum) of documents."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, marks = [], [], []
+            hashes, keys, marks = [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text, words)
                 least = minima(own)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                hashes.append([xxhash.xxh64_intdigest(own.tobytes(), seed) for seed in (42, 43)])
                 keys.append([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)])
                 marks.append((least & 255).astype(np.uint8).tobytes())
             keys = pa.array(np.array(keys, np.uint64).view(np.int64).reshape(-1, BANDS).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], pa.array(np.array(nodes, np.uint64).view(np.int64)), keys, pa.array(marks, pa.binary())], names=["doc_id", "digest", "node", "keys", "sketch"])
+            h1, h2 = np.array(hashes, np.uint64).view(np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], pa.array(h1), pa.array(h2), keys, pa.array(marks, pa.binary())], names=["doc_id", "digest", "h1", "h2", "keys", "sketch"])
+
+    return df.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(compute, "doc_id long, digest long, h1 long, h2 long, keys array<long>, sketch binary")
+
+
+def set_of(text: Column, words: int) -> Column:
+    """binary: the hashes of a text's shingles, ascending."""
+
+    @F.arrow_udf("binary")
+    def compute(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    return compute(text)
 
-    return df.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(compute, "doc_id long, digest long, node long, keys array<long>, sketch binary")
 
+def similar(x: int, y: int, both: int | np.ndarray, similarity: float):
+    """Whether sets of x and y members that share ``both`` have that Jaccard similarity."""
+    return both / np.maximum(1, x + y - both) >= similarity
 
-def jaccard(a: Column, b: Column, words: int) -> Column:
-    @F.arrow_udf("double")
-    def compute(left: pa.Array, right: pa.Array) -> pa.Array:
+
+def verified(left: Column, right: Column, similarity: float) -> Column:
+    @F.arrow_udf("boolean")
+    def compute(ones: pa.Array, others: pa.Array) -> pa.Array:
         out = []
-        for one, two in zip(left.to_pylist(), right.to_pylist()):
-            x, y = shingles(one, words), shingles(two, words)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pa.array(out, pa.float64())
+        for one, other in zip(ones, others):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
+            out.append(bool(similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), similarity)))
+        return pa.array(out, pa.bool_())
 
-    return compute(a, b)
+    return compute(left, right)
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of nodes (node, digest, keys, sketch) whose texts have at least that similarity."""
-    pairs = checkpointed(candidates(nodes))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "digest"), "node")
-    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted, "digest").dropDuplicates(["node"]).select("node", "text")
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(jaccard(F.col("text_a"), F.col("text_b"), words) >= similarity).select("a", "b")
+def connect(sets: list[np.ndarray], groups: list[int], similarity: float, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets of different ``groups`` that join all groups which any such link joins; with ``sides``, only links from one side to the other.
+
+    Groups are taken up smallest first: each member of a group is compared with all sets outside it, and what is linked comes in with
+    its whole group. A group that nothing is linked to any more has been compared with everything left and is done.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.cumsum([0, *sizes])
+    members: dict[int, list[int]] = {}
+    for k, g in enumerate(groups):
+        members.setdefault(g, []).append(k)
+    rest, found, mark = sizes > 0, [], np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    # the sets that are looked at, one after another; built anew when half of them have gone
+    at, flat, starts = np.empty(0, np.int64), ids[:0], begins[:0]
+    for group in sorted(members, key=lambda g: len(members[g])):
+        if group not in members:
+            continue
+        frontier = members.pop(group)
+        rest[frontier] = False
+        while frontier and rest.any():
+            if not len(at) or 2 * np.count_nonzero(rest[at]) < len(at) or np.count_nonzero(rest) > len(at):
+                at = np.flatnonzero(rest)
+                flat, starts = np.concatenate([ids[begins[k] : begins[k + 1]] for k in at]), np.cumsum([0, *sizes[at][:-1]])
+            a = frontier.pop()
+            own = ids[begins[a] : begins[a + 1]]
+            mark[own] = True
+            near = similar(len(own), sizes[at], np.add.reduceat(mark[flat], starts, dtype=np.int64), similarity) & rest[at]
+            mark[own] = False
+            if sides is not None:
+                near &= sides[at] != sides[a]
+            for k in at[near].tolist():
+                if rest[k]:
+                    found.append((a, k))
+                    joined = members.pop(groups[k])
+                    rest[joined] = False
+                    frontier += joined
+    return found
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def searched(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of each part (key, i, j) of rows (key, i, j, side, node, root, hashes)."""
+
+    def solve(part: pa.Table) -> pa.Table:
+        nodes, sides = part["node"].to_numpy(), part["side"].to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in part["hashes"]]
+        found = connect(sets, part["root"].to_pylist(), similarity, sides if sides.any() else None)
+        pairs = nodes[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pairs.min(axis=1, initial=(1 << 63) - 1), "b": pairs.max(axis=1, initial=-(1 << 63))})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(solve, "a long, b long")
+
+
+def of_large_keys(large: DataFrame, sets: DataFrame, links: DataFrame, similarity: float, block: int, between: bool) -> DataFrame:
+    """Links inside the blocks of large keys (key, node), or ``between`` any two of them, where a key's members are not yet one group."""
+    rooted = large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets, "node")
+    rooted = rooted.withColumn("_n", (F.octet_length("hashes") / 8).cast("long"))
+    stats = rooted.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("_n") / BLOCK_SHINGLES)).alias("blocks"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+    several = checkpointed(stats.filter(F.col("_a") != F.col("_b")).filter(F.col("blocks") > int(between)).select("key", "blocks"))  # a row a key: Spark can split the other side
+    rows = rooted.join(several, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    if not between:
+        return searched(rows.select("key", F.col("_own").alias("i"), F.col("_own").alias("j"), F.lit(0).alias("side"), "node", "root", "hashes"), similarity)
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("_own")))
+    paired = rows.withColumn("_other", other).select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", "root", "hashes")
+    return searched(paired, similarity)
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
+    """(a, b) of nodes (node, digest, keys, sketch): links of at least that similarity that connect all such pairs that share a key."""
+    found = checkpointed(candidates(nodes, most))
+    pairs, large = found.filter("a IS NOT NULL").select("a", "b").distinct(), found.filter("a IS NULL").select("key", "node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct().join(nodes.select("node", "digest"), "node")
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted, "digest").dropDuplicates(["node"])
+    sets = saved(texts.select("node", set_of(F.col("text"), words).alias("hashes")), "shingles")
+    left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    links = checkpointed(pairs.join(left, "a").join(right, "b").filter(verified(F.col("h_a"), F.col("h_b"), similarity)).select("a", "b"))
+    for between in (False, True) if not large.isEmpty() else ():
+        links = checkpointed(links.union(of_large_keys(large, sets, links, similarity, block, between)))
+    return links
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
     """One document of each group that links of that Jaccard similarity connect, chosen as by ``deduplicate``."""
     prints = checkpointed(sketched(docs, words))
-    nodes = checkpointed(prints.groupBy("node").agg(F.min("digest").alias("digest"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    roots = components(near_links(docs, nodes, words, similarity))
-    found = prints.select("doc_id", "digest", "node").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    return first_of_each(docs, found)
+    # numbered once and for all: the checkpoint keeps the numbers
+    nodes = checkpointed(prints.groupBy("h1", "h2").agg(F.min("digest").alias("digest"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(near_links(docs, nodes.drop("h1", "h2"), words, similarity, most, block))
+    known = nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("_root"))
+    return first_of_each(docs, prints.select("doc_id", "digest", "h1", "h2").join(known, ["h1", "h2"]))

@@ -219,9 +219,8 @@ def test_simhash_query(docs, rows, none):
     assert simhash.fingerprints(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [simhash.PAIRS, 1])
-def test_near_copies_from_four_fifths(spark, docs, none, monkeypatch, most):
-    monkeypatch.setattr(simhash, "PAIRS", most)
+@pytest.mark.parametrize(("most", "block"), [(simhash.PAIRS, simhash.BLOCK), (1, 2), (2, 4)])
+def test_near_copies_from_four_fifths(spark, docs, none, most, block):
     rnd = random.Random(4)
 
     def sets(t):
@@ -251,11 +250,64 @@ def test_near_copies_from_four_fifths(spark, docs, none, monkeypatch, most):
             if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
                 near += 1
                 root[max(top(i), top(j))] = min(top(i), top(j))
-    kept = simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string"))
+    kept = simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string"), most=most, block=block)
     assert near > 200 and sorted(r["doc_id"] for r in kept.collect()) == sorted({top(i) for i, _ in data})
     assert simhash.near_copies(none).count() == 0 and simhash.near_copies(docs).columns == docs.columns
 
 
+def hub(n, seed=1, words=200, changes=4):
+    """A text and ``n`` others, each near to it and far from one another."""
+    rnd = random.Random(seed)
+    base = [f"v{rnd.randint(0, 10**6)}" for _ in range(words)]
+    out = [list(base) for _ in range(n)]
+    for copy in out:
+        for at in rnd.sample(range(5, words - 5, 6), changes):
+            copy[at] = f"n{rnd.randint(0, 10**9)}"
+    return [" ".join(w) for w in out[: n // 2]] + [" ".join(base)] + [" ".join(w) for w in out[n // 2 :]]
+
+
+def test_near_copies_around_a_hub(spark):
+    data = [(i, t, "a", "b", "c") for i, t in enumerate(hub(800))]
+    df = spark.createDataFrame(data, "doc_id long, text string, _id string, _none string, _digest string").repartition(4)
+    for block in (simhash.BLOCK, 150):  # one block, and pairs of blocks
+        kept = simhash.near_copies(df, block=block)
+        assert [tuple(r) for r in kept.collect()] == [data[0]] and kept.columns == df.columns
+
+
+def test_simhash_keeps_clashing_columns(spark):
+    rows = [(1, "a b", "x", "y", "z", 5), (None, "c d e", None, "y", "z", 6), (2, "a b", "x", "y", "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _none string, _digest string, row long")
+    for kept in (simhash.deduplicate(df), simhash.near_copies(df)):
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[:2], key=repr) and kept.columns == df.columns
+
+
+def test_groups_of_sets_are_connected():
+    rnd = random.Random(9)
+    for trial in range(30):
+        n = rnd.randint(1, 40)
+        bases = [rnd.sample(range(1000), 20) for _ in range(4)]
+        sets = [np.unique(np.array(rnd.choice(bases)[: rnd.randint(14, 20)] + rnd.sample(range(1000), rnd.randint(0, 2)), np.uint64)) if rnd.random() > 0.05 else np.empty(0, np.uint64) for _ in range(n)]
+        groups = [rnd.choice([k, rnd.randint(0, n)]) for k in range(n)]
+        sides = np.array([rnd.randint(0, 1) for _ in range(n)]) if trial % 2 else None
+        near = lambda a, b: len(sets[a]) and len(sets[b]) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))  # noqa: B023, E731
+
+        def classes(links):
+            root = {("g", g): ("g", g) for g in groups}  # noqa: B023
+
+            def top(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a, b in links:
+                root[top(("g", groups[a]))] = top(("g", groups[b]))  # noqa: B023
+            return [[top(("g", g)) == top(("g", h)) for h in groups] for g in groups]  # noqa: B023
+
+        found = simhash.connect(sets, groups, 0.8, sides)
+        assert all(near(a, b) and groups[a] != groups[b] and (sides is None or sides[a] != sides[b]) for a, b in found)
+        assert classes(found) == classes([(a, b) for a in range(n) for b in range(a) if near(a, b) and (sides is None or sides[a] != sides[b])])
+
+
 def test_simhash_keeps_one_of_each_group(docs, rows, none):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns and simhash.deduplicate(none).count() == 0
