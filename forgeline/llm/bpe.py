@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and split tokens that a worker remembers. Beyond these it forgets the newer half: common ones come early.
 WORDS, TOKENS = 300_000, 100_000
+#: Characters of the longest word or split token that is remembered, so that what is remembered is bounded in bytes too.
+LONGEST = 64
 #: Rows of an Arrow batch that are Python objects at once.
 ROWS = 512
 
@@ -62,14 +64,14 @@ class PieceSplitter:
     """
 
     def __init__(self, token_ids: Callable[[str], bytes], specials: dict[str, int], words: int = WORDS, tokens: int = TOKENS):
-        self.tokens, self.words, self.most = Remembered(token_ids, tokens), {}, words
+        self.token_ids, self.tokens, self.words, self.most = token_ids, Remembered(token_ids, tokens), {}, words
         self.split = regex.compile(PATTERN).findall
         self.specials = {k: np.int32(v).tobytes() for k, v in specials.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, by the pattern."""
-        return b"".join([self.tokens[t] for t in self.split(text)])
+        return b"".join([self.tokens[t] if len(t) <= LONGEST else self.token_ids(t) for t in self.split(text)])
 
     def whole(self, text: str) -> bytes:
         """Ids of any text, by the pattern."""
@@ -110,7 +112,8 @@ class PieceSplitter:
         for words in split:
             if words:
                 unknown.update(words[1:])
-        self.learn(unknown.difference(self.words))
+        unknown = unknown.difference(self.words)
+        self.learn(unknown)
         ids = self.words.__getitem__
         out = []
         for text, words in zip(texts, split):
@@ -121,6 +124,9 @@ class PieceSplitter:
                 out.append(self.plain(words[0]) + b"".join(map(ids, words[1:])))
             except TypeError:  # a None among them
                 out.append(self.whole(text))
+        for word in unknown:
+            if len(word) > LONGEST:
+                del self.words[word]
         return out
 
 
@@ -140,38 +146,44 @@ class BytePairs:
         for token, i in self.specials.items():
             self.strings[i] = token.encode()
         self.first = [vocab.get(c, -1) for c in characters]
-        self.merges = {}
+        # by rank: the pair that a merge takes and what it makes; by left symbol: the ranks of its right ones, none for a missing symbol
+        self.left, self.right, self.made = [], [], []
+        self.ranks: list[dict[int, int]] = [{} for _ in range(len(self.strings) + 1)]
         for rank, pair in enumerate(merges):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left] << 32 | vocab[right]] = (rank, vocab[left + right])
+            self.left.append(vocab[left])
+            self.right.append(vocab[right])
+            self.made.append(vocab[left + right])
+            self.ranks[vocab[left]].setdefault(vocab[right], rank)
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one split token's bytes."""
-        symbols = [self.first[b] for b in data]
-        n, get = len(symbols), self.merges.get
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            if found := get(symbols[i] << 32 | symbols[i + 1]):
-                queue.append((found[0], i, found[1]))
+        """Ids of one split token's bytes.
+
+        The queue holds ranks with places, in one number each; an entry is stale if its place or the next one holds other symbols by now.
+        """
+        first, ranks, left, right, made = self.first, self.ranks, self.left, self.right, self.made
+        symbols = [first[b] for b in data]
+        n = len(symbols)
+        symbols.append(-1)  # an end that merges with nothing
+        before, after, shift = list(range(-1, n)), list(range(1, n + 1)), n.bit_length()
+        place = (1 << shift) - 1
+        queue = [rank << shift | i for i in range(n - 1) if (rank := ranks[symbols[i]].get(symbols[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            rank, i = entry >> shift, entry & place
             j = after[i]
-            if symbols[i] < 0 or j < 0:
+            if symbols[i] != left[rank] or symbols[j] != right[rank]:
                 continue
-            found = get(symbols[i] << 32 | symbols[j])
-            if found is None or found[1] != new:
-                continue
-            symbols[i], symbols[j] = new, -1
+            new = symbols[i] = made[rank]
+            symbols[j] = -1
             k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                if found := get(new << 32 | symbols[k]):
-                    heapq.heappush(queue, (found[0], i, found[1]))
+            before[k] = i
+            if (rank := ranks[new].get(symbols[k])) is not None:
+                heapq.heappush(queue, rank << shift | i)
             p = before[i]
-            if p >= 0 and (found := get(symbols[p] << 32 | new)):
-                heapq.heappush(queue, (found[0], p, found[1]))
+            if p >= 0 and (rank := ranks[symbols[p]].get(new)) is not None:
+                heapq.heappush(queue, rank << shift | p)
         return [s for s in symbols if s >= 0]
 
     def token_ids(self, token: str) -> bytes:
@@ -190,7 +202,7 @@ def vocabulary(path: str) -> BytePairs:
 @functools.lru_cache(maxsize=2)
 def splitter(path: str, words: int = WORDS) -> PieceSplitter:
     pairs = vocabulary(path)
-    return PieceSplitter(pairs.token_ids, pairs.specials, words)
+    return PieceSplitter(pairs.token_ids, pairs.specials, words, TOKENS * words // WORDS)
 
 
 def id_lists(packed: list[bytes]) -> pa.Array:

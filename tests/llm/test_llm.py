@@ -74,6 +74,13 @@ def test_bpe_equals_the_library_on_random_text(tokenizer):
         assert np.frombuffer(encode(t), "<i4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_long_words_are_not_remembered(tokenizer):
+    for splitter in (bpe.PieceSplitter(bpe.vocabulary(queries.tokenizer_path()).token_ids, {}), token_files.LibrarySplitter(queries.tokenizer_path())):
+        for t in ("a " + "QUJD" * 5000 + " b " + "QUJD" * 5000, "x" * 65, "y " + "1" * 64, "z " + "é,;" * 40 + " z"):
+            assert np.frombuffer(splitter(t), "<i4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert max(map(len, [*splitter.words, *splitter.tokens])) <= bpe.LONGEST + 1
+
+
 def test_bpe_columns_and_empty(docs, none):
     assert bpe.encode(docs, queries.tokenizer_path()).columns == docs.columns
     assert bpe.digests(none, queries.tokenizer_path()).count() == 0
