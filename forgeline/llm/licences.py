@@ -1,13 +1,17 @@
 """Licence scan with a trained paragraph classifier, with DataFrame functions and pyspark.ml only.
 
 Paragraphs are the lines of a text. Three kinds of passages are classified: a paragraph, each of its sentences, and, for hard-wrapped
-notices, ``WRAPPED`` short lines from a paragraph on. A sparse multinomial logistic regression over word 1- to 3-grams names a
-passage's licence family or `unknown`. It is trained on the families' statements and names in usual frames, with each word
-left out in turn, against frames without a name, single words, and a bounded sample of the corpus's own lines, whatever they speak
-of; only lines that the template comparison confirms are left out of those. A part of all training rows is kept out of
-the fit; an isotonic regression over it turns the model's probability into the share of right names, and below ``BELIEVED`` a passage is
-`unknown`. A named family is confirmed by template comparison both ways: the share of some template's words and word
-pairs that the passage has, and the share of the passage's that the family's templates have.
+notices, the short lines from a paragraph on up to an empty one, ``WRAPPED`` at most. A sparse multinomial logistic regression over word 1- to
+3-grams names a passage's licence family or `unknown`. It is trained on the families' statements and names in usual frames, with
+words left out in turn but for those that tell families apart, against licences that are no family here, frames without a name, single
+words, and a bounded sample of the corpus's own lines, whatever they speak of; only lines that the template comparison confirms are left out
+of those. A part of all training rows, with some of the other licences as a whole, is kept out of the fit; an isotonic regression over it
+turns the model's probability into the share of right names, and below ``BELIEVED`` a passage is `unknown`.
+
+A named family is confirmed by template comparison both ways, the share of some template's words and word pairs that the passage has and the
+share of the passage's that the family's templates have, and by the words that tell families apart: the passage has the family's own name
+(``KEYS``) with one of its versions, or is most of a longer statement; it has no version and no mark (``MARKS``) of another family; and what it
+denies, that template denies too.
 
 Every paragraph is scored. A gram is a feature if it has a word that less than ``FREQUENT`` of the corpus sample's lines have, so each
 gram that speaks for a family has a word that is rare in the sample. A paragraph without any of these words has no such gram, so its scores can't
@@ -41,18 +45,39 @@ BELIEVED = 0.5
 #: Shares of a template's, and of a passage's, words and word pairs that confirm a family.
 CONTAINED, EXPLAINED = 0.6, 0.6
 #: Lines that a hard-wrapped notice is looked for in, and the longest of them in characters.
-WRAPPED, WIDTH = 5, 120
+WRAPPED, WIDTH = 24, 120
+#: Words from which a template speaks for its family without the family's name.
+LONG = 12
 #: Licence families and the names they go by.
 NAMES = {
+    "agpl-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3", "AGPL version 3 or later"),
     "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 licence", "Apache Software License 2.0"),
     "bsd": ("BSD License", "BSD licence", "3-Clause BSD License", "BSD 2-Clause License", "New BSD License"),
+    "cc-by-3.0": ("CC BY 3.0", "CC BY 3.0 license", "Creative Commons Attribution 3.0 Unported License"),
     "cc-by-4.0": ("CC BY 4.0", "CC BY 4.0 license", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license"),
     "cc-by-nc-4.0": ("CC BY-NC 4.0", "CC BY-NC 4.0 license", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial license"),
+    "cc-by-nc-nd-4.0": ("CC BY-NC-ND 4.0", "CC BY-NC-ND 4.0 license", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    "cc-by-nc-sa-4.0": ("CC BY-NC-SA 4.0", "CC BY-NC-SA 4.0 license", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "cc-by-nd-4.0": ("CC BY-ND 4.0", "CC BY-ND 4.0 license", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "cc-by-sa-3.0": ("CC BY-SA 3.0", "CC BY-SA 3.0 license", "Creative Commons Attribution-ShareAlike 3.0 Unported License"),
     "cc-by-sa-4.0": ("CC BY-SA 4.0", "CC BY-SA 4.0 license", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike license"),
+    "epl-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL 2.0"),
+    "gpl": ("GNU General Public License", "GNU GPL"),
+    "gpl-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPL version 2", "GPLv2", "GNU GPL version 2 or later"),
     "gpl-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPL version 3", "GPLv3", "GNU GPL version 3 or later", "GPL v3 or any later version"),
+    "isc": ("ISC License", "ISC licence"),
+    "lgpl-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL version 2.1", "LGPLv2.1"),
+    "lgpl-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL version 3", "LGPLv3"),
     "mit": ("MIT License", "MIT licence", "The MIT License (MIT)", "MIT open source license"),
+    "mpl-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
     "public-domain": ("CC0 1.0", "CC0 1.0 Universal", "public domain dedication"),
+    "unlicense": ("Unlicense", "The Unlicense"),
 }
+#: Licences that are no family here; those after the first six are kept out of the fit as a whole.
+OTHERS = (
+    "Artistic License 2.0", "Boost Software License 1.0", "zlib License", "Open Database License", "SIL Open Font License 1.1", "Common Development and Distribution License 1.0",
+    "Microsoft Public License", "Python Software Foundation License version 2", "European Union Public Licence 1.2", "Sleepycat License",
+)
 #: Sentences that a licence is named in.
 FRAMES = (
     "{}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This software is available under the {}.",
@@ -60,31 +85,63 @@ FRAMES = (
 )
 #: Paragraphs that state a licence.
 STATEMENTS = {
+    "agpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY.",
     ),
-    "gpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    "gpl": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
+    "gpl-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "gpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "lgpl-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "lgpl-3.0": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
     "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
     "public-domain": ("This work is released into the public domain.", "Dedicated to the public domain under CC0 1.0.", "This text is in the public domain.", "No copyright: this work is in the public domain."),
     "rights-reserved": ("All rights reserved.", "All rights are reserved.", "Copyright by the authors. All rights reserved.", "Copyright (c) the authors, all rights reserved.", "No part of this work may be reproduced without permission of the copyright holder."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 }
+#: What a family's own name has at least, in some way; CC families have "cc by" or "creative commons attribution" besides their marks.
+KEYS = {
+    "agpl-3.0": (("affero",), ("agpl",), ("agplv",)), "apache-2.0": (("apache",),), "bsd": (("bsd",),), "epl-2.0": (("eclipse",), ("epl",)), "gpl": (("gnu",),), "gpl-2.0": (("gnu",), ("gpl",), ("gplv",)), "gpl-3.0": (("gnu",), ("gpl",), ("gplv",)),
+    "isc": (("isc",),), "lgpl-2.1": (("lesser",), ("lgpl",), ("lgplv",)), "lgpl-3.0": (("lesser",), ("lgpl",), ("lgplv",)), "mit": (("mit",),), "mpl-2.0": (("mozilla",), ("mpl",)), "public-domain": (("public", "domain"), ("cc", "0")), "rights-reserved": (("rights", "reserved"),), "unlicense": (("unlicense",), ("unencumbered",)),
+}
+#: Words that tell families apart, and words that deny.
+MARKS = ("affero", "agpl", "agplv", "apache", "artistic", "boost", "bsd", "eclipse", "epl", "gpl", "gplv", "isc", "lesser", "lgpl", "lgplv", "mit", "mozilla", "mpl", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike", "unlicense")
+DENYING = ("aren", "cannot", "isn", "neither", "never", "no", "nor", "not", "nothing", "wasn", "weren")
 #: Fixed value: what counts as a word, in lower case.
 TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 FAMILIES = sorted({*NAMES, *STATEMENTS})
 
 
+def stem(family: str) -> str:
+    """A family without its version: what the classifier names. Versions are for the template comparison."""
+    return re.sub(r"-[0-9.]+$", "", family)
+
+
+STEMS = sorted({stem(f) for f in FAMILIES})
+
+
 def stated(family: str) -> list[str]:
     """All templates of a family."""
     return [*STATEMENTS.get(family, ()), *(frame.format(name) for name in NAMES.get(family, ()) for frame in FRAMES)]
@@ -98,6 +155,21 @@ def word_list(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
+def keys_of(family: str) -> list[list[str]]:
+    """The words one set of which a passage has if it has the family's name."""
+    if not family.startswith("cc-by"):
+        return [list(k) for k in KEYS.get(family, ())]
+    marks = family.split("-")[2:-1]
+    spelled = [{"nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}[m] for m in marks]
+    return [["cc", "by", *marks], ["creative", "commons", "attribution", *spelled]]
+
+
+def versions_of(family: str) -> list[str]:
+    """The numbers in a family's names, and 3.0 for 3 and the other way round."""
+    found = {w for t in stated(family) for w in word_list(t) if w[0].isdigit()}
+    return sorted(found | {f"{v}.0" for v in found if v.isdigit()} | {v[:-2] for v in found if v.endswith(".0")})
+
+
 def grams(tokens: Column, most: int = 3) -> Column:
     """All runs of 1 to ``most`` words."""
 
@@ -118,16 +190,33 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """One row, _known: for each family its templates' different words and pairs, and those of all its templates together."""
-    rows = []
+    """One row, _known: for each family its templates' different words and pairs, those of all its templates together, and what tells it apart."""
+    rows, numbers = [], {v for f in FAMILIES for v in versions_of(f)}
     for family in FAMILIES:
-        each = [sorted(set(gram_list(word_list(t), 2))) for t in stated(family)]
-        rows.append((family, each, sorted(set(chain(*each)))))
-    return spark.createDataFrame([(rows,)], "_known array<struct<family: string, templates: array<array<string>>, grams: array<string>>>")
+        each = [(sorted(set(gram_list(word_list(t), 2))), len(word_list(t)) >= LONG) for t in stated(family)]
+        own = {w for t in stated(family) for w in word_list(t)}
+        foreign = sorted([m for m in MARKS if m not in own] + [v for v in numbers if v not in versions_of(family)])
+        unnumbered = any(not any(w[0].isdigit() for w in word_list(n)) for n in NAMES.get(family, ("",)))
+        rows.append((stem(family), family, each, sorted(set(chain(*[t for t, _ in each]))), keys_of(family), [] if unnumbered else versions_of(family), versions_of(family), foreign))
+    kind = "stem: string, family: string, templates: array<struct<grams: array<string>, long: boolean>>, grams: array<string>, keys: array<array<string>>, versions: array<string>, numbers: array<string>, foreign: array<string>"
+    return spark.createDataFrame([(rows,)], f"_known array<struct<{kind}>>")
+
+
+def met(pairs: Column, template: Column) -> Column:
+    return F.size(F.array_intersect(template["grams"], pairs)) / F.size(template["grams"])
 
 
 def contained(pairs: Column, family: Column) -> Column:
-    return F.array_max(F.transform(family["templates"], lambda t: F.size(F.array_intersect(t, pairs)) / F.size(t)))
+    return F.array_max(F.transform(family["templates"], lambda t: met(pairs, t)))
+
+
+def told_apart(pairs: Column, family: Column) -> Column:
+    """Whether a passage has what tells the family apart from others, nothing that tells another one, and denies only what a template of it denies."""
+    named = F.exists(family["keys"], lambda k: F.size(F.array_except(k, pairs)) == 0) & ((F.size(family["versions"]) == 0) | F.arrays_overlap(family["versions"], pairs))
+    denied = F.array_intersect(pairs, F.array(*map(F.lit, DENYING)))
+    stated_so = lambda t: (met(pairs, t) >= CONTAINED) & (named | t["long"]) & (F.size(F.array_except(denied, t["grams"])) == 0)
+    dotted = F.filter(pairs, lambda w: F.rlike(w, F.lit(r"^[0-9]+[.][0-9.]+$")))
+    return F.exists(family["templates"], stated_so) & (F.size(F.array_except(dotted, family["numbers"])) == 0) & ~F.coalesce(F.arrays_overlap(family["foreign"], pairs), F.lit(False))
 
 
 def explained(pairs: Column, family: Column) -> Column:
@@ -135,16 +224,16 @@ def explained(pairs: Column, family: Column) -> Column:
 
 
 def confirmed_by(pairs: Column, family: Column) -> Column:
-    return (explained(pairs, family) >= EXPLAINED) & (contained(pairs, family) >= CONTAINED)
+    return (explained(pairs, family) >= EXPLAINED) & (contained(pairs, family) >= CONTAINED) & told_apart(pairs, family)
 
 
 def positives(spark: SparkSession) -> DataFrame:
-    """(family, tokens) of the templates, with each word left out in turn from those of four or more."""
-    rows = []
+    """(family: its stem, tokens) of the templates, with each word left out in turn from those of four or more, but for words that tell families apart."""
+    rows, telling = [], {*MARKS, *(w for k in KEYS.values() for ks in k for w in ks)}
     for family in FAMILIES:
         for tokens in map(word_list, stated(family)):
-            rows.append((family, tokens))
-            rows += [(family, tokens[:i] + tokens[i + 1 :]) for i in range(len(tokens)) if len(tokens) > 3]
+            rows.append((stem(family), tokens))
+            rows += [(stem(family), tokens[:i] + tokens[i + 1 :]) for i, w in enumerate(tokens) if len(tokens) > 3 and w not in telling and not w[0].isdigit()]
     return spark.createDataFrame(list(dict.fromkeys((f, tuple(t)) for f, t in rows)), "family string, tokens array<string>")
 
 
@@ -156,6 +245,12 @@ def bare(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(list(t),) for t in rows], "tokens array<string>")
 
 
+def others(spark: SparkSession) -> DataFrame:
+    """(tokens, _held) of licences that are no family, in the frames; the later ones are kept out of the fit as a whole."""
+    rows = [(word_list(frame.format(name)), k >= 6) for k, name in enumerate(OTHERS) for frame in FRAMES]
+    return spark.createDataFrame(rows, "tokens array<string>, _held boolean")
+
+
 def sampled_lines(docs: DataFrame) -> DataFrame:
     """(tokens) of at most ``NEGATIVES`` lines of the corpus, without those that the template comparison confirms."""
     at = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - (SLICE - 1), F.lit(1))).cast("int")
@@ -172,7 +267,7 @@ class Scanner:
 
     def __init__(self, vocabulary: CountVectorizerModel, regression: LogisticRegressionModel, frequency: dict[str, float]):
         self.vocabulary, self.regression = vocabulary, regression
-        self.families = [UNKNOWN, *FAMILIES]
+        self.families = [UNKNOWN, *STEMS]
         self.calibration: IsotonicRegressionModel | None = None
         gain = regression.coefficientMatrix.toArray()
         speaks = (gain[1:] - gain[0]).max(axis=0) > 0
@@ -201,19 +296,21 @@ class Scanner:
 
 
 def compared(df: DataFrame) -> DataFrame:
-    """``df`` (tokens, family) with contained, explained and confirmed, by the family's templates (`unknown` has none)."""
-    rows = df.join(F.broadcast(known(df.sparkSession)), F.lit(True)).withColumn("_own", F.get(F.filter("_known", lambda f: f["family"] == F.col("family")), F.lit(0)))
+    """``df`` (tokens, family: a stem) with contained, explained and confirmed, by the templates of the stem's families, and the family that is confirmed."""
+    rows = df.join(F.broadcast(known(df.sparkSession)), F.lit(True)).withColumn("_own", F.filter("_known", lambda f: f["stem"] == F.col("family"))).drop("_known")
     rows = once(rows, _pairs=grams(F.coalesce("tokens", F.array().cast("array<string>")), 2))
-    rows = rows.withColumns({"contained": F.coalesce(contained(F.col("_pairs"), F.col("_own")), F.lit(0.0)), "explained": F.coalesce(explained(F.col("_pairs"), F.col("_own")), F.lit(0.0))})
-    return rows.withColumn("confirmed", (F.col("contained") >= CONTAINED) & (F.col("explained") >= EXPLAINED)).drop("_known", "_own", "_pairs")
+    most = lambda share: F.coalesce(F.array_max(F.transform("_own", lambda f: share(F.col("_pairs"), f))), F.lit(0.0))
+    rows = once(rows, contained=most(contained), explained=most(explained), _good=F.get(F.filter("_own", lambda f: confirmed_by(F.col("_pairs"), f)), F.lit(0))["family"])
+    return rows.withColumns({"confirmed": F.col("_good").isNotNull(), "family": F.coalesce("_good", "family")}).drop("_own", "_pairs", "_good")
 
 
 def train(docs: DataFrame) -> Scanner:
-    spark, families = docs.sparkSession, [UNKNOWN, *FAMILIES]
+    spark, families = docs.sparkSession, [UNKNOWN, *STEMS]
     hashed = F.pmod(F.xxhash64("tokens"), F.lit(3)) == 0
     shorter = F.size("tokens") > 3  # short names stay in the fit
     corpus = sampled_lines(docs).withColumn("_line", F.lit(True)).unionByName(bare(spark).withColumn("_line", F.lit(False))).withColumn("family", F.lit(UNKNOWN))
     rows = corpus.unionByName(positives(spark).withColumn("_line", F.lit(False))).withColumn("_held", hashed & shorter)
+    rows = rows.unionByName(others(spark).withColumns({"_line": F.lit(False), "family": F.lit(UNKNOWN)}))
     rows = rows.withColumn("_grams", grams(F.col("tokens"))).coalesce(4).cache()
     try:
         # how many sampled lines have each word of the templates: some hundred rows
@@ -245,7 +342,10 @@ def passages(docs: DataFrame, telling: list[str] | None) -> DataFrame:
     lines = F.split("text", "\n")
     numbered = F.filter(F.transform(lines, lambda line, k: F.struct(k.alias("no"), line.alias("line"))), lambda p: tells(p["line"], telling))
     rows = docs.filter(tells(F.col("text"), telling)).select("doc_id", F.xxhash64("text").alias("digest"), lines.alias("_lines"), F.explode(numbered).alias("_p"))
-    window = F.array_join(F.filter(F.slice("_lines", F.col("_p.no") + 1, WRAPPED), lambda line: F.length(line) <= WIDTH), " ")
+    ahead = F.slice("_lines", F.col("_p.no") + 1, WRAPPED)
+    empty = F.array_position(F.transform(ahead, lambda line: F.trim(line) == ""), True)
+    block = F.slice(ahead, F.lit(1), F.when(empty > 0, empty.cast("int") - 1).otherwise(F.lit(WRAPPED)))
+    window = F.array_join(F.filter(block, lambda line: F.length(line) <= WIDTH), " ")
     sentences = F.filter(F.split("_p.line", r"(?<=[.!?;])\s+"), lambda s: tells(s, telling))
     parts = F.concat(
         F.array(F.struct(F.lit(False).alias("wrapped"), F.col("_p.line").alias("text"))),
@@ -271,11 +371,14 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     )
     n = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).otherwise(0).cast("long")
     each = rows.select("doc_id", F.xxhash64("text").alias("digest"), n.alias("n_paragraphs"))
+    all_of = F.array_union("_families", "_more")
+    # a line of a notice can name a licence without the version that the whole notice has
+    versioned = F.filter(all_of, lambda x: ~F.exists(all_of, lambda y: F.startswith(y, F.concat(x, F.lit("-")))))
     joined = each.join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select(
         "doc_id",
         "n_paragraphs",
         F.coalesce("_candidates", F.lit(0)).cast("long").alias("n_candidates"),
         F.coalesce(F.col("_alone") + F.size(F.array_except("_more", "_families")), F.lit(0)).cast("long").alias("n_licences"),
-        F.coalesce(F.array_join(F.sort_array(F.array_union("_families", "_more")), ","), F.lit("")).alias("licences"),
+        F.coalesce(F.array_join(F.sort_array(versioned), ","), F.lit("")).alias("licences"),
     )

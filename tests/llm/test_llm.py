@@ -418,6 +418,29 @@ def test_licences_of_held_out_paraphrases(spark, scanner):
         assert [r["licences"] for r in licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), scanner).collect()] == [family]
 
 
+#: Neighbouring licences, real paragraphs, denials and licences that no template is of.
+NEIGHBOURS = (
+    ("Licensed under the Mozilla Public License 2.0.", "mpl-2.0"), ("Licensed under the Eclipse Public License 2.0.", "epl-2.0"), ("This program is licensed under the GNU General Public License, version 2.", "gpl-2.0"),
+    ("This library is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3.0"), ("Licensed under the GNU Affero General Public License, version 3.", "agpl-3.0"), ("This work is licensed under CC BY-ND 4.0.", "cc-by-nd-4.0"),
+    ("This work is licensed under CC BY 3.0.", "cc-by-3.0"), ("This work is licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"), ("This project is not licensed under the MIT License.", ""), ("The code isn't available under the Apache License, Version 2.0.", ""),
+    (licences.STATEMENTS["mit"][0], "mit"), (licences.STATEMENTS["mit"][3], "mit"), (licences.STATEMENTS["bsd"][2], "bsd"), (licences.STATEMENTS["bsd"][4], "bsd"), (licences.STATEMENTS["gpl"][0], "gpl"), (licences.STATEMENTS["isc"][0], "isc"),
+    ("Licensed under the GNU General Public License.", "gpl"), ("This text is licensed under CC BY-NC-ND 4.0", "cc-by-nc-nd-4.0"), ("Creative Commons Attribution-ShareAlike 3.0 Unported License", "cc-by-sa-3.0"),
+)
+UNSEEN = ("Academic Free License version 3.0", "Q Public License 1.0", "Eiffel Forum License 2.0", "Open Software License 3.0", "CeCILL License 2.1", "Universal Permissive License 1.0", "Nokia Open Source License", "Apple Public Source License 2.0", "Apache License 1.1", "GNU Free Documentation License 1.3")
+
+
+def test_licences_told_apart(spark, scanner):
+    import textwrap
+
+    cases = [*NEIGHBOURS, *((frame.format(name), "") for name in UNSEEN for frame in licences.FRAMES)]
+    cases += [("\n".join(textwrap.wrap(licences.STATEMENTS["mit"][0], 72)) + "\n\nThe story goes on.", "mit"), ("Copyright (c) 2019 A. Person\n\n" + "\n".join(textwrap.wrap(licences.STATEMENTS["mpl-2.0"][0], 60)), "mpl-2.0")]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"), scanner).collect()}
+    wrong = [(t[:80], f, got[i]) for i, (t, f) in enumerate(cases) if got[i] != f]
+    named = [i for i in got if got[i]]
+    assert not [w for w in wrong if w[0] in {t[:80] for t, _ in NEIGHBOURS}], wrong
+    assert len([i for i in named if got[i] != cases[i][1]]) <= 0.1 * len(named) and len(wrong) <= 3, wrong
+
+
 def test_licence_scores_equal_plain_ones(spark, scanner):
     """Scores by hand from the coefficients; paragraphs without a telling word are unknown by them too."""
     lines = [t for own in PARAPHRASES.values() for t in own] + list(OTHERS) + texts(8, 60) + ["", "the", "1.0 2"]
