@@ -95,12 +95,23 @@ def outlier_report(df: DataFrame, columns: list[str], factor: float = 3.0, appro
     return long_form(df, columns).join(F.broadcast(limits), "column_name").groupBy("column_name", "low", "high").agg(F.count(F.when(outside, 1)).alias("outliers"))
 
 
+def flagged_instants(df: DataFrame, outside: dict[str, Column]) -> DataFrame:
+    """(machine_id, observed_at, outlier_<column>...): instants at which any condition holds, readings of one instant together."""
+    rows = df.groupBy("machine_id", "observed_at").agg(*[F.coalesce(F.bool_or(o), F.lit(False)).alias(f"outlier_{c}") for c, o in outside.items()])
+    return rows.filter(" OR ".join(f"outlier_{c}" for c in outside))
+
+
 def sensor_outliers(df: DataFrame, columns: list[str], factor: float = 3.0) -> DataFrame:
-    """(machine_id, observed_at, outlier_<column>...): instants at which any of the columns lies outside its bounds, readings of one instant together."""
+    """``flagged_instants`` of the columns that lie outside their bounds."""
     limits = bounds(df, columns, factor).agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("low", "high")))).alias("_limits"))
-    outside = {c: (F.col(c) < F.element_at("_limits", F.lit(c))["low"]) | (F.col(c) > F.element_at("_limits", F.lit(c))["high"]) for c in columns}
-    rows = df.join(F.broadcast(limits), F.lit(True)).groupBy("machine_id", "observed_at").agg(*[F.coalesce(F.bool_or(o), F.lit(False)).alias(f"outlier_{c}") for c, o in outside.items()])
-    return rows.filter(" OR ".join(f"outlier_{c}" for c in columns))
+    limit = {c: F.element_at("_limits", F.lit(c)) for c in columns}
+    return flagged_instants(df.join(F.broadcast(limits), F.lit(True)), {c: (F.col(c) < x["low"]) | (F.col(c) > x["high"]) for c, x in limit.items()})
+
+
+def sensor_peaks(df: DataFrame, columns: list[str], share: float = 0.9) -> DataFrame:
+    """``flagged_instants`` of the columns that lie above the quantile at ``share``."""
+    limits = quantiles(long_form(df, columns), ["column_name"], (share,), few=True).agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.get("q", F.lit(0))))).alias("_limits"))
+    return flagged_instants(df.join(F.broadcast(limits), F.lit(True)), {c: F.col(c) > F.element_at("_limits", F.lit(c)) for c in columns})
 
 
 def by_sensor(flagged: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -109,9 +120,9 @@ def by_sensor(flagged: DataFrame, columns: list[str], keep: list[str]) -> DataFr
     return rows.filter("sensor_type IS NOT NULL")
 
 
-def severity_counts(matched: DataFrame, severity: str = "severity") -> DataFrame:
-    """(severity, n) of the matched incidents."""
-    return counts(matched, F.col(severity).alias("severity"))
+def severity_counts(matched: DataFrame, severity: str = "severity", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, severity, n) of the matched incidents."""
+    return counts(matched, *by, F.col(severity).alias("severity"))
 
 
 def flag_outliers(df: DataFrame, factor: float = 1.5, group: str = "sensor_type", value: str = "sensor_value", approx: bool = False) -> DataFrame:
@@ -233,8 +244,9 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("positive_weight", F.col("negatives") / F.nullif("positives", F.lit(0)))
 
 
-def matched_profile(outliers: DataFrame, matched: DataFrame) -> DataFrame:
-    """(outliers, matched, matched_pct, mean_severity): matched has one row for each distinct (machine, instant)."""
-    a = outliers.agg(F.count("*").alias("outliers"))
-    b = matched.agg(F.count("*").alias("matched"), F.avg("severity").alias("mean_severity"))
-    return a.join(b, F.lit(True)).select("outliers", "matched", (F.col("matched") * 100.0 / F.nullif("outliers", F.lit(0))).alias("matched_pct"), "mean_severity")
+def matched_profile(outliers: DataFrame, matched: DataFrame, by: str = "sensor_type") -> DataFrame:
+    """(by, outliers, matched, matched_pct, mean_severity): both sides have a row for each sensor and instant."""
+    a = counts(outliers, by).withColumnRenamed("n", "outliers")
+    b = matched.groupBy(by).agg(F.count("*").alias("matched"), F.avg("severity").alias("mean_severity"))
+    n = F.coalesce("matched", F.lit(0))
+    return a.join(b, by, "left").select(by, "outliers", n.alias("matched"), (n * 100.0 / F.col("outliers")).alias("matched_pct"), "mean_severity")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from forgeline.functions import scalars as S
 from forgeline.operators import modelling, profile, quality, reshape, timeline, windows
-from forgeline.operators.quantiles import quantiles
 from forgeline.plans import base_sql as B
 from forgeline.plans import medallion as M
 from forgeline.schemas import FLAGS, HORIZONS, MACHINE, MAINTENANCE, MEASURES, TELEMETRY, gold_columns
@@ -304,26 +303,28 @@ def j_incident_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(bronze.select(F.col("incident_id").alias("incident_code"), *[S.lenient_int(F.col(f)).alias(f) for f in FLAGS]), "incident_code")
 
 
-NEAR = f"""{BOTH}, ot AS (SELECT DISTINCT machine_id, observed_at FROM rd WHERE temperature_c > (SELECT quantile_cont(temperature_c, 0.9) FROM rd)),
-nr AS (SELECT ot.machine_id, ot.observed_at, ic.* EXCLUDE (machine_id), row_number() OVER (PARTITION BY ot.machine_id, ot.observed_at ORDER BY occurred_at, incident_id) AS rn FROM ot JOIN ic ON ot.machine_id = ic.machine_id
-  AND abs(epoch_us(ot.observed_at) - epoch_us(occurred_at)) <= 86400000000), nn AS (SELECT * FROM nr WHERE rn = 1)"""
+_PEAKS = f"""{BOTH}, hq AS (SELECT {", ".join(f"quantile_cont({c}, 0.9) AS q_{c}" for c in MEASURES)} FROM rd),
+hf AS (SELECT machine_id, observed_at, {", ".join(f"coalesce(bool_or({c} > q_{c}), false) AS outlier_{c}" for c in MEASURES)} FROM rd, hq GROUP BY 1, 2), ho AS (SELECT * FROM hf WHERE {" OR ".join(f"outlier_{c}" for c in MEASURES)})"""
+NEAR = f"""{_PEAKS}, nr AS (SELECT ho.*, ic.* EXCLUDE (machine_id), row_number() OVER (PARTITION BY ho.machine_id, ho.observed_at ORDER BY occurred_at, incident_id) AS rn FROM ho JOIN ic ON ho.machine_id = ic.machine_id
+  AND abs(epoch_us(ho.observed_at) - epoch_us(occurred_at)) <= 86400000000), nn AS (SELECT * FROM nr WHERE rn = 1)"""
+_EACH_NEAR = lambda table: " UNION ALL ".join(f"SELECT '{c}' AS sensor_type, * FROM {table} WHERE outlier_{c}" for c in MEASURES)
 
 
-def hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readings(spark, sf_dir)
-    limit = quantiles(rows.select(F.col("temperature_c").alias("value")), [], (0.9,), few=True).select(F.get("q", F.lit(0)).alias("_p"))
-    return rows.join(F.broadcast(limit), F.lit(True)).filter("temperature_c > _p").drop("_p")
+def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants with any measure above its 0.9 quantile, written once."""
+    return materialized(profile.sensor_peaks(readings(spark, sf_dir), list(MEASURES)), "peaks")
 
 
-def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def matched(spark: SparkSession, sf_dir: str, flagged: DataFrame) -> DataFrame:
+    """Flagged instants with the earliest incident within a day, their flags beside it."""
     found = incidents(spark, sf_dir).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
-    return timeline.nearby_incidents(hot_rows(spark, sf_dir), found)
+    return timeline.nearby_incidents(flagged, found).join(flagged, ["machine_id", "observed_at"])
 
 
-@query(f"{NEAR} SELECT machine_id, observed_at, incident_id, occurred_at FROM nn")
+@query(f"{NEAR} SELECT machine_id, observed_at, incident_id, occurred_at, {', '.join(f'outlier_{c}' for c in MEASURES)} FROM nn")
 def j_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot readings with the earliest incident within a day, before or after."""
-    return matched(spark, sf_dir).select("machine_id", "observed_at", "incident_id", "occurred_at")
+    """High readings of any measure with the earliest incident within a day, before or after."""
+    return matched(spark, sf_dir, peaks(spark, sf_dir)).select("machine_id", "observed_at", "incident_id", "occurred_at", *[f"outlier_{c}" for c in MEASURES])
 
 
 def _back(alias: str, span: str) -> str:
@@ -464,22 +465,24 @@ def a_nulls_during_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.nulls_during_stops(rows, list(MEASURES), "slow"))
 
 
-@query(f"{NEAR} " + " UNION ALL ".join(f"SELECT 'temperature' AS sensor_type, '{f}' AS flag, round_even(avg({f}::DOUBLE) * 100, 1) AS share FROM nn" for f in FLAGS))
+@query(f"{NEAR}, en AS ({_EACH_NEAR('nn')}) " + " UNION ALL ".join(f"SELECT sensor_type, '{f}' AS flag, round_even(avg({f}::DOUBLE) * 100, 1) AS share FROM en GROUP BY 1" for f in FLAGS))
 def a_outlier_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For matched outliers, the share of each incident type."""
-    return profile.outlier_types(matched(spark, sf_dir).withColumn("sensor_type", F.lit("temperature")))
+    """For matched high readings of each measure, the share of each incident type."""
+    return profile.outlier_types(profile.by_sensor(matched(spark, sf_dir, peaks(spark, sf_dir)), list(MEASURES), list(FLAGS)))
 
 
-@query(f"{NEAR}, o AS (SELECT count(*) AS outliers FROM rd WHERE temperature_c > (SELECT quantile_cont(temperature_c, 0.9) FROM rd)), m AS (SELECT count(*) AS matched, avg(severity) AS sev FROM nn) SELECT outliers, matched, round(matched * 100.0::DOUBLE / outliers, 6) AS matched_pct, round(sev, 6) AS mean_severity FROM o, m")
+@query(f"{NEAR}, en AS ({_EACH_NEAR('nn')}), eo AS ({_EACH_NEAR('ho')}), o AS (SELECT sensor_type, count(*) AS outliers FROM eo GROUP BY 1), m AS (SELECT sensor_type, count(*) AS matched, avg(severity) AS sev FROM en GROUP BY 1) SELECT sensor_type, outliers, coalesce(matched, 0) AS matched, round(coalesce(matched, 0) * 100.0::DOUBLE / outliers, 6) AS matched_pct, round(sev, 6) AS mean_severity FROM o LEFT JOIN m USING (sensor_type)")
 def a_matched_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of outliers near an incident, and the severity."""
-    return rounded(profile.matched_profile(hot_rows(spark, sf_dir), matched(spark, sf_dir)))
+    """The share of each measure's high readings near an incident, and the severity."""
+    flagged = peaks(spark, sf_dir)
+    found = profile.by_sensor(matched(spark, sf_dir, flagged), list(MEASURES), ["severity"])
+    return rounded(profile.matched_profile(profile.by_sensor(flagged, list(MEASURES), []), found))
 
 
-@query(f"{NEAR} SELECT severity::SMALLINT AS severity, count(*) AS n FROM nn GROUP BY 1")
+@query(f"{NEAR}, en AS ({_EACH_NEAR('nn')}) SELECT sensor_type, severity::SMALLINT AS severity, count(*) AS n FROM en GROUP BY 1, 2")
 def a_matched_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The severities of the incidents near outliers."""
-    return profile.severity_counts(matched(spark, sf_dir))
+    """The severities of the incidents near high readings of each measure."""
+    return profile.severity_counts(profile.by_sensor(matched(spark, sf_dir, peaks(spark, sf_dir)), list(MEASURES), ["severity"]), by=("sensor_type",))
 
 
 _LOW_HIGH = ", ".join(f"quantile_cont({c}, 0.25) - 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}, quantile_cont({c}, 0.75) + 3 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}" for c in FLOATS)
@@ -491,8 +494,7 @@ fo AS (SELECT * FROM ft WHERE {" OR ".join(f"outlier_{c}" for c in FLOATS)}), fr
 def sensor_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants with an outlier of any sensor (three interquartile ranges), their flags, and the earliest incident within a day."""
     flagged = materialized(profile.sensor_outliers(readings(spark, sf_dir), list(FLOATS)), "outliers")
-    found = incidents(spark, sf_dir).select("machine_id", "occurred_at", F.col("incident_code").alias("incident_id"), "severity", "shift", *FLAGS)
-    return timeline.nearby_incidents(flagged, found).join(flagged, ["machine_id", "observed_at"])
+    return matched(spark, sf_dir, flagged)
 
 
 @query(f"{ANY_NEAR} SELECT machine_id, observed_at, incident_id, occurred_at, severity::SMALLINT AS severity, {', '.join(f'outlier_{c}' for c in FLOATS)} FROM fn")

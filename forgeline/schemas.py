@@ -31,6 +31,7 @@ HORIZONS = (6, 12, 24, 48)
 WINDOWS = (6, 12, 24)
 
 MEASURES = tuple(c for c, _, _ in SENSORS)
+#: The columns of the raw files.
 TELEMETRY = ("machine_id", "timestamp", *MEASURES)
 INCIDENTS = ("incident_id", "date", "time", "operator_name", "operator_badge", "machine_id", "severity", "shift", *FLAGS, "comment")
 
@@ -39,12 +40,6 @@ def all_strings(columns: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-READING = T.StructType(
-    [T.StructField("line_id", T.LongType()), T.StructField("machine_id", T.StringType()), T.StructField("observed_at", T.TimestampType())]
-    + [T.StructField(c, T.DoubleType()) for c in MEASURES[:-1]]
-    + [T.StructField("pieces_produced", T.IntegerType())]
-)
-
 MACHINE = T.StructType(
     [
         T.StructField("machine_code", T.StringType(), False),
@@ -79,7 +74,7 @@ MAINTENANCE = T.StructType(
 
 
 def gold_columns() -> list[str]:
-    """The gold table's 78 columns in order: keys, hour, rolling, trends, z-scores, production, incidents, labels."""
+    """The gold table's 78 columns in order: keys, hour, rolling, trends, z-scores, production, incidents, labels."""
     short, two = ("temp", "pressure", "voltage", "rotation"), ("temp", "pressure")
     keys = ["ingestion_batch_id", "machine_id", "window_start", "window_end", "split_set"]
     hour = [f"{s}_{f}_1h" for s in two for f in ("mean", "max", "std")] + ["voltage_mean_1h", "rotation_mean_1h", "pieces_produced_sum_1h"]
