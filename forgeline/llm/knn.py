@@ -38,6 +38,8 @@ FEWEST, PIVOTS, CENTRES = 16, 1 << 15, 1 << 12
 #: Members of a cell in the first pass, queries of a group and data vectors of a block, about.
 SEEDS, QUERIES, BLOCK = 1024, 512, 1 << 14
 SCALE = 1024
+#: Numbers of a matrix of vectors and pivots at once.
+AT_ONCE = 1 << 22
 NUMBERED = "row long, vec_id long, v array<long>"
 
 
@@ -101,35 +103,41 @@ def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def slices(b: pa.RecordBatch, others: int, at_once: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose matrix with ``others`` columns holds ``AT_ONCE`` numbers at most, or a row."""
+    step = max(1, (at_once or AT_ONCE) // max(1, others))
+    for a in range(0, b.num_rows, step):
+        yield b.slice(a, step)
+
+
 def numbered(df: DataFrame, what: str) -> DataFrame:
     """(row, vec_id, v), written: a row keeps its number whatever is computed again."""
     return saved(df.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), what)
 
 
-def in_cells(data: DataFrame, pivots: np.ndarray) -> DataFrame:
+def in_cells(data: DataFrame, pivots: np.ndarray, at_once: int | None = None) -> DataFrame:
     """(row, vec_id, v, cell, d) of data, written."""
     width = pivots.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for part in slices(b, len(pivots), at_once):
                 at, d = nearest(matrix(part["v"], width), pivots)
                 yield batch(row=part["row"], vec_id=part["vec_id"], v=part["v"], cell=at.astype(np.int32), d=d)
 
     return saved(data.select("row", "vec_id", "v").mapInArrow(place, f"{NUMBERED}, cell int, d double"), "cells")
 
 
-def bounded(queries: DataFrame, cells: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int) -> DataFrame:
+def bounded(queries: DataFrame, cells: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int, at_once: int | None = None) -> DataFrame:
     """``queries`` (row, vec_id, v) with least, the k-th score among members of the query's best cell; -inf if there are fewer."""
     width, full = pivots.shape[1], np.flatnonzero(sizes > k)
     wanted = full if len(full) else np.flatnonzero(sizes)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                best = wanted[(floats(b["v"], width) @ pivots[wanted].T).argmax(axis=1)]
-                yield batch(row=b["row"], vec_id=b["vec_id"], v=b["v"], cell=best.astype(np.int32))
+            for part in slices(b, len(wanted), at_once):
+                best = wanted[(floats(part["v"], width) @ pivots[wanted].T).argmax(axis=1)]
+                yield batch(row=part["row"], vec_id=part["vec_id"], v=part["v"], cell=best.astype(np.int32))
 
     at_home = checkpointed(queries.mapInArrow(home, f"{NUMBERED}, cell int"))
     asked = {r["cell"]: r["count"] for r in at_home.groupBy("cell").count().collect()}
@@ -155,14 +163,14 @@ def bounded(queries: DataFrame, cells: DataFrame, pivots: np.ndarray, sizes: np.
     return askers.groupBy("cell", "part").cogroup(members.groupBy("cell", "part")).applyInPandas(first_pass, f"{NUMBERED}, least double")
 
 
-def grouped(queries: DataFrame, centres: np.ndarray) -> DataFrame:
+def grouped(queries: DataFrame, centres: np.ndarray, at_once: int | None = None) -> DataFrame:
     """``queries`` with g, the group: by the nearest centre, and by a hash of the row where that has over 2 * ``QUERIES``."""
     width = centres.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield batch(row=b["row"], vec_id=b["vec_id"], v=b["v"], least=b["least"], centre=nearest(matrix(b["v"], width), centres)[0].astype(np.int32))
+            for part in slices(b, len(centres), at_once):
+                yield batch(row=part["row"], vec_id=part["vec_id"], v=part["v"], least=part["least"], centre=nearest(matrix(part["v"], width), centres)[0].astype(np.int32))
 
     near = checkpointed(queries.mapInArrow(place, f"{NUMBERED}, least double, centre int"))
     counts = {r["centre"]: r["count"] for r in near.groupBy("centre").count().collect()}
@@ -197,10 +205,10 @@ def spread(cells: DataFrame, needs: DataFrame) -> DataFrame:
     return sent.select("g", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "vec_id", "v")
 
 
-def top_k(data: DataFrame, asks: Column, k: int = 10) -> DataFrame:
+def top_k(data: DataFrame, asks: Column, k: int = 10, at_once: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of ``data`` (vec_id, v) for each of its rows where ``asks`` holds."""
     spark = data.sparkSession
-    cells, groups, needs, width = joined(data, asks, k)
+    cells, groups, needs, width = joined(data, asks, k, at_once)
     if cells is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = needs.groupBy("g").agg(F.max("blocks").alias("blocks"))
@@ -231,7 +239,7 @@ def top_k(data: DataFrame, asks: Column, k: int = 10) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def joined(data: DataFrame, asks: Column, k: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, int]:
+def joined(data: DataFrame, asks: Column, k: int, at_once: int | None = None) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None, int]:
     """Cells, groups and needs of a search, and the vectors' width; nothing without data or queries."""
     rows = numbered(data, "vectors")
     queries = rows.filter(asks)
@@ -240,12 +248,12 @@ def joined(data: DataFrame, asks: Column, k: int) -> tuple[DataFrame | None, Dat
     if not shape["n"] or not shape["asked"] or not width:
         return None, None, None, 0
     pivots = sample(rows, min(PIVOTS, max(FEWEST, int(shape["n"] ** 0.5))), width)
-    cells = in_cells(rows, pivots)
+    cells = in_cells(rows, pivots, at_once)
     sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():  # a row a pivot
         sizes[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
     centres = sample(queries, min(CENTRES, -(-shape["asked"] // QUERIES)), width)
-    groups = checkpointed(grouped(bounded(queries, cells, pivots, sizes, k), centres))
+    groups = checkpointed(grouped(bounded(queries, cells, pivots, sizes, k, at_once), centres, at_once))
     return cells, groups, checkpointed(needed(groups, pivots, sizes, radius)), width
 
 

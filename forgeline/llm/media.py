@@ -122,15 +122,21 @@ def store(df: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level:
     return saved(df.select("doc_id", "text").mapInArrow(archives, "archive string, members long, bytes long"), "manifest", f"{folder}/manifest")
 
 
-class ByteRange(InputPartition):
+class ByteRange:
     def __init__(self, archive: str, begin: int, end: int):
         self.archive, self.begin, self.end = archive, begin, end
 
 
+class ByteRanges(InputPartition):
+    def __init__(self, ranges: list[ByteRange]):
+        self.ranges = ranges
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.range_bytes = int(options.get("range_bytes", 0))
+        self.ranges = int(options.get("ranges", RANGES))
         self.tries = int(options.get("tries", 3))
         self.only_manifest = options.get("manifest") == "true"
         self.batch_bytes = int(options.get("batch_bytes", 8 << 20))
@@ -138,7 +144,8 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """One partition for each ``range_bytes`` of an archive; only archives' names and sizes are looked at.
 
-        Without that option ranges are as large as about ``RANGES`` of them need, so their number doesn't follow the data.
+        Without that option partitions are as large as about ``RANGES`` of them need, of several archives if need be, so their number doesn't
+        follow the data.
         """
         system, base = pafs.FileSystem.from_uri(self.folder)
         if self.only_manifest:
@@ -146,8 +153,16 @@ class ArchiveReader(DataSourceReader):
             found = [(f"{base}/{x['archive']}", x["bytes"]) for f in files for x in pq.read_table(f.path, filesystem=system, columns=["archive", "bytes"]).to_pylist()]
         else:
             found = [(f.path, f.size) for f in system.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".tar")]
-        step = self.range_bytes or min(MOST_RANGE, max(LEAST_RANGE, sum(size for _, size in found) // RANGES))
-        return [ByteRange(path, a, min(size, a + step)) for path, size in sorted(found) for a in range(0, size, step)] or [ByteRange("", 0, 0)]
+        goal = self.range_bytes or max(LEAST_RANGE, sum(size for _, size in found) // self.ranges)
+        step = min(MOST_RANGE, goal)
+        out, held = [], goal
+        for r in [ByteRange(path, a, min(size, a + step)) for path, size in sorted(found) for a in range(0, size, step)]:
+            if self.range_bytes or held + r.end - r.begin > goal:
+                out.append([])
+                held = 0
+            out[-1].append(r)
+            held += r.end - r.begin
+        return [ByteRanges(ranges) for ranges in out] or [ByteRanges([])]
 
     def member(self, file, row: dict) -> tuple[bytes | None, str | None]:
         """A member's bytes, or what was wrong the last time."""
@@ -164,9 +179,11 @@ class ArchiveReader(DataSourceReader):
                 wrong = str(e)
         return None, wrong
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self.members(one)
+
+    def members(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         system, _ = pafs.FileSystem.from_uri(self.folder)
         if not system.get_file_info(f"{partition.archive}.idx").is_file:
             return  # an attempt that did not end
@@ -193,7 +210,7 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("media_archive").load(folder)``; options range_bytes, tries, batch_bytes, manifest."""
+    """``spark.read.format("media_archive").load(folder)``; options range_bytes, ranges, tries, batch_bytes, manifest."""
 
     @classmethod
     def name(cls) -> str:

@@ -12,9 +12,13 @@ Layout (little-endian):
     footer:  block starts u64 each; documents: has_id u8 each, doc_id i64 each, n_tokens u64 each
     tail:    block count u64, document count u64, footer start u64, b"PFORIDS1"
 
-The last block is filled up with its own minimum. Documents are dealt by ranges of doc_id and sorted, one file a
-partition; a file's name carries a random part and only names in the manifest count, so a repeated or lost
-attempt leaves nothing behind that is read. Memory in a task: one Arrow batch and the footer.
+The last block is filled up with its own minimum. Documents are dealt by ranges of doc_id and the beginning of the text and sorted; a
+partition's files are closed at ``FILE_IDS`` ids or ``FILE_DOCUMENTS`` documents and numbered on. A file's name carries a random part and only
+names in the manifest count, so a repeated or lost attempt leaves nothing behind that is read. Memory in a task: one Arrow batch and a
+file's footer, both bounded; a file is read by one task.
+
+Null doc_ids come first and are spread like others; repeated rows are written each, one after another; a text of any length lies in one file. An
+empty table gives no file, an empty manifest and no rows. Other columns of documents are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +51,12 @@ TAIL = struct.Struct("<QQQ8s")
 ODD = re.compile(r"^\s|\s$|[^\S\n]|\n\n|^$").search
 #: Words that a worker remembers.
 WORDS = 1_700_000
+#: Rows that are encoded and written at once.
+ROWS = 2048
+#: Ids and documents from which a file is closed and the next one begun.
+FILE_IDS, FILE_DOCUMENTS = 1 << 26, 1 << 20
+#: Characters of a text that range partitions look at, so that rows of one doc_id are shared among tasks.
+PREFIX = 64
 MANIFEST = "part long, file string, documents long, tokens long, bytes long"
 
 
@@ -78,7 +88,7 @@ class Writer:
     """Writes one file; ``add`` takes the ids of documents in order."""
 
     def __init__(self, out):
-        self.out, self.at, self.rest, self.starts, self.ids, self.counts = out, 0, np.empty(0, "<u4"), [], [], []
+        self.out, self.at, self.rest, self.starts, self.ids, self.counts, self.total = out, 0, np.empty(0, "<u4"), [], [], [], 0
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -88,6 +98,7 @@ class Writer:
     def add(self, doc_ids: list[int | None], packed: list[bytes]) -> None:
         self.ids += doc_ids
         self.counts += [len(p) // 4 for p in packed]
+        self.total += sum(map(len, packed)) // 4
         ids = np.concatenate([self.rest, np.frombuffer(b"".join(packed), "<u4")])
         full = len(ids) // BLOCK * BLOCK
         for k in range(0, full, BLOCK):
@@ -179,7 +190,7 @@ def library_splitter(path: str) -> LibrarySplitter:
     return LibrarySplitter(path)
 
 
-def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
+def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0, file_ids: int = FILE_IDS, file_documents: int = FILE_DOCUMENTS, rows: int = ROWS) -> DataFrame:
     """Write the ids of documents in ascending doc_id order; returns the manifest, one row a file.
 
     Null doc_ids come first; documents with one doc_id are ordered by text. Null texts are empty: only the end id.
@@ -187,21 +198,29 @@ def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFr
     end = np.int32(end_id).tobytes()
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = library_splitter(tokenizer), TaskContext.get().partitionId()
-        system, path = pafs.FileSystem.from_uri(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.pfor")
-        writer = None
-        for batch in batches:
-            if batch.num_rows and writer is None:
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                writer = Writer(system.open_output_stream(path))
-            if batch.num_rows:
-                writer.add(batch["doc_id"].to_pylist(), [ids + end for ids in encode.many(batch["text"].to_pylist())])
-        if writer is not None:
+        encode, part, number, writer, name = library_splitter(tokenizer), TaskContext.get().partitionId(), 0, None, ""
+        system, base = pafs.FileSystem.from_uri(folder)
+
+        def close() -> pa.RecordBatch:
             size = writer.close()
             writer.out.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{folder}/{path.rpartition('/')[2]}", "documents": len(writer.ids), "tokens": int(sum(writer.counts)), "bytes": size}])
+            return pa.RecordBatch.from_pylist([{"part": part << 24 | number, "file": f"{folder}/{name}", "documents": len(writer.ids), "tokens": int(sum(writer.counts)), "bytes": size}])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                own = batch.slice(a, rows)
+                if writer is None:
+                    system.create_dir(base, recursive=True)
+                    name = f"part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.pfor"
+                    writer = Writer(system.open_output_stream(f"{base}/{name}"))
+                writer.add(own["doc_id"].to_pylist(), [ids + end for ids in encode.many(own["text"].to_pylist())])
+                if writer.total >= file_ids or len(writer.ids) >= file_documents:
+                    yield close()
+                    writer, number = None, number + 1
+        if writer is not None:
+            yield close()
 
-    ordered = df.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = df.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text")
     return saved(ordered.mapInArrow(files, MANIFEST), "token-manifest")
 
 

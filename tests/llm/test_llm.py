@@ -775,7 +775,8 @@ def test_knn_of_clusters_sends_less(spark, monkeypatch):
             score = x @ x[q]
             best = sorted(np.delete(np.arange(len(ids)), q), key=lambda k: (-score[k], ids[k]))[:10]
             want += [(int(i), r + 1, int(ids[k]), int(score[k])) for r, k in enumerate(best)]
-    assert sorted(map(tuple, knn.top_k(data, F.expr(ASKS)).collect())) == sorted(want)
+    for at_once in (None, 100):  # 100: a few rows against the pivots at once
+        assert sorted(map(tuple, knn.top_k(data, F.expr(ASKS), at_once=at_once).collect())) == sorted(want)
 
 
 def test_knn_large_values_and_empty(spark):
@@ -807,6 +808,27 @@ def test_token_files(spark, docs, rows, none, tokenizer):
     assert token_files.round_trip(none, queries.tokenizer_path()).count() == 0
 
 
+def test_token_files_are_closed_at_a_size(spark, docs, rows, tokenizer):
+    whole = sorted(map(tuple, token_files.round_trip(docs, queries.tokenizer_path()).collect()), key=lambda r: r[1])
+    for options in ({"file_ids": 500}, {"file_documents": 7}):
+        manifest = token_files.write(docs, queries.tokenizer_path(), shared_dir(spark, "token-files"), rows=3, **options)
+        assert manifest.count() > 4 and manifest.agg(F.sum("documents")).first()[0] == len(rows)
+        assert sorted(map(tuple, token_files.read(manifest).collect()), key=lambda r: r[1]) == whole
+    nulls = spark.createDataFrame([(None, f"text {i % 50} and {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    manifest = token_files.write(nulls, queries.tokenizer_path(), shared_dir(spark, "token-files"))
+    assert manifest.filter("documents < 300").count() > 1  # one doc_id in several tasks
+
+
+def test_media_partitions_hold_several_archives(spark, docs, rows):
+    folder = shared_dir(spark, "media")
+    media.store(docs.repartition(9), folder)
+    reader = media.ArchiveReader({"path": folder, "ranges": "1"})
+    few, many = reader.partitions(), media.ArchiveReader({"path": folder, "range_bytes": "2000"}).partitions()
+    assert len(few) == 1 and len(few[0].ranges) > 4 and len(many) > len(few[0].ranges)
+    for options in ({"ranges": 1}, {"range_bytes": 2000}):
+        assert media.load(spark, folder, **options).filter("error IS NULL").count() == len(rows)
+
+
 def test_token_file_slices(tmp_path):
     with pa.OSFile(str(tmp_path / "x"), "wb") as f:
         w = token_files.Writer(f)
