@@ -11,7 +11,7 @@ from forgeline.llm.common import documents
 
 TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Words that a worker of op1_bpe remembers: nothing else is in its memory, unlike in the pipeline.
-OP1_WORDS = 800_000
+OP1_WORDS = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
