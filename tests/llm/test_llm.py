@@ -342,6 +342,47 @@ def test_media(docs, rows, none):
     assert media.round_trip(none).count() == 0
 
 
+def plain_pixels(image: bytes) -> list[bytes]:
+    """Rows of a grey image, read by hand."""
+    import struct
+
+    at, body, shape = 8, b"", None
+    while at < len(image):
+        size, kind = int.from_bytes(image[at : at + 4], "big"), image[at + 4 : at + 8]
+        content = image[at + 8 : at + 8 + size]
+        assert int.from_bytes(image[at + 8 + size : at + 12 + size], "big") == zlib.crc32(kind + content)
+        shape = struct.unpack(">IIBBBBB", content) if kind == b"IHDR" else shape
+        body += content if kind == b"IDAT" else b""
+        at += 12 + size
+    width, height, depth, colour, *_ = shape
+    lines = zlib.decompress(body)
+    assert (depth, colour, len(lines)) == (8, 0, height * (width + 1)) and not any(lines[:: width + 1])
+    return [lines[k + 1 : k + 1 + width] for k in range(0, len(lines), width + 1)]
+
+
+def test_media_by_another_reader(docs, rows, spark):
+    """Stored bytes read by another decoder, features by plain sums."""
+    folder = shared_dir(spark, "media")
+    media.store(docs, folder)
+    read = media.load(spark, folder).select("doc_id", "n_bytes", "media").collect()
+    texts_of = Counter((i, (t or "").encode()) for i, t, _ in rows)
+    assert Counter((r["doc_id"], b"".join(plain_pixels(r["media"]))[: r["n_bytes"]]) for r in read) == texts_of
+    got = {(r["payload_sha256"], r["feature"]) for r in media.features(media.load(spark, folder)).collect()}
+    for r in read:
+        grid = plain_pixels(r["media"])
+        flat = b"".join(grid)
+        assert set(flat[r["n_bytes"] :]) <= {32} and len(grid[0]) == 192
+        n, total = len(flat), sum(flat)
+        cells = []
+        for a in range(8):
+            a0, a1 = len(grid) * a // 8, len(grid) * (a + 1) // 8
+            own = grid[a0 : max(a1, a0 + 1)]
+            cells += [sum(sum(line[24 * b : 24 * b + 24]) for line in own) * n > total * 24 * len(own) for b in range(8)]
+        steps = sum(abs(x - y) for x, y in zip(flat, flat[1:]))
+        feature = f"rows={len(grid)};mean={(2 * total + n) // (2 * n)};step={1000 * steps // max(1, n - 1)};ahash={int(''.join(str(int(c)) for c in cells), 2):016x}"
+        assert (hashlib.sha256(flat).hexdigest(), feature) in got, feature
+
+
 def test_media_ranges_and_retries(spark, docs, rows):
     folder = shared_dir(spark, "m")
     manifest = media.store(docs, folder, archive_bytes=20_000)
@@ -618,6 +659,31 @@ def test_quality(spark, docs, none):
     assert {r["score"] for r in quality.scored(docs, quality.train(none, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_scores_equal_plain_ones(spark, docs, rows):
+    """Scores from the model's dictionaries and points by a compressor and an interpolation of their own."""
+    import zstandard
+
+    rnd = random.Random(2)
+    data = [(i, " ".join(rnd.choice(WORDS) if rnd.random() < (0.9 if i % 7 == 0 else 0.3 + 0.6 * ((i // 2) % 5) / 5) - 0.1 * (i % 2) else f"#{rnd.randint(0, 99)}$" for _ in range(rnd.randint(3, 400)))) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in data], "doc_id long, quality int")
+    model = quality.train(spark.createDataFrame(data, "doc_id long, text string"), labels, 60, 1 << 14)
+    assert len(model.points) > 2 and len(set(model.scores)) > 2
+
+    def size(text, content):
+        with_it = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        raw = text.encode()
+        return sum(len(with_it.compress(raw[k : k + quality.BLOCK])) for k in range(0, len(raw), quality.BLOCK))
+
+    def plain(text):
+        d = (size(text, model.bad) - size(text, model.good)) / len(text.encode()) if text else 0.0
+        return float(np.interp(d, model.points, model.scores))
+
+    for df, texts_of in ((docs, {i: t for i, t, _ in rows}), (spark.createDataFrame(data, "doc_id long, text string"), dict(data))):
+        for r in quality.scored(df.dropDuplicates(["doc_id"]).select("doc_id", "text"), model).collect():
+            assert r["score"] == pytest.approx(plain(r["text"] if r["doc_id"] in texts_of else None), abs=0.02), r["doc_id"]
+            assert r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_isotonic_rises():
     rnd = random.Random(3)
     points, scores = quality.isotonic([(d := rnd.random(), int(rnd.random() < d)) for _ in range(500)])
@@ -873,3 +939,33 @@ def test_pipeline(spark, small):
         assert name != "quality" or 0.7 * n < docs.count() < n
         assert name != "line_dedup" or docs.filter("n_chars <> length(text)").count() == 0
     assert P.run(spark, small).count() == docs.count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, rows):
+    """Nulls, empty and very long texts, repeated rows, copies, ties, clashing columns and empty tables, through each stage and through all."""
+    import corpus_pipeline as P
+
+    rnd = random.Random(6)
+    good = [(2000 + i, " ".join(rnd.choice(WORDS) for _ in range(60)), rnd.choice(["a", None])) for i in range(80)]
+    bad = [(3000 + i, " | ".join(rnd.choice(WORDS).upper() + "!!" for _ in range(60)), "b") for i in range(80)]
+    every = [*rows, *good, *bad, *good[:5], (4000, good[0][1], None), (4001, good[0][1], "c"), (4002, None, None), (4003, "long " * 60_000, "c")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, digest long, size string, node int, score string, text_a string"
+    df = spark.createDataFrame([(i, t, None, s, len(t or ""), "r", 1, None, 2, "x", "y") for i, t, s in every], schema)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _, _ in good] + [(i, 0, 0) for i, _, _ in bad] + [(None, 1, 0), (4003, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    counts = {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path)).cache()
+        counts[name] = out.count()
+        assert out.columns == odd.columns, name
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
+    assert counts["line_dedup"] == len(every) and 80 < counts["quality"] < len(every)
+    kept = {(r["doc_id"], r["text"]) for r in P.one_of_near_copies(spark, odd, str(tmp_path)).collect()}
+    assert (2000, good[0][1]) in kept and not {4000, 4001} & {i for i, _ in kept}
+    assert P.encoded(spark, odd, str(tmp_path)).count() == len(every) and P.encoded(spark, odd.limit(0), str(tmp_path)).count() == 0
+    got = P.run(spark, str(tmp_path)).collect()
+    assert got and all(r["n_tokens"] >= 0 for r in got)
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
