@@ -22,17 +22,19 @@ def with_order_key(df: DataFrame, x: str, name: str) -> DataFrame:
 
     In steps of a projection each, so that no step's expression is repeated in the next one.
     """
-    size = F.abs(x)
-    # the logarithm may be rounded over a whole number, which the next step puts right
-    rows = df.withColumn("_e", F.least(F.greatest(F.coalesce(F.floor(F.log2(size)), F.lit(LEAST)), F.lit(LEAST)), F.lit(BIAS)))
-    rows = rows.withColumn("_p", F.pow(F.lit(2.0), F.col("_e").cast("double")))
-    rows = rows.withColumn("_s", size / F.col("_p"))  # 1 up to 2 but for rounding; below 1 for the smallest numbers
-    low, high = (F.col("_s") < 1) & (F.col("_e") > LEAST), F.col("_s") >= 2
-    e = F.when(low, F.col("_e") - 1).when(high, F.col("_e") + 1).otherwise(F.col("_e"))
-    scaled = F.when(low, F.col("_s") * 2).when(high, F.col("_s") / 2).otherwise(F.col("_s"))
-    last = (2 * BIAS + 1) << FRACTION
-    whole = F.when(F.isnan(x), F.lit(last + 1)).when(size == float("inf"), F.lit(last)).otherwise((e + BIAS - 1) * (1 << FRACTION) + (scaled * float(1 << FRACTION)).cast("long"))
-    return rows.withColumn("_w", whole).withColumn(name, F.when(F.col(x) < 0, -F.col("_w")).otherwise(F.col("_w"))).drop("_e", "_p", "_s", "_w")
+    one, last = f"{float(1 << FRACTION)!r}D", (2 * BIAS + 1) << FRACTION
+    low, high = f"(_s < 1 AND _e > {LEAST})", "(_s >= 2)"
+    e, scaled = f"CASE WHEN {low} THEN _e - 1 WHEN {high} THEN _e + 1 ELSE _e END", f"CASE WHEN {low} THEN _s * 2 WHEN {high} THEN _s / 2 ELSE _s END"
+    steps = (
+        # the logarithm may be rounded over a whole number, which the last step puts right
+        f"least(greatest(coalesce(floor(log2(abs(`{x}`))), {LEAST}L), {LEAST}L), {BIAS}L) AS _e",
+        f"abs(`{x}`) / pow(2D, CAST(_e AS DOUBLE)) AS _s",  # 1 up to 2 but for rounding; below 1 for the smallest numbers
+        f"CASE WHEN isnan(`{x}`) THEN {last + 1}L WHEN abs(`{x}`) = double('infinity') THEN {last}L ELSE ({e} + {BIAS - 1}L) * {1 << FRACTION}L + CAST({scaled} * {one} AS LONG) END AS _w",
+        f"CASE WHEN `{x}` < 0 THEN -_w ELSE _w END AS `{name}`",
+    )
+    for step in steps:
+        df = df.selectExpr("*", step)
+    return df.drop("_e", "_s", "_w")
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], few: bool) -> DataFrame:
@@ -50,32 +52,28 @@ def quantiles(values: DataFrame, keys: list[str], shares: tuple[float, ...], few
     Nulls count for nothing, and a group without values gives no row. ``few``: the caller knows that the groups are few (one
     for each column, sensor or split), so that the bins that are looked into can be broadcast; else both sides are shuffled.
     """
-    x = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    x = with_order_key(x, "_x", "_k")
+    by = [f"`{k}`" for k in keys]
+    x = with_order_key(values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")), "_x", "_k")
+    at = [f"{float(q)!r}D * (_total - 1)" for q in shares]
+    places = [f"named_struct('place', {2 * i + up}, 'rank', CAST({f}({h}) AS LONG), 'part', {h} - floor({h}), 'n', _total)" for i, h in enumerate(at) for up, f in enumerate(("floor", "ceil"))]
+    all_bins = f"OVER (PARTITION BY {', '.join(by)})" if by else "OVER ()"
+    up_to = lambda *parents: f"OVER ({'PARTITION BY ' + ', '.join(parents) if parents else ''} ORDER BY _child)"
     inside, above = None, None  # bins that hold a wanted rank, as _bin and _want: (place, rank in the bin, fraction, n)
     for level in LEVELS:
-        rows = x.withColumn("_child", F.shiftright("_k", level))
         if inside is None:
-            counted = rows.groupBy(*keys, "_child").agg(F.count("*").alias("_n"))
-            all_bins = Window.partitionBy(*keys)
-            total = F.sum("_n").over(all_bins)
-            at = [(F.lit(float(s)) * (F.col("_total") - 1)) for s in shares]
-            places = [F.struct(F.lit(2 * i + up).alias("place"), f(h).cast("long").alias("rank"), (h - F.floor(h)).alias("part"), F.col("_total").alias("n")) for i, h in enumerate(at) for up, f in enumerate((F.floor, F.ceil))]
-            placed = counted.withColumns({"_total": total, "_end": F.sum("_n").over(all_bins.orderBy("_child"))}).withColumn("_want", F.array(*places))
+            counted = x.groupBy(*keys, F.shiftright("_k", level).alias("_child")).agg(F.count("*").alias("_n"))
+            placed = counted.selectExpr("*", f"sum(_n) {all_bins} AS _total", f"sum(_n) {up_to(*by)} AS _end").selectExpr("*", f"array({', '.join(places)}) AS _want")
         else:
-            rows = joined(rows.withColumn("_bin", F.shiftright("_k", above)), inside, [*keys, "_bin"], few)
+            rows = joined(x.selectExpr("*", f"shiftright(_k, {above}) AS _bin", f"shiftright(_k, {level}) AS _child"), inside, [*keys, "_bin"], few)
             counted = rows.groupBy(*keys, "_bin", "_want", "_child").agg(F.count("*").alias("_n"), F.min("_x").alias("_x"))
-            placed = counted.withColumn("_end", F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_child")))
-        begin = F.col("_end") - F.col("_n")
-        here = F.filter("_want", lambda w: (w["rank"] >= begin) & (w["rank"] < F.col("_end")))
-        here = F.transform(here, lambda w: F.struct(w["place"].alias("place"), (w["rank"] - begin).alias("rank"), w["part"].alias("part"), w["n"].alias("n")))
-        held = placed.withColumn("_want", here).filter(F.size("_want") > 0)
-        inside, above = held.select(*keys, F.col("_child").alias("_bin"), "_want", *(["_x"] if level == LEVELS[-1] else [])), level
+            placed = counted.selectExpr("*", f"sum(_n) {up_to(*by, '_bin')} AS _end")
+        here = "transform(filter(_want, w -> w.rank >= _end - _n AND w.rank < _end), w -> named_struct('place', w.place, 'rank', w.rank - (_end - _n), 'part', w.part, 'n', w.n))"
+        held = placed.selectExpr(*by, "_child AS _bin", f"{here} AS _want", *(["_x"] if level == LEVELS[-1] else []))
+        inside, above = held.filter("size(_want) > 0"), level
+    pick = lambda p, c: f"max(CASE WHEN _w.place = {p} THEN {c} END)"
+    mixed = [f"CASE WHEN {pick(2 * i, '_w.part')} = 0 THEN {pick(2 * i, '_x')} ELSE {pick(2 * i, '_x')} * (1 - {pick(2 * i, '_w.part')}) + {pick(2 * i + 1, '_x')} * {pick(2 * i, '_w.part')} END" for i in range(len(shares))]
     each = inside.select(*keys, "_x", F.explode("_want").alias("_w"))
-    pick = lambda p, c: F.max(F.when(F.col("_w.place") == p, F.col(c)))
-    ends = each.groupBy(*keys).agg(F.max("_w.n").alias("n"), *[c for i in range(len(shares)) for c in (pick(2 * i, "_x").alias(f"_a{i}"), pick(2 * i + 1, "_x").alias(f"_b{i}"), pick(2 * i, "_w.part").alias(f"_f{i}"))])
-    mixed = [F.when(F.col(f"_f{i}") == 0, F.col(f"_a{i}")).otherwise(F.col(f"_a{i}") * (1 - F.col(f"_f{i}")) + F.col(f"_b{i}") * F.col(f"_f{i}")) for i in range(len(shares))]
-    return ends.filter("n IS NOT NULL").select(*keys, "n", F.array(*mixed).alias("q"))
+    return each.groupBy(*keys).agg(F.expr("max(_w.n) AS n"), F.expr(f"array({', '.join(mixed)}) AS q")).filter("n IS NOT NULL")
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, str]) -> DataFrame:
