@@ -18,8 +18,10 @@ not looked at, whatever their names; ``pack`` keeps those of its pieces.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ END = 2
 GROUP = 1 << 14
 #: Words that a worker remembers, and the longest of them.
 WORDS, LONGEST = 800_000, 64
+#: Words of visible ASCII without apostrophes, and what such a vocabulary takes them apart into: letters, single digits, other characters.
+PLAIN = re.compile(r"[!-&(-~]+").fullmatch
+PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+").findall
+#: Fixed value: how a token that ends a word ends.
+WORD_END = "</w>"
 #: Characters whose words are collected before the unknown ones are encoded; rows of a batch that is handed on.
 AT_ONCE, ROWS = 1 << 20, 2048
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -44,8 +51,8 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 class WordEncoder:
     """Packed ids (32-bit little-endian) of whole texts, by a vocabulary that drops white space and never joins over it.
 
-    Words between spaces or line feeds are looked up; unknown ones of many texts go to the library in one call, with a special token
-    between any two. Texts that hold a special token's string go to the library whole.
+    Words between spaces or line feeds are looked up. Unknown ones of many texts go to the library together: plain ones by their parts, in lower
+    case and each part once, others with a special token between any two. Texts that hold a special token's string go to the library whole.
     """
 
     def __init__(self, path: str, most: int = WORDS):
@@ -55,25 +62,58 @@ class WordEncoder:
         self.encode = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.between = next((s for s in self.specials if len(self.encode(s)) == 1), None)
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.by_parts = self._same("Ab1,c2--d.e", ["ab", "1", ",", "c", "2", "--", "d", ".", "e"]) and self._split(["ab", "1", "--"]) is not None
         # a vocabulary without special tokens, or whose words hang together, gets whole texts
-        self.words = {"": b""} if self.between and self._apart() else None
+        self.words = {"": b""} if self.between and self._same("one two'll 3\nfour's", ["one", "two'll", "3", "four's"]) else None
+        self.parts: dict[str, bytes] = {}
         self.most = most
 
-    def _apart(self) -> bool:
-        together, apart = self.encode("one two'll 3\nfour's"), [self.encode(w) for w in ("one", "two'll", "3", "four's")]
-        return np.array_equal(together, np.concatenate(apart))
+    def _same(self, text: str, parts: list[str]) -> bool:
+        return np.array_equal(self.encode(text), np.concatenate([self.encode(p) for p in parts]))
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _split(self, parts: list[str]) -> list[bytes] | None:
+        """Ids of each of some parts that are a word each; None if they are not."""
+        ids = self.encode(" ".join(parts))
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(parts):
+            return None
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _one_by_one(self, words: list[str]) -> dict[str, bytes]:
         ids = self.encode(self.between.join(words))
         ends = np.flatnonzero(ids == self.specials[self.between]).tolist()
         if len(ends) != len(words) - 1:
             raise ValueError("the vocabulary does not keep words apart")
         data = ids.tobytes()
-        found = {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *[e + 1 for e in ends]], [*ends, len(ids)])}
-        if len(self.words) > self.most:
+        return {w: data[4 * a : 4 * b] for w, a, b in zip(words, [0, *[e + 1 for e in ends]], [*ends, len(ids)])}
+
+    def _remember(self, held: dict[str, bytes], more: dict[str, bytes]) -> None:
+        if len(held) > self.most:
             for _ in range(self.most // 2):  # the newer half: common words come early
-                self.words.popitem()
-        self.words.update((w, b) for w, b in found.items() if len(w) <= LONGEST)
+                held.popitem()
+        held.update((w, b) for w, b in more.items() if len(w) <= LONGEST)
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        found, rest = {}, words
+        if self.by_parts:
+            plain = {w: PARTS(w.lower()) for w in words if PLAIN(w)}
+            new = sorted(set(chain.from_iterable(plain.values())).difference(self.parts))
+            fresh = dict(zip(new, self._split(new) or [])) if new else {}
+            if len(fresh) == len(new):
+                known = self.parts
+                found = {w: b"".join([known[p] if p in known else fresh[p] for p in parts]) for w, parts in plain.items()}
+                self._remember(self.parts, fresh)
+            letters = [w for w in words if w not in plain and w.isalpha()]  # a word each, but for letters that change in lower case
+            alone = self._split(letters) if letters else None
+            found |= dict(zip(letters, alone or []))
+            rest = [w for w in words if w not in found]
+        if rest:
+            found |= self._one_by_one(rest)
+        self._remember(self.words, found)
         return found
 
     def _group(self, texts: list[str]) -> list[bytes]:

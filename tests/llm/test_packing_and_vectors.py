@@ -112,6 +112,21 @@ def test_words_are_forgotten_within_bounds(path, texts):
     assert max(map(len, encoder.words)) <= packing.LONGEST
 
 
+def test_word_parts_equal_the_library(path):
+    """Plain and odd words, put together at random."""
+    from tokenizers import Tokenizer
+
+    library, encoder, rnd = Tokenizer.from_file(path), packing.WordEncoder(path), random.Random(8)
+    assert encoder.by_parts and encoder.words is not None
+    parts = ["a", "The", "ING", "x9", "07", ".", ",", "--", "$$$", "'s", "'", "'LL", "é", "İ", "ß", "ǅ", "漢字", "²", "½", "Ⅷ", "_", "\t", "\x1d", "\u00a0", "\u0301", "\u200d", "😀", "<|", "|>", "\n", " ", " "]
+    for _ in range(1500):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert np.frombuffer(next(encoder.many([t])), "<i4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    many = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(800)]
+    for t, packed in zip(many, encoder.many(many)):
+        assert np.frombuffer(packed, "<i4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 
