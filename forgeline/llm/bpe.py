@@ -2,10 +2,10 @@
 
 Encoding merges symbols of a doubly linked list in the order of a priority queue of merge ranks; entries whose
 symbols have changed meanwhile are skipped. Decoding concatenates vocabulary strings. Both are Arrow UDFs over
-one column, so Spark keeps partitioning, retries and the other columns; nothing is shuffled.
+one column, so Spark keeps partitioning, retries and the other columns; nothing is shuffled. ``round_trips`` does both in one pass.
 
 Null texts count as empty and give an empty list. Texts of any length are encoded whole. Repeated rows give
-repeated results; a column that has the name of the result is replaced.
+repeated results; a column that has the name of the result is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import functools
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -251,26 +251,24 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str =
     return df.withColumn(text_col, text_of(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), tokenizer))
 
 
-def both_of(text: Column, tokenizer: str, words: int = WORDS) -> Column:
-    """struct<ids: array<int>, decoded: string>: the ids of a text and their text, in one pass through a worker."""
+def round_trips(df: DataFrame, tokenizer: str, words: int = WORDS) -> DataFrame:
+    """doc_id, ids (array<int>) and decoded (their text) of documents; a worker holds ``ROWS`` of them at once, and ``words`` remembered words."""
 
-    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def round_trip(texts: pa.Array) -> pa.Array:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pairs = splitter(tokenizer, words), vocabulary(tokenizer)
-        packed, parts = [], [pa.array([], pa.string())]
-        for k in range(0, len(texts), ROWS):
-            own = ids.many(texts.slice(k, ROWS).to_pylist())
-            packed += own
-            parts.append(pa.array([pairs.decode(np.frombuffer(p, "<i4").tolist()) for p in own], pa.string()))
-        return pa.StructArray.from_arrays([id_lists(packed), pa.concat_arrays(parts)], names=["ids", "decoded"])
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                own = batch.slice(k, ROWS)
+                packed = ids.many(own["text"].to_pylist())
+                decoded = pa.array([pairs.decode(np.frombuffer(p, "<i4").tolist()) for p in packed], pa.string())
+                yield pa.RecordBatch.from_arrays([own["doc_id"], id_lists(packed), decoded], names=["doc_id", "ids", "decoded"])
 
-    return round_trip(text)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(df: DataFrame, tokenizer: str, words: int = WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, encoded and decoded; a worker remembers ``words`` words."""
-    both = df.select("doc_id", both_of(F.col("text"), tokenizer, words).alias("_both")).select("doc_id", "_both.ids", "_both.decoded")
-    return both.select(
+    return round_trips(df, tokenizer, words).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
