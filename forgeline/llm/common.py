@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share."""
+"""Helpers that the training-data operators share. ``shared_dir`` stands in the base library too: either works without the other."""
 
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ stands elsewhere goes, whatever its neighbours. At each unit the shortest run of
 there, and the one that ends there, are looked at; all such runs within a repeated passage are repeated too and cover it. To
 find them without shuffling them all, a run is first stood for by the least hash of its units (of two equal runs it is the same),
 which neighbouring runs mostly share; only runs whose least hash stands in different places are hashed themselves (SHA-256 of their
-bytes) and grouped. A unit that goes always has an equal one at an earlier place, so some occurrence stays; units that stand in
+bytes) and grouped; there, equal digests count as equal bytes, unlike in ``deduplicate``. A unit that goes always has an equal one at an earlier place, so some occurrence stays; units that stand in
 a first occurrence and overlap a later one of the same text stay as well.
 
 Null texts stay null and have no units, empty texts have none; a text all of which goes becomes empty. A null doc_id counts as the

@@ -13,7 +13,8 @@ The ranges' sums are written, so sizes are counted once for them and once for th
 each, which does for millions of them.
 
 Null texts have size 0 and are never taken. Rows that repeat a doc_id are ordered by size; equal rows are
-interchangeable. Reruns agree. An empty table gives an empty result.
+interchangeable. Very long texts are counted whole. Reruns agree. An empty table gives an empty result. Only doc_id, text and source
+are read; ``repeated`` packs the rows, so columns with names of this module's own (target, taken, _key and others) stay as they are.
 """
 
 from __future__ import annotations

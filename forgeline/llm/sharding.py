@@ -3,7 +3,7 @@
 Documents are kept in shards that consist of parts. From the old shards' bytes and the new capacities a minimum-cost flow finds how many
 bytes go from each old shard to each new one so that the fewest bytes move; then each old shard is cut at these amounts,
 and only parts that lose or gain rows are rewritten. The flow has one node for each old and new shard and is solved on the
-driver; documents and texts stay in Spark.
+driver, in plain Python: it is meant for hundreds of shards, not for many thousands; documents and texts stay in Spark.
 
 One rule cuts shards of any size. A shard's rows are in order of a hash of their text, those of equal texts in order of a hash of
 doc_id, and what stays comes first. A cut belongs at the text boundary next to its amount. Only where that is further away than
