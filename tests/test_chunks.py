@@ -161,6 +161,14 @@ def test_gold_in_chunks_equals_one_chunk(spark, long_line, found):
     pd.testing.assert_frame_equal(many, one)
 
 
+def test_autocorrelation_of_small_changes_on_a_large_value(spark):
+    rnd = random.Random(5)
+    x = np.array([1e9 + rnd.random() for _ in range(60)])
+    got = {r["lag"]: r["acf"] for r in windows.autocorrelation(readings(spark, [("A", float(h), float(v)) for h, v in enumerate(x)]), ["temperature_c"]).collect()}
+    x -= x.mean()
+    assert [got[k] for k in range(49)] == pytest.approx([(x[k:] * x[: len(x) - k]).sum() / (x * x).sum() for k in range(49)], abs=1e-5)
+
+
 # --- quantiles -----------------------------------------------------------------------------------------------------
 
 ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, -1.0, 1 - 2**-53, 1 + 2**-52, 2.0**31, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 8.0, 7.999999999999999, 1e-300, 1e300, 3.0]
