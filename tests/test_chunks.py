@@ -169,6 +169,15 @@ def test_autocorrelation_of_small_changes_on_a_large_value(spark):
     assert [got[k] for k in range(49)] == pytest.approx([(x[k:] * x[: len(x) - k]).sum() / (x * x).sum() for k in range(49)], abs=1e-5)
 
 
+def test_wide_form_compares_lines_once_and_needs_no_limits(spark):
+    rows = [("A", 0.0, 1.0), ("A", 0.0, 5.0), ("A", 1.0, None), ("B", 0.0, None)]
+    wide = M.wide_readings(M.silver_readings(readings(spark, rows)))
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Subquery" not in plan  # no outlier limits, which the wide form does not read
+    assert plan.index("Expand") < plan.index("Window")  # lines are compared before they become five rows
+    assert {(r["machine_id"], r["temperature_c"]) for r in wide.collect()} == {("A", 1.0), ("A", None), ("B", None)}
+
+
 # --- quantiles -----------------------------------------------------------------------------------------------------
 
 ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, -1.0, 1 - 2**-53, 1 + 2**-52, 2.0**31, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 8.0, 7.999999999999999, 1e-300, 1e300, 3.0]
