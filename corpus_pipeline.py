@@ -36,6 +36,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies: 0.8 or more of the five-word shingles shared.
 
+    SimHash fingerprints within 4 bits are searched first, MinHash keys add the pairs that so few bits do not reach, and shingles confirm all links.
     Texts without words are one group; of ties in doc_id the smaller hash of the text stays, of repeated rows one.
     """
     return simhash.near_copies(docs)

@@ -16,9 +16,9 @@ Null texts are empty; texts without words have fingerprint 0, linked like any ot
 separate documents; null doc_ids take part but never name a component unless all of it is null. Empty tables give
 empty results. Other columns are kept by ``deduplicate`` and never read.
 
-A radius of 4 bits is far from reaching all texts of which most shingles are shared. ``near_copies`` asks for a Jaccard similarity of
-shingle sets instead: candidates come from ``BANDS`` independent MinHash fingerprints over the shingles, each of ``ROWS`` minima (a pair at
-0.8 shares one with probability 0.9998), and every link is verified with the shingles of both texts. Of a key with up to ``PAIRS`` members all
+``near_copies`` asks for a Jaccard similarity of shingle sets: the SimHash fingerprints of the sets are searched as above, and what they link is
+verified with the shingles of both texts. A radius of 4 bits is far from reaching all texts of which most shingles are shared, so that more candidates
+come from ``BANDS`` independent MinHash fingerprints, each of ``ROWS`` minima (a pair at 0.8 shares one with probability 0.9998), and are verified likewise. Of a key with up to ``PAIRS`` members all
 pairs are verified that share enough of all minima. Members of larger keys are passed on as they come; what the links found so far
 join is one group, and where a key still has several of them, its members' shingle sets are searched exactly, in blocks of about ``BLOCK`` sets
 and every pair of blocks, smallest groups first, so that a member which is linked to a large group is settled by one look. No pair of different groups
@@ -72,6 +72,14 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(bits.tobytes(), "little", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), AT_ONCE):
+        counts += np.unpackbits(hashes[k : k + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+
+
 def fingerprint_of(text: Column, words: int = 4) -> Column:
     """long: the bits of a text's fingerprint."""
 
@@ -307,22 +315,23 @@ def candidates(nodes: DataFrame, most: int) -> DataFrame:
 
 
 def sketched(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, digest, h1, h2 (hashes of the set of shingles), keys, sketch (a byte of each minimum) of documents."""
+    """doc_id, digest, h1, h2 (hashes of the set of shingles), f (its SimHash), keys, sketch (a byte of each minimum) of documents."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, keys, marks = [], [], []
+            hashes, bits, keys, marks = [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text, words)
                 least = minima(own)
                 hashes.append([xxhash.xxh64_intdigest(own.tobytes(), seed) for seed in (42, 43)])
+                bits.append(majority(own))
                 keys.append([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)])
                 marks.append((least & 255).astype(np.uint8).tobytes())
             keys = pa.array(np.array(keys, np.uint64).view(np.int64).reshape(-1, BANDS).tolist(), pa.list_(pa.int64()))
             h1, h2 = np.array(hashes, np.uint64).view(np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], pa.array(h1), pa.array(h2), keys, pa.array(marks, pa.binary())], names=["doc_id", "digest", "h1", "h2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], pa.array(h1), pa.array(h2), pa.array(bits, pa.int64()), keys, pa.array(marks, pa.binary())], names=["doc_id", "digest", "h1", "h2", "f", "keys", "sketch"])
 
-    return df.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(compute, "doc_id long, digest long, h1 long, h2 long, keys array<long>, sketch binary")
+    return df.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(compute, "doc_id long, digest long, h1 long, h2 long, f long, keys array<long>, sketch binary")
 
 
 def set_of(text: Column, words: int) -> Column:
@@ -419,10 +428,19 @@ def of_large_keys(large: DataFrame, sets: DataFrame, links: DataFrame, similarit
     return searched(paired, similarity)
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int = PAIRS, block: int = BLOCK) -> DataFrame:
-    """(a, b) of nodes (node, digest, keys, sketch): links of at least that similarity that connect all such pairs that share a key."""
+def by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of nodes (node, f) that SimHash links: each with the first node of its fingerprint, and those of fingerprints that ``links`` connects."""
+    firsts = checkpointed(nodes.groupBy("f").agg(F.min("node").alias("first")))
+    one, other = (firsts.select(F.col("f").alias(c), F.col("first").alias(f"_{c}")) for c in "ab")
+    across = links(firsts.select("f"), radius).join(one, "a").join(other, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    same = nodes.select("node", "f").join(firsts, "f").filter("node <> first")  # a row a fingerprint on one side: Spark can split the other
+    return checkpointed(across.union(same.select(F.col("first").alias("a"), F.col("node").alias("b"))))
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int = PAIRS, block: int = BLOCK, radius: int = 4) -> DataFrame:
+    """(a, b) of nodes (node, digest, f, keys, sketch): links of at least that similarity among those by SimHash, and all it takes to connect the pairs that share a key."""
     found = checkpointed(candidates(nodes, most))
-    pairs, large = found.filter("a IS NOT NULL").select("a", "b").distinct(), found.filter("a IS NULL").select("key", "node")
+    pairs, large = found.filter("a IS NOT NULL").select("a", "b").union(by_fingerprint(nodes, radius)).distinct(), found.filter("a IS NULL").select("key", "node")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct().join(nodes.select("node", "digest"), "node")
     texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted, "digest").dropDuplicates(["node"])
     sets = saved(texts.select("node", set_of(F.col("text"), words).alias("hashes")), "shingles")
@@ -437,7 +455,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, most:
     """One document of each group that links of that Jaccard similarity connect, chosen as by ``deduplicate``."""
     prints = checkpointed(sketched(docs, words))
     # numbered once and for all: the checkpoint keeps the numbers
-    nodes = checkpointed(prints.groupBy("h1", "h2").agg(F.min("digest").alias("digest"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = checkpointed(prints.groupBy("h1", "h2").agg(F.min("digest").alias("digest"), F.first("f").alias("f"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
     roots = components(near_links(docs, nodes.drop("h1", "h2"), words, similarity, most, block))
     known = nodes.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("_root"))
     return first_of_each(docs, prints.select("doc_id", "digest", "h1", "h2").join(known, ["h1", "h2"]))

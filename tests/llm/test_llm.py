@@ -273,6 +273,21 @@ def hub(n, seed=1, words=200, changes=4):
     return [" ".join(w) for w in out[: n // 2]] + [" ".join(base)] + [" ".join(w) for w in out[n // 2 :]]
 
 
+def test_near_copies_by_simhash_alone(spark, monkeypatch):
+    """Texts whose fingerprints are within 4 bits are joined without any MinHash key; close fingerprints of unlike texts are not."""
+    rnd = random.Random(17)
+    base = [rnd.choice("abcdefgh") + str(rnd.randrange(10**6)) for _ in range(600)]
+    texts = [" ".join(base)] + [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in (5, 300, 595)] + [" ".join(rnd.sample(base, 600))]
+    bits = [simhash.majority(simhash.shingles(t, 5)) for t in texts]
+    near = [k for k in range(5) if ((bits[0] ^ bits[k]) & (1 << 64) - 1).bit_count() <= 4]
+    monkeypatch.setattr(simhash, "candidates", lambda nodes, most: nodes.sparkSession.createDataFrame([], "a long, b long, key long, node long"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {(r["a"], r["b"]) for r in simhash.by_fingerprint(spark.createDataFrame([(k, b) for k, b in enumerate([*bits, bits[4]])], "node long, f long"), 4).collect()}
+    assert (4, 5) in linked and len(near) > 1
+    kept = {r["doc_id"] for r in simhash.near_copies(df).collect()}
+    assert 0 in kept and 4 in kept and not kept & set(near) - {0, 4}
+
+
 def test_near_copies_around_a_hub(spark):
     data = [(i, t, "a", "b", "c") for i, t in enumerate(hub(800))]
     df = spark.createDataFrame(data, "doc_id long, text string, _id string, _none string, _digest string").repartition(4)
