@@ -116,3 +116,12 @@ def test_imputation_takes_what_fits(spark):
     errors = modelling.imputation_errors(df, ["u", "v"])
     assert {r["column_name"]: r["method"] for r in modelling.best_imputation(errors).collect()} == {"u": "regression", "v": "regression"}
     assert max(r["rmse"] for r in errors.filter("method = 'regression'").collect()) < 1e-6
+
+
+def test_classifier_on_features_made_once(spark):
+    from pyspark.ml import Pipeline
+
+    df = spark.createDataFrame([(float(i % 7), None if i % 5 == 0 else float(i), i % 3 == 0) for i in range(60)], "a double, b double, y boolean").withColumn("label", F.col("y").cast("int"))
+    once = Pipeline(stages=modelling.prepared(["a", "b"])).fit(df).transform(df).select("label", "features")
+    each = [[r["score"] for r in modelling.scored(modelling.classifier("logistic", rows, columns), rows).collect()] for rows, columns in ((df, ["a", "b"]), (once, None))]
+    assert each[0] == pytest.approx(each[1])
