@@ -178,6 +178,37 @@ def test_wide_form_compares_lines_once_and_needs_no_limits(spark):
     assert {(r["machine_id"], r["temperature_c"]) for r in wide.collect()} == {("A", 1.0), ("A", None), ("B", None)}
 
 
+def gold_and_plan(silver, found):
+    rows = M.gold(silver, found.withColumnRenamed("incident_id", "incident_code"))
+    return rows, rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tables_get_more_tasks(spark, long_line, found, monkeypatch):
+    line = long_line.filter("machine_id IS NOT NULL")
+    few, plan = gold_and_plan(M.silver_readings(line), found)
+    assert "REPARTITION_BY_NUM" not in plan
+    monkeypatch.setattr(windows, "TASK_ROWS", 100)
+    assert windows.tasks_for(line) == 6 and windows.tasks_for(line.limit(200)) is None  # two partitions hold those
+    silver = M.silver_readings(line, tasks=6)
+    assert "6), REPARTITION_BY_NUM" in silver._jdf.queryExecution().executedPlan().toString()
+    many, plan = gold_and_plan(silver, found)
+    assert plan.count("6), REPARTITION_BY_NUM") == 3  # row numbers, differences, time line
+    assert "ENSURE_REQUIREMENTS" not in plan[: plan.rindex("REPARTITION_BY_NUM")].split("Join")[0]  # windows need no exchange of their own
+    few, many = (df.toPandas().sort_values(["machine_id", "window_start"]).reset_index(drop=True) for df in (few, many))
+    pd.testing.assert_frame_equal(few, many)
+
+
+def test_gold_joins_statistics_before_rows_are_wide(spark, long_line, found):
+    silver = M.silver_readings(long_line.filter("machine_id IS NOT NULL"))
+    rows, plan = gold_and_plan(silver, found)
+    assert plan.count("lag(") > 0 and len([x for x in plan.splitlines() if "Window [" in x and "lag(" in x]) == 1  # the chunks are found without the differences
+    at = [i for i, x in enumerate(plan.splitlines()) if "Join" in x and "LeftOuter" in x]
+    line = next(i for i, x in enumerate(plan.splitlines()) if "Window [" in x and "temp_mean_6h" in x)
+    assert len(at) == 1 and at[0] > line  # printed from the last step to the first
+    plain = rows.select("temp_mean_24h", "label_failure_next_24h")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" not in plain  # nothing reads the statistics
+
+
 # --- quantiles -----------------------------------------------------------------------------------------------------
 
 ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, -1.0, 1 - 2**-53, 1 + 2**-52, 2.0**31, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 8.0, 7.999999999999999, 1e-300, 1e300, 3.0]
