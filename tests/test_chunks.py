@@ -13,7 +13,9 @@ from test_operators import events, hours, readings
 
 from forgeline.operators import profile, quantiles, reshape, timeline, windows
 from forgeline.plans import medallion as M
+from forgeline.plans.queries import QUERIES
 from forgeline.schemas import FLAGS, HORIZONS, MEASURES
+from forgeline.sources import adapters
 
 DAY = 24 * windows.HOUR
 
@@ -198,6 +200,30 @@ def test_large_tables_get_more_tasks(spark, long_line, found, monkeypatch):
     pd.testing.assert_frame_equal(few, many)
 
 
+def test_each_step_to_the_wide_form_is_dealt_by_rows(spark, long_line, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    raw = adapters.raw_readings(spark, "/root/testdata/sf0.001")
+    for grain in ("instant", "hour"):
+        few, many = (M.bronze_readings(raw, grain, tasks) for tasks in (None, 6))
+        assert plan(many).count("Exchange") == plan(many).count("6), REPARTITION_BY_NUM") == 1
+        assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+    line = long_line.unionByName(long_line.filter("machine_id = 'B'"))
+    few, many = (M.wide_readings(M.silver_readings(line, tasks=tasks)) for tasks in (None, 6))
+    assert plan(many).count("Exchange") == plan(many).count("6), REPARTITION_BY_NUM") == 1  # the means of a key are found where its lines were compared
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
+    silver = M.silver_readings(line, tasks=6)
+    assert silver.schema == M.silver_readings(line).schema and sorted(map(repr, silver.collect())) == sorted(map(repr, M.silver_readings(line).collect()))
+    cuts = reshape.cut_points(line, "observed_at", tasks=6)
+    assert plan(cuts).count("6), REPARTITION_BY_NUM") == 2 and cuts.first() == reshape.cut_points(line, "observed_at").first()  # counts, ranks
+    names = ("a_train_statistics", "p_pivot", "q_duplicate_hours")
+    few = {n: sorted(map(repr, QUERIES[n](spark, "/root/testdata/sf0.001").collect())) for n in names}
+    monkeypatch.setattr(windows, "TASK_ROWS", 100)
+    written = []
+    monkeypatch.setattr(reshape, "dealt", lambda df, tasks, *keys: written.append(tasks) or windows.dealt(df, tasks, *keys))
+    assert {n: sorted(map(repr, QUERIES[n](spark, "/root/testdata/sf0.001").collect())) for n in names} == few
+    assert written and all(written)
+
+
 def test_gold_joins_statistics_before_rows_are_wide(spark, long_line, found):
     silver = M.silver_readings(long_line.filter("machine_id IS NOT NULL"))
     rows, plan = gold_and_plan(silver, found)
